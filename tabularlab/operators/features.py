@@ -19,15 +19,17 @@ class DuplicateEdgesError(ValueError):
     pass
 
 
-def _bin_expr(col: Column, edges: Sequence[float], include_lowest: bool) -> Column:
-    """(lo, hi] bins numbered 1..len(edges)-1, outside -> null (D7)."""
+def _bin_expr(col: Column, edges: Sequence[float], include_lowest: bool,
+              labels: Sequence | None = None) -> Column:
+    """(lo, hi] bins numbered 1..len(edges)-1 (or labelled), outside -> null (D7)."""
     expr = None
     for i in range(1, len(edges)):
         lo, hi = edges[i - 1], edges[i]
         cond = (col > lo) & (col <= hi)
         if i == 1 and include_lowest:
             cond = (col >= lo) & (col <= hi)
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+        val = F.lit(labels[i - 1] if labels else i)
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr
 
 
@@ -51,10 +53,7 @@ def quantile_bins(df: DataFrame, col: str, q: int, out: str, fit: DataFrame | No
 def fixed_bins(df: DataFrame, col: str, edges: Sequence[float], out: str,
                labels: Sequence[str] | None = None) -> DataFrame:
     """BIN2: bins on given edges, (lo, hi]; outside -> null."""
-    b = _bin_expr(F.col(col), edges, include_lowest=False)
-    if labels:
-        b = F.element_at(F.array(*[F.lit(x) for x in labels]), b)
-    return df.withColumn(out, b)
+    return df.withColumn(out, _bin_expr(F.col(col), edges, include_lowest=False, labels=labels))
 
 
 def equal_width_edges(lo: float, hi: float, k: int) -> list[float]:
@@ -102,9 +101,9 @@ def fit_label_encoder(df: DataFrame, col: str) -> DataFrame:
 
 def apply_label_encoder(df: DataFrame, col: str, codes: DataFrame, out: str, unseen_code: int = 0) -> DataFrame:
     """FE4: codes by key join; unseen values get ``unseen_code`` and a flag."""
-    j = df.join(codes.withColumnRenamed("value", col), col, "left")
-    return j.withColumn(f"{out}_unseen", F.col("code").isNull().cast("int")) \
-        .withColumn(out, F.coalesce(F.col("code"), F.lit(unseen_code))).drop("code")
+    j = df.join(codes.select(F.col("value").alias(col), F.col("code").alias("_code")), col, "left")
+    return j.withColumn(f"{out}_unseen", F.col("_code").isNull().cast("int")) \
+        .withColumn(out, F.coalesce(F.col("_code"), F.lit(unseen_code))).drop("_code")
 
 
 def fit_standardizer(df: DataFrame, cols: Sequence[str]) -> DataFrame:
