@@ -84,3 +84,65 @@ def wrmsse(train: DataFrame, valid: DataFrame, pred: DataFrame,
     return s.groupBy().agg(
         (F.sum(F.col("rmsse") * F.col("weight")) / F.countDistinct("level")).alias("wrmsse"),
         F.count_if((F.col("scale") == 0) & (F.col("dollars") > 0)).alias("zero_scale_series"))
+
+
+# ---------------------------------------------------------------- row metrics (ML22) and blends (ML24-26)
+
+EPS = 1e-15
+
+
+def binary_metrics(pred: DataFrame, group: str, label: str, prob: str, threshold: float = 0.5,
+                   digits: int = 6) -> DataFrame:
+    """ML22: accuracy, log-loss (probabilities clipped to [eps, 1 - eps]) and RMSE per group."""
+    p = F.least(F.greatest(F.col(prob), F.lit(EPS)), F.lit(1 - EPS))
+    y = F.col(label).cast("double")
+    ll = y * F.log(p) + (1 - y) * F.log(1 - p)
+    hit = ((F.col(prob) > threshold) == (F.col(label) == 1)).cast("double")
+    return pred.groupBy(group).agg(F.round(F.avg(hit), digits).alias("accuracy"),
+                                   F.round(-F.avg(ll), digits).alias("log_loss"),
+                                   F.round(F.sqrt(F.avg((F.col(prob) - y) ** 2)), digits).alias("rmse"))
+
+
+def disagreement(pred: DataFrame, key: str, model: str, prob: str, a: str, b: str, threshold: float = 0.5,
+                 digits: int = 6) -> DataFrame:
+    """ML22: share of rows on which two models' decisions differ."""
+    w = pred.groupBy(key).agg((F.max(F.when(F.col(model) == a, F.col(prob))) > threshold).alias("_a"),
+                              (F.max(F.when(F.col(model) == b, F.col(prob))) > threshold).alias("_b"))
+    return w.agg(F.round(F.avg((F.col("_a") != F.col("_b")).cast("double")), digits).alias("disagreement_rate"),
+                 F.count_if(F.col("_a") != F.col("_b")).alias("n_disagree"))
+
+
+def blend(pred: DataFrame, key: str, prob: str, threshold: float) -> DataFrame:
+    """ML24: mean of the model columns of the long prediction table, thresholded."""
+    return pred.groupBy(key).agg(F.avg(prob).alias("mean_prob")) \
+        .withColumn("pred", (F.col("mean_prob") > threshold).cast("int"))
+
+
+def screen_models(pred: DataFrame, key: str, model: str, prob: str, train_rate, max_rate_distance: float,
+                  max_mean_corr: float, threshold: float = 0.5, digits: int = 6) -> DataFrame:
+    """ML25: per model, distance of its positive rate from the train rate and
+    mean correlation with the other models; ``keep`` when both are acceptable.
+    Model pairs are joined on the row key, so each row pairs only the (few)
+    models' predictions of that row."""
+    rates = pred.groupBy(model).agg(F.avg((F.col(prob) > threshold).cast("double")).alias("_pos"))
+    a = pred.select(key, F.col(model).alias("m1"), F.col(prob).alias("p1"))
+    b = pred.select(key, F.col(model).alias("m2"), F.col(prob).alias("p2"))
+    pairs = a.join(b, key).where(F.col("m1") != F.col("m2")).groupBy("m1", "m2").agg(F.corr("p1", "p2").alias("_c"))
+    mc = pairs.groupBy(F.col("m1").alias(model)).agg(F.avg("_c").alias("_mc"))
+    dist = F.abs(F.col("_pos") - train_rate)
+    return rates.join(mc, model).select(model, F.round(dist, digits).alias("rate_distance"),
+                                        F.round("_mc", digits).alias("mean_corr"),
+                                        ((dist <= max_rate_distance) & (F.col("_mc") < max_mean_corr)).alias("keep"))
+
+
+def majority_vote(pred: DataFrame, key: str, prob: str, threshold: float = 0.5) -> DataFrame:
+    """ML25: 1 when more than half of the models predict positive."""
+    return pred.groupBy(key).agg(
+        (F.sum((F.col(prob) > threshold).cast("int")) * 2 > F.count(F.lit(1))).cast("int").alias("vote"))
+
+
+def prediction_balance(pred: DataFrame, model: str, decision, digits: int = 6) -> DataFrame:
+    """ML26: predicted values per model, count and share."""
+    c = pred.groupBy(model, decision.alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    tot = pred.groupBy(model).agg(F.count(F.lit(1)).alias("_t"))
+    return c.join(tot, model).select(model, "pred", "n", F.round(F.col("n") / F.col("_t"), digits).alias("share"))
