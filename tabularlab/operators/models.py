@@ -17,8 +17,32 @@ from tabularlab.operators.order import with_row_number
 # ---------------------------------------------------------------- ML8 exact k-NN
 
 
-def _dist2(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
+def _block_topk(k: int):
+    """Per (query bucket, candidate bucket) block: numpy distance matrix between
+    the block's queries and candidates, and each query's k best candidates."""
+    def fn(q, c):
+        import numpy as np
+        import pandas as pd
+        cols = ["_id", "_pid", "_plabel", "_d2"]
+        if len(q) == 0 or len(c) == 0:
+            return pd.DataFrame({x: pd.Series(dtype="float64" if x == "_d2" else "int64") for x in cols})
+        qa = np.stack(q["_v"].to_numpy()).astype(np.float64)
+        ca = np.stack(c["_pv"].to_numpy()).astype(np.float64)
+        diff = qa[:, None, :] - ca[None, :, :]
+        d2 = np.einsum("ijk,ijk->ij", diff, diff)
+        kk = min(k, d2.shape[1])
+        pid = c["_pid"].to_numpy()
+        # order by (distance, candidate id): lexsort per row over the block
+        out_q, out_p, out_l, out_d = [], [], [], []
+        for i in range(d2.shape[0]):
+            idx = np.lexsort((pid, d2[i]))[:kk]
+            out_q.append(np.full(kk, q["_id"].iloc[i]))
+            out_p.append(pid[idx])
+            out_l.append(c["_plabel"].to_numpy()[idx])
+            out_d.append(d2[i, idx])
+        return pd.DataFrame({"_id": np.concatenate(out_q), "_pid": np.concatenate(out_p),
+                             "_plabel": np.concatenate(out_l), "_d2": np.concatenate(out_d)})
+    return fn
 
 
 def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
@@ -29,41 +53,51 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
 
     No all-pairs join: rows are projected on the first principal component and
     cut into equal-count buckets along it (distributed row numbers).  A query
-    first compares with the buckets within ``radius`` of its own; the k-th
-    distance found, r, bounds the true one, and since |projection difference| <=
-    distance, every true neighbour lies in the projection band [s - r, s + r].
-    When that band sits inside the compared buckets the answer is final;
-    otherwise the radius doubles for the remaining queries.
+    bucket is compared block by block with the candidate buckets within
+    ``radius`` of it (each block is at most bucket_size x bucket_size; the
+    distances of a block are one numpy matrix product inside the task).  The
+    k-th distance found, r, bounds the true one and |projection difference| <=
+    distance, so every true neighbour lies in the projection band [s - r, s + r];
+    when that band sits inside the compared buckets the answer is final,
+    otherwise the radius doubles for the remaining queries.  How much is
+    pruned depends on the data: well-separated data compares few blocks,
+    isotropic data ends up comparing all of them (still in bounded blocks).
     """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
-    spark = df.sparkSession
-    data = df.select(F.col(id_col).alias("_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("_v"),
-                     F.col(label_col).alias("_label"))
+    data = df.select(F.col(id_col).cast("long").alias("_id"),
+                     F.transform(vec_col, lambda x: x.cast("double")).alias("_v"),
+                     F.col(label_col).cast("long").alias("_label"))
     pc = PCA(k=1, inputCol="_vv", outputCol="_p").fit(data.select(array_to_vector("_v").alias("_vv")))
     u = [float(x) for x in pc.pc.toArray()[:, 0]]
     s = F.aggregate(F.zip_with("_v", F.array(*[F.lit(x) for x in u]), lambda a, b: a * b), F.lit(0.0),
                     lambda acc, v: acc + v)
     proj = data.withColumn("_s", s)
     n = proj.count()
-    m = bucket_size or max(4 * k, 16)
+    m = bucket_size or max(256, 8 * k)
     ranked = with_row_number(proj, ["_s", "_id"], "_rank")
     pts = ranked.withColumn("_b", F.floor((F.col("_rank") - 1) / m).cast("long")).checkpoint(eager=True)
     n_buckets = (n + m - 1) // m
     ranges = pts.groupBy("_b").agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    cand_side = pts.select(F.col("_b").alias("_cb"), F.col("_id").alias("_pid"), F.col("_v").alias("_pv"),
-                           F.col("_label").alias("_plabel"))
     pending = pts.select("_id", "_v", "_s", "_b")
     done = []
     radius = 1
+    schema = "_id long, _pid long, _plabel long, _d2 double"
     while True:
-        q = pending.select("*", F.explode(F.sequence(F.col("_b") - radius, F.col("_b") + radius)).alias("_cb")) \
-            .where((F.col("_cb") >= 0) & (F.col("_cb") < n_buckets))
-        pairs = q.join(cand_side, "_cb").select("_id", "_s", "_b", "_pid", "_plabel",
-                                                _dist2(F.col("_v"), F.col("_pv")).alias("_d2"))
+        offsets = F.sequence(F.lit(-radius), F.lit(radius))
+        q = pending.select("_id", "_v", F.col("_b").alias("_qb"), F.explode(offsets).alias("_o")) \
+            .withColumn("_cb", F.col("_qb") + F.col("_o")).where((F.col("_cb") >= 0) & (F.col("_cb") < n_buckets)) \
+            .drop("_o")
+        c = pts.select(F.col("_id").alias("_pid"), F.col("_v").alias("_pv"), F.col("_label").alias("_plabel"),
+                       F.col("_b").alias("_cb"), F.explode(offsets).alias("_o")) \
+            .withColumn("_qb", F.col("_cb") - F.col("_o")).where((F.col("_qb") >= 0) & (F.col("_qb") < n_buckets)) \
+            .drop("_o")
+        blocks = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(_block_topk(k), schema)
         w = Window.partitionBy("_id").orderBy("_d2", "_pid")
-        top = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-        kth = top.groupBy("_id", "_s", "_b").agg(F.count(F.lit(1)).alias("_n"), F.sqrt(F.max("_d2")).alias("_dk"))
+        top = blocks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r") \
+            .checkpoint(eager=True)
+        kth = top.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), F.sqrt(F.max("_d2")).alias("_dk")) \
+            .join(pending.select("_id", "_s", "_b"), "_id")
         lo = ranges.select(F.col("_b").alias("_lb"), F.col("_lo").alias("_edge_lo"))
         hi = ranges.select(F.col("_b").alias("_hb"), F.col("_hi").alias("_edge_hi"))
         kth = (kth.withColumn("_lb", F.col("_b") - radius).withColumn("_hb", F.col("_b") + radius)
@@ -72,7 +106,7 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
         ok_hi = (F.col("_hb") >= n_buckets - 1) | (F.col("_s") + F.col("_dk") < F.col("_edge_hi"))
         full = (F.col("_lb") <= 0) & (F.col("_hb") >= n_buckets - 1)
         certified = kth.where(full | ((F.col("_n") >= k) & ok_lo & ok_hi)).select("_id").checkpoint(eager=True)
-        done.append(top.join(certified, "_id", "left_semi").select("_id", "_pid", "_plabel", "_d2"))
+        done.append(top.join(certified, "_id", "left_semi"))
         pending = pending.join(certified, "_id", "left_anti").checkpoint(eager=True)
         if pending.isEmpty():
             break
@@ -82,8 +116,8 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
         neigh = neigh.unionByName(d)
     votes = neigh.groupBy("_id", "_plabel").agg(F.count(F.lit(1)).alias("_votes"))
     best = votes.groupBy("_id").agg(F.min_by("_plabel", F.struct(-F.col("_votes"), F.col("_plabel"))).alias("pred"))
-    return data.select(F.col("_id").alias(id_col), F.col("_label").alias(label_col)).join(
-        best.withColumnRenamed("_id", id_col), id_col)
+    return df.select(F.col(id_col), F.col(label_col)).join(
+        best.select(F.col("_id").alias(id_col), F.col("pred").cast(df.schema[label_col].dataType).alias("pred")), id_col)
 
 
 # ---------------------------------------------------------------- feature tables for the classifiers
