@@ -73,23 +73,30 @@ def _article_text(html: str | None) -> str | None:
         def __init__(self):
             super().__init__(convert_charrefs=True)
             self.depth_article = 0
-            self.skip = 0
+            self.skip_tag: str | None = None   # element that opened the skipped region
+            self.skip_depth = 0                # nesting of that element inside it
             self.out: list[str] = []
 
         def handle_starttag(self, tag, attrs):
-            if tag == "article":
-                self.depth_article += 1
+            if self.skip_tag is not None:
+                if tag == self.skip_tag:
+                    self.skip_depth += 1
             elif tag in SKIP or (tag == "div" and ("class", "ad") in attrs):
-                self.skip += 1
+                self.skip_tag, self.skip_depth = tag, 1
+            elif tag == "article":
+                self.depth_article += 1
 
         def handle_endtag(self, tag):
-            if tag == "article":
+            if self.skip_tag is not None:
+                if tag == self.skip_tag:
+                    self.skip_depth -= 1
+                    if self.skip_depth == 0:
+                        self.skip_tag = None
+            elif tag == "article":
                 self.depth_article = max(0, self.depth_article - 1)
-            elif tag in SKIP:
-                self.skip = max(0, self.skip - 1)
 
         def handle_data(self, data):
-            if self.depth_article and not self.skip:
+            if self.depth_article and self.skip_tag is None:
                 self.out.append(data)
 
     p = P()
