@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabularlab.operators.hierarchy import level_aggregate
 from tabularlab.operators.series import first_difference
+from tabularlab.session import materialize
 
 
 def wrmsse(train: DataFrame, valid: DataFrame, pred: DataFrame,
@@ -42,8 +43,34 @@ def wrmsse(train: DataFrame, valid: DataFrame, pred: DataFrame,
               .unionByName(valid.select(*keys, day, sales, dollars, F.lit("v").alias("_part")))
               .unionByName(pred.select(*keys, day, sales, F.lit(None).cast(train.schema[dollars].dataType).alias(dollars),
                                        F.lit("p").alias("_part"))))
-    lv = level_aggregate(tagged, levels, [F.sum(sales).alias("_s"), F.sum(dollars).alias("_usd")],
-                         by=["_part", day]).select("level", "id", "_part", day, "_s", "_usd")
+    return wrmsse_tagged(tagged, levels, day, sales, dollars, zero_scale, per_series)
+
+
+def tag_naive_split(dense: DataFrame, day: str, last_train: int, horizon: int, sales: str = "sales",
+                    dollars: str = "dollars") -> DataFrame:
+    """Train / valid / naive-prediction rows from ONE pass over a dense series
+    table: each row is emitted as train (day <= last_train), valid (the next
+    ``horizon`` days) and/or as the prediction of day + horizon (the last
+    ``horizon`` train days), tagged ``_part`` in {t, v, p}."""
+    d = F.col(day)
+    tags = F.array(
+        F.struct(F.lit("t").alias("part"), d.alias("d"), (d <= last_train).alias("keep")),
+        F.struct(F.lit("v").alias("part"), d.alias("d"), ((d > last_train) & (d <= last_train + horizon)).alias("keep")),
+        F.struct(F.lit("p").alias("part"), (d + horizon).alias("d"),
+                 ((d > last_train - horizon) & (d <= last_train)).alias("keep")))
+    ex = dense.select("*", F.explode(F.filter(tags, lambda x: x["keep"])).alias("_tag"))
+    return ex.withColumn(day, F.col("_tag.d")).withColumn("_part", F.col("_tag.part")) \
+        .withColumn(dollars, F.when(F.col("_part") != "p", F.col(dollars))).drop("_tag")
+
+
+def wrmsse_tagged(tagged: DataFrame, levels: Mapping[int, Sequence[str]], day: str = "day",
+                  sales: str = "sales", dollars: str = "dollars", zero_scale: str = "null",
+                  per_series: bool = False) -> DataFrame:
+    """WRMSSE from leaf rows tagged ``_part`` = t (train) / v (valid) / p (prediction)."""
+    # one row per (level series, part, day): read by three branches below, so it
+    # is checkpointed once instead of re-deriving it from the leaf rows each time
+    lv = materialize(level_aggregate(tagged, levels, [F.sum(sales).alias("_s"), F.sum(dollars).alias("_usd")],
+                                     by=["_part", day]).select("level", "id", "_part", day, "_s", "_usd"))
 
     tr = first_difference(lv.where(F.col("_part") == "t"), ["id"], day, "_s", "_d")
     scale = tr.groupBy("level", "id").agg(

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabularlab.session import materialize
 from tabularlab.sources.tables import Tables
 
 SERIES_KEYS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
@@ -43,24 +44,30 @@ def store_dim(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> Data
         .select("s_suppkey", "store_id", "state_id")
 
 
-def monthly_sales(t: Tables) -> DataFrame:
-    """(item_id, dept_id, cat_id, store_id, state_id, m, sales, dollars): observed rows only."""
+def monthly_sales(t: Tables, materialized: bool = True) -> DataFrame:
+    """(item_id, dept_id, cat_id, store_id, state_id, m, sales, dollars): observed rows only.
+
+    The result (one row per series and month, far smaller than lineitem) is
+    checkpointed by default so that plans using it several times scan
+    lineitem once."""
     li = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                            month_index("l_shipdate").alias("m"))
     # part and supplier grow with the data: no hint, AQE broadcasts them only
     # when the measured size is under the threshold, else it shuffles.
     joined = li.join(item_dim(t.part), F.col("l_partkey") == F.col("p_partkey")) \
                .join(store_dim(t.supplier, t.nation, t.region), F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.groupBy(*SERIES_KEYS, "m").agg(
+    facts = joined.groupBy(*SERIES_KEYS, "m").agg(
         F.sum("l_quantity").cast("bigint").alias("sales"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("dollars"))
+    return materialize(facts) if materialized else facts
 
 
 def dense_monthly_sales(t: Tables, last_month: int = LAST_FULL_MONTH) -> DataFrame:
     """Every observed series x months 1..last_month, absent months = 0 (WN15)."""
     from tabularlab.operators.series import densify
-    facts = monthly_sales(t).where(F.col("m") <= last_month)
-    series = monthly_sales(t).select(*SERIES_KEYS).distinct()
+    all_facts = monthly_sales(t)
+    facts = all_facts.where(F.col("m") <= last_month)
+    series = all_facts.select(*SERIES_KEYS).distinct()
     return densify(facts, series, SERIES_KEYS, "m", 1, last_month,
                    fill={"sales": 0, "dollars": 0})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabularlab.operators.hierarchy import SALES_LEVELS, level_aggregate, level_cardinality
-from tabularlab.operators.metrics import wrmsse
+from tabularlab.operators.metrics import tag_naive_split, wrmsse_tagged
 from tabularlab.operators import series as S
 from tabularlab.plans.catalog import register
 from tabularlab.plans.facts import (DENSE_SALES_SQL, HORIZON, LAST_FULL_MONTH, MONTHLY_SALES_SQL,
@@ -96,10 +96,8 @@ from s
 
 def naive_forecast_wrmsse(spark, sf):
     dense = dense_monthly_sales(Tables(spark, sf))
-    train = dense.where(F.col("m") <= TRAIN_END)
-    valid = dense.where((F.col("m") > TRAIN_END) & (F.col("m") <= TRAIN_END + HORIZON))
-    pred = S.naive_forecast(dense, SERIES_KEYS, "m", "sales", TRAIN_END, HORIZON)
-    r = wrmsse(train, valid, pred, SALES_LEVELS, day="m")
+    tagged = tag_naive_split(dense, "m", TRAIN_END, HORIZON)
+    r = wrmsse_tagged(tagged, SALES_LEVELS, day="m")
     return r.select(F.round("wrmsse", 6).alias("wrmsse"), "zero_scale_series")
 
 

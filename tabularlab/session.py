@@ -58,3 +58,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path inside the shared checkpoint folder for written stage tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage: eager reliable checkpoint into the shared checkpoint folder.
+    Used for small intermediates read by several branches of a plan, so the
+    large input behind them is scanned once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
