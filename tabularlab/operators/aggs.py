@@ -124,9 +124,12 @@ def strongest_pairs(corr_long: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """AG20: equal-width bins between min and max (max falls in the last bin):
-    (bin, lo, hi, count).  min/max come from one scalar aggregation."""
-    mm = df.agg(F.min(col).alias("mn"), F.max(col).alias("mx"))
-    mn, mx = mm.select("mn").scalar(), mm.select("mx").scalar()
+    (bin, lo, hi, count).  min/max come from one small aggregation job and are
+    inlined as literals, so the counting pass is a single scan."""
+    mn, mx = df.agg(F.min(col).alias("mn"), F.max(col).alias("mx")).first()   # two numbers to the driver
+    if mn is None:
+        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, count long")
+    mn, mx = F.lit(float(mn)), F.lit(float(mx))
     width = (mx - mn) / bins
     b = F.least(F.floor((F.col(col) - mn) / width) + 1, F.lit(bins)).cast("int")
     counted = df.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

@@ -131,12 +131,11 @@ def apply_standardizer(df: DataFrame, params: DataFrame, cols: Sequence[str]) ->
 
 
 def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """FE6: (x - min) / (max - min) with min/max from one scalar aggregation."""
-    mm = df.agg(*[F.min(c).alias(f"{c}__mn") for c in cols], *[F.max(c).alias(f"{c}__mx") for c in cols])
+    """FE6: (x - min) / (max - min); min/max from one aggregation job, inlined as literals."""
+    mm = df.agg(*[F.min(c).alias(f"{c}__mn") for c in cols], *[F.max(c).alias(f"{c}__mx") for c in cols]).first()
     out = df
     for c in cols:
-        mn = mm.select(f"{c}__mn").scalar()
-        mx = mm.select(f"{c}__mx").scalar()
+        mn, mx = F.lit(mm[f"{c}__mn"]).cast("double"), F.lit(mm[f"{c}__mx"]).cast("double")
         out = out.withColumn(f"{c}_scaled", F.try_divide(F.col(c) - mn, mx - mn))
     return out
 
@@ -207,11 +206,11 @@ def _reverse(order: Sequence) -> list[Column]:
 
 
 def group_holdout(df: DataFrame, group: str, holdout_groups: DataFrame, tag: str = "split") -> DataFrame:
-    """SM2: every row of the chosen groups goes to validation (semi/anti join)."""
-    keys = holdout_groups.select(F.col(group)).distinct()
-    valid = df.join(keys, group, "left_semi").withColumn(tag, F.lit("valid"))
-    train = df.join(keys, group, "left_anti").withColumn(tag, F.lit("train"))
-    return train.unionByName(valid)
+    """SM2: every row of the chosen groups goes to validation (one left join
+    against the distinct chosen groups)."""
+    keys = holdout_groups.select(F.col(group), F.lit(True).alias("_held")).distinct()
+    j = df.join(keys, group, "left")
+    return j.withColumn(tag, F.when(F.col("_held"), F.lit("valid")).otherwise(F.lit("train"))).drop("_held")
 
 
 def hash_split(df: DataFrame, key: str, fraction: float, seed: int = 0, tag: str = "split") -> DataFrame:

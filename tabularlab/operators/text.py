@@ -118,10 +118,9 @@ def pad_sequences(seq: Column, length: int) -> Column:
 def training_windows(df: DataFrame, doc: str, seq: str, length: int) -> DataFrame:
     """TX8: (doc, start, window, target) with target = the window one step later
     (null when it would cross the end of the document)."""
-    w = df.select(doc, F.posexplode(sliding_windows(F.col(seq), length)).alias("start", "window"))
+    w = df.select(doc, seq, F.posexplode(sliding_windows(F.col(seq), length)).alias("start", "window"))
     n = F.size(F.col(seq))
-    j = w.join(df.select(doc, seq), doc)
-    return j.select(doc, (F.col("start") + 1).alias("start"), "window",
+    return w.select(doc, (F.col("start") + 1).alias("start"), "window",
                     F.when(F.col("start") + 1 + length <= n, F.slice(F.col(seq), F.col("start") + 2, length))
                     .alias("target"))
 
@@ -138,7 +137,10 @@ def coverage_curve(counts: DataFrame, thresholds: int = 100, token: str = "token
     when tokens with count <= t are dropped.  Works on the distribution of
     counts (one row per distinct count value), exploded by the thresholds."""
     tot = counts.groupBy(token).agg(F.sum("count").alias("c"))
-    dist = tot.groupBy("c").agg(F.count(F.lit(1)).alias("n_tok"), F.sum("c").alias("occ"))
+    # one row per distinct count value (at most ~sqrt(2 x tokens) rows): checkpointed
+    # so the totals and the curve read it instead of re-tokenising the corpus
+    from tabularlab.session import materialize
+    dist = materialize(tot.groupBy("c").agg(F.count(F.lit(1)).alias("n_tok"), F.sum("c").alias("occ")))
     all_tok = dist.agg(F.sum("n_tok")).scalar()
     all_occ = dist.agg(F.sum("occ")).scalar()
     x = dist.select("*", F.explode(F.sequence(F.lit(0), F.lit(thresholds - 1))).alias("threshold"))

@@ -94,12 +94,12 @@ RULES = {
 
 
 def predictions(t: Tables):
-    d = t.documents.join(t.labels, "doc_id")
-    long = None
-    for name, expr in RULES.items():
-        p = d.select("doc_id", "quality", F.lit(name).alias("model"), F.expr(expr).cast("double").alias("prob"))
-        long = p if long is None else long.unionByName(p)
-    return long
+    """Long prediction table from one pass over documents x labels: every row
+    is exploded into one (model, prob) pair per rule."""
+    d = t.documents.select("doc_id", "n_chars", "lang", "source").join(t.labels.select("doc_id", "quality"), "doc_id")
+    per_model = F.array(*[F.struct(F.lit(name).alias("model"), F.expr(expr).cast("double").alias("prob"))
+                          for name, expr in RULES.items()])
+    return d.select("doc_id", "quality", F.explode(per_model).alias("_m")).select("doc_id", "quality", "_m.*")
 
 
 PRED_SQL = " union all ".join(
