@@ -221,9 +221,11 @@ def hash_split(df: DataFrame, key: str, fraction: float, seed: int = 0, tag: str
 
 
 def stratified_folds(df: DataFrame, cls: str, order: Sequence, k: int, out: str = "fold") -> DataFrame:
-    """SM5: per class, contiguous k folds under ``order`` (ntile per class)."""
-    w = Window.partitionBy(cls).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
-    return df.withColumn(out, F.ntile(k).over(w))
+    """SM5: per class, contiguous k folds under ``order`` (same sizes as ntile per
+    class), computed from distributed row numbers so a dominant class is not
+    sorted in a single task."""
+    from tabularlab.operators.order import folds_within_groups
+    return folds_within_groups(df, [cls], order, k, out)
 
 
 def permute(df: DataFrame, seed: int, key: str) -> DataFrame:

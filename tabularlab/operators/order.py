@@ -66,3 +66,43 @@ def top_k(df: DataFrame, order: Sequence, k: int, offset: int = 0) -> DataFrame:
     if offset:
         o = o.offset(offset)
     return o.limit(k)
+
+
+def neighbour_values(df: DataFrame, keys: Sequence[str], order: Sequence, value: str,
+                     prev: str = "prev_value", next_: str = "next_value") -> DataFrame:
+    """lag/lead of ``value`` within groups without a per-group window.
+
+    A window partitioned by ``keys`` sorts each group in one task - fatal when
+    a group holds a large share of the rows.  Here rows get global numbers
+    under (keys, order); a row's neighbours are the rows numbered one less /
+    one more, attached by equi-joins on that unique number (no hot key), and
+    kept only when they belong to the same group."""
+    keys = list(keys)
+    numbered = with_row_number(df, [*[F.col(k) for k in keys], *_cols(order)], "_rn")
+    side = numbered.select(*[F.col(k).alias(f"_nk_{k}") for k in keys], F.col("_rn").alias("_nrn"),
+                           F.col(value).alias("_nv"))
+    same = [F.col(k).eqNullSafe(F.col(f"_nk_{k}")) for k in keys]
+
+    def attach(base, offset, name):
+        j = base.join(side, F.col("_nrn") == F.col("_rn") + offset, "left")
+        cond = F.lit(True)
+        for c in same:
+            cond = cond & c
+        return j.withColumn(name, F.when(cond, F.col("_nv"))).drop("_nrn", "_nv", *[f"_nk_{k}" for k in keys])
+
+    return attach(attach(numbered, -1, prev), 1, next_).drop("_rn")
+
+
+def folds_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, out: str = "fold") -> DataFrame:
+    """Stratified contiguous folds: ``ntile(k)`` within each group under ``order``,
+    from global row numbers and per-group (start, size) - no per-group window."""
+    keys = list(keys)
+    numbered = with_row_number(df, [*[F.col(kk) for kk in keys], *_cols(order)], "_rn")
+    bounds = numbered.groupBy(*keys).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    j = numbered.join(bounds, keys)
+    n, r0 = F.col("_n"), F.col("_rn") - F.col("_start")
+    q = F.floor(n / k)
+    rem = n - q * k
+    big = rem * (q + 1)
+    fold = F.when(r0 < big, F.floor(r0 / (q + 1))).otherwise(rem + F.floor((r0 - big) / F.greatest(q, F.lit(1))))
+    return j.withColumn(out, (fold + 1).cast("int")).drop("_rn", "_start", "_n")

@@ -120,10 +120,12 @@ select c_custkey, c_nationkey,
   round(abs(lead(c_acctbal) over w - c_acctbal) + abs(lag(c_acctbal) over w - c_acctbal), 6) as nbr_diff
 from customer window w as (partition by c_nationkey order by c_acctbal, c_custkey)""")
 def wn1(spark, sf):
-    c = Tables(spark, sf).customer
-    w = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
-    d = F.abs(F.lead("c_acctbal").over(w) - F.col("c_acctbal")) + F.abs(F.lag("c_acctbal").over(w) - F.col("c_acctbal"))
-    return c.select("c_custkey", "c_nationkey", F.round(d, 6).alias("nbr_diff"))
+    from tabularlab.operators.order import neighbour_values
+    c = Tables(spark, sf).customer.select("c_custkey", "c_nationkey", "c_acctbal")
+    # 25 nations: a per-nation window would sort each nation's customers in one task
+    nb = neighbour_values(c, ["c_nationkey"], ["c_acctbal", "c_custkey"], "c_acctbal")
+    d = F.abs(F.col("next_value") - F.col("c_acctbal")) + F.abs(F.col("prev_value") - F.col("c_acctbal"))
+    return nb.select("c_custkey", "c_nationkey", F.round(d, 6).alias("nbr_diff"))
 
 
 @register("wn2_first_difference", f"""

@@ -116,3 +116,19 @@ def test_partition_filter_guard(spark, tmp_path):
         IO.scan_partitions(spark, path, "p", ".*")
     with pytest.raises(IO.PartitionFilterError):
         IO.scan_partitions(spark, path, "p", "^zzz$")
+
+
+def test_neighbours_without_group_window(spark):
+    from pyspark.sql import Window
+    from tabularlab.operators.order import folds_within_groups, neighbour_values
+    rows = [("hot", i, float((i * 37) % 101)) for i in range(400)] + [("a", i, float(i)) for i in range(3)] + \
+           [(None, i, float(i)) for i in range(2)]
+    df = spark.createDataFrame(rows, "g string, t int, v double").repartition(6)
+    got = {(r.g, r.t): (r.prev_value, r.next_value) for r in neighbour_values(df, ["g"], ["t"], "v").collect()}
+    w = Window.partitionBy("g").orderBy("t")
+    want = {(r.g, r.t): (r.p, r.n) for r in df.select("g", "t", F.lag("v").over(w).alias("p"),
+                                                        F.lead("v").over(w).alias("n")).collect()}
+    assert got == want
+    f = folds_within_groups(df, ["g"], ["t"], 3)
+    want_f = {(r.g, r.t): r.f for r in df.select("g", "t", F.ntile(3).over(w).alias("f")).collect()}
+    assert {(r.g, r.t): r.fold for r in f.collect()} == want_f
