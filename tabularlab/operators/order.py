@@ -98,8 +98,12 @@ def folds_within_groups(df: DataFrame, keys: Sequence[str], order: Sequence, k:
     from global row numbers and per-group (start, size) - no per-group window."""
     keys = list(keys)
     numbered = with_row_number(df, [*[F.col(kk) for kk in keys], *_cols(order)], "_rn")
-    bounds = numbered.groupBy(*keys).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    j = numbered.join(bounds, keys)
+    bounds = numbered.groupBy(*[F.col(kk).alias(f"_bk_{kk}") for kk in keys]) \
+        .agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    cond = F.lit(True)
+    for kk in keys:   # a null group is a group too (null-safe match)
+        cond = cond & F.col(kk).eqNullSafe(F.col(f"_bk_{kk}"))
+    j = numbered.join(bounds, cond).drop(*[f"_bk_{kk}" for kk in keys])
     n, r0 = F.col("_n"), F.col("_rn") - F.col("_start")
     q = F.floor(n / k)
     rem = n - q * k
