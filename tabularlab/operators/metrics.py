@@ -69,7 +69,8 @@ def wrmsse_tagged(tagged: DataFrame, levels: Mapping[int, Sequence[str]], day: s
     """WRMSSE from leaf rows tagged ``_part`` = t (train) / v (valid) / p (prediction)."""
     # one row per (level series, part, day): read by three branches below, so it
     # is checkpointed once instead of re-deriving it from the leaf rows each time
-    lv = materialize(level_aggregate(tagged, levels, [F.sum(sales).alias("_s"), F.sum(dollars).alias("_usd")],
+    lv = materialize(level_aggregate(tagged, levels, [F.sum(sales).alias("_s"),
+                                                      F.sum(F.col(dollars).cast("double")).alias("_usd")],
                                      by=["_part", day]).select("level", "id", "_part", day, "_s", "_usd"))
 
     tr = first_difference(lv.where(F.col("_part") == "t"), ["id"], day, "_s", "_d")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabularlab.operators.order import with_row_number
+from tabularlab.session import materialize
 
 # ---------------------------------------------------------------- ML8 exact k-NN
 
@@ -76,7 +77,7 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
     n = proj.count()
     m = bucket_size or max(256, 8 * k)
     ranked = with_row_number(proj, ["_s", "_id"], "_rank")
-    pts = ranked.withColumn("_b", F.floor((F.col("_rank") - 1) / m).cast("long")).checkpoint(eager=True)
+    pts = materialize(ranked.withColumn("_b", F.floor((F.col("_rank") - 1) / m).cast("long")), "knn-points")
     n_buckets = (n + m - 1) // m
     ranges = pts.groupBy("_b").agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
     pending = pts.select("_id", "_v", "_s", "_b")
@@ -94,8 +95,8 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
             .drop("_o")
         blocks = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(_block_topk(k), schema)
         w = Window.partitionBy("_id").orderBy("_d2", "_pid")
-        top = blocks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r") \
-            .checkpoint(eager=True)
+        top = materialize(blocks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r"),
+                          "knn-top")
         kth = top.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), F.sqrt(F.max("_d2")).alias("_dk")) \
             .join(pending.select("_id", "_s", "_b"), "_id")
         lo = ranges.select(F.col("_b").alias("_lb"), F.col("_lo").alias("_edge_lo"))
@@ -105,9 +106,9 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
         ok_lo = (F.col("_lb") <= 0) | (F.col("_s") - F.col("_dk") > F.col("_edge_lo"))
         ok_hi = (F.col("_hb") >= n_buckets - 1) | (F.col("_s") + F.col("_dk") < F.col("_edge_hi"))
         full = (F.col("_lb") <= 0) & (F.col("_hb") >= n_buckets - 1)
-        certified = kth.where(full | ((F.col("_n") >= k) & ok_lo & ok_hi)).select("_id").checkpoint(eager=True)
+        certified = materialize(kth.where(full | ((F.col("_n") >= k) & ok_lo & ok_hi)).select("_id"), "knn-done")
         done.append(top.join(certified, "_id", "left_semi"))
-        pending = pending.join(certified, "_id", "left_anti").checkpoint(eager=True)
+        pending = materialize(pending.join(certified, "_id", "left_anti"), "knn-pending")
         if pending.isEmpty():
             break
         radius *= 2

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularlab.session import ensure_checkpoint_dir
+from tabularlab.session import ensure_checkpoint_dir, materialize
 
 
 def _cols(order: Sequence) -> list[Column]:
@@ -31,8 +31,8 @@ def with_row_number(df: DataFrame, order: Sequence, out: str = "row_no",
     order = _cols(order)
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = materialize(ranged, "rownum")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: a window over it is tiny
     offs = counts.withColumn("_off", F.coalesce(

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularlab.session import ensure_checkpoint_dir
+from tabularlab.session import ensure_checkpoint_dir, materialize
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -30,8 +30,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     order = [*[F.col(k) for k in keys], F.col("_v")]
     ranged = (v.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = materialize(ranged, "rownum")
     # per (partition, group): first row id and row count; few rows per partition
     seg = ranged.groupBy("_pid", *keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(*keys).orderBy("_pid")

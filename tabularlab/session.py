@@ -60,9 +60,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df):
-    """Cut lineage: eager reliable checkpoint into the shared checkpoint folder.
-    Used for small intermediates read by several branches of a plan, so the
-    large input behind them is scanned once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "stage"):
+    """Cut lineage with a written table: the rows are written once as parquet
+    into a fresh folder under the shared checkpoint folder and read back.
+
+    Used for intermediates read by several branches of a plan (so the large
+    input behind them is scanned once) and for values that must not be
+    recomputed differently (row numbers).  Unlike ``Dataset.checkpoint`` this
+    computes the plan once, stores columns compressed, and gives the optimizer
+    real sizes; a lost executor re-reads files instead of recomputing."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
