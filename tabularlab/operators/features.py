@@ -168,8 +168,8 @@ def parent_aggregate_features(child: DataFrame, parent_key: str, numeric: Sequen
 def noise_columns(df: DataFrame, key: str, seed: int, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """FE8: reproducible noise from a hash of (key, seed): a 0/1 label and a
     uniform value in [lo, hi].  Independent of partitioning, unlike rand()."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    u = (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
+    from tabularlab.functions.hashing import unit_hash_of
+    u = unit_hash_of(df, key, seed)
     return df.withColumn("noise_label", (u < 0.5).cast("int")) \
              .withColumn("noise_value", F.lit(lo) + u * F.lit(hi - lo))
 
@@ -216,7 +216,8 @@ def group_holdout(df: DataFrame, group: str, holdout_groups: DataFrame, tag: str
 def hash_split(df: DataFrame, key: str, fraction: float, seed: int = 0, tag: str = "split") -> DataFrame:
     """SM4: stable seeded split: a row is 'test' when a hash of (key, seed) falls
     under ``fraction``.  Same answer on every re-run and every partitioning."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    from tabularlab.functions.hashing import unit_hash_of
+    u = unit_hash_of(df, key, seed)
     return df.withColumn(tag, F.when(u < fraction, F.lit("test")).otherwise(F.lit("train")))
 
 
@@ -228,6 +229,9 @@ def stratified_folds(df: DataFrame, cls: str, order: Sequence, k: int, out: str
     return folds_within_groups(df, [cls], order, k, out)
 
 
-def permute(df: DataFrame, seed: int, key: str) -> DataFrame:
-    """SM6: seeded random permutation by hash of (key, seed)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+def permute(df: DataFrame, seed: int, key: str, position: str = "position") -> DataFrame:
+    """SM6: seeded random permutation: rows ordered by a hash of (key, seed),
+    numbered 1..n with distributed row numbers."""
+    from tabularlab.functions.hashing import unit_hash_of
+    from tabularlab.operators.order import with_row_number
+    return with_row_number(df.withColumn("_h", unit_hash_of(df, key, seed)), ["_h", key], position).drop("_h")

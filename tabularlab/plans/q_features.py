@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabularlab.operators import features as FT
 from tabularlab.operators.order import contiguous_folds
+from tabularlab.functions.hashing import unit_hash_sql
 from tabularlab.plans.catalog import register
 from tabularlab.sources.tables import Tables
 
@@ -126,7 +127,9 @@ def fe7(spark, sf):
     return f.join(price_sum, "o_custkey").withColumn("sum_o_totalprice", F.col("_s")).drop("_s")
 
 
-@register("fe8_noise_columns")
+@register("fe8_noise_columns", f"""
+select c_custkey, cast({unit_hash_sql('c_custkey', 7)} < 0.5 as int) as noise_label,
+       0.0 + {unit_hash_sql('c_custkey', 7)} * 1.0 as noise_value from customer""")
 def fe8(spark, sf):
     return FT.noise_columns(Tables(spark, sf).customer.select("c_custkey"), "c_custkey", seed=7)
 
@@ -164,7 +167,8 @@ def sm3(spark, sf):
     return top_n_per_group(d, ["lang"], [F.col("doc_id").desc()], 25)
 
 
-@register("sm4_random_split")
+@register("sm4_random_split", f"""
+select o_orderkey, case when {unit_hash_sql('o_orderkey', 42)} < 0.2 then 'test' else 'train' end as split from orders""")
 def sm4(spark, sf):
     return FT.hash_split(Tables(spark, sf).orders.select("o_orderkey"), "o_orderkey", 0.2, seed=42)
 
@@ -181,6 +185,7 @@ def sm5s(spark, sf):
     return FT.stratified_folds(Tables(spark, sf).labels.select("doc_id", "quality"), "quality", ["doc_id"], 3)
 
 
-@register("sm6_permutation")
+@register("sm6_permutation", f"""
+select doc_id, lang, row_number() over (order by {unit_hash_sql('doc_id', 11)}, doc_id) as position from documents""")
 def sm6(spark, sf):
     return FT.permute(Tables(spark, sf).documents.select("doc_id", "lang"), 11, "doc_id")

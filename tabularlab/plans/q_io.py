@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabularlab.operators.clean import drop_all_null_columns
+from tabularlab.functions.hashing import unit_hash_sql
 from tabularlab.plans.catalog import register
 from tabularlab.plans.facts import MONTHLY_SALES_SQL, monthly_sales
 from tabularlab.sources import files as IO
@@ -56,7 +57,8 @@ def src5(spark, sf):
     return drop_all_null_columns(j)
 
 
-@register("src6_sampled_read")
+@register("src6_sampled_read", f"""
+select l_orderkey, l_linenumber from lineitem where floor({unit_hash_sql('l_orderkey', 0)} * 100) < 10""")
 def src6(spark, sf):
     li = Tables(spark, sf).lineitem
     return IO.sample_rows(li, key="l_orderkey", buckets=100, keep=10).select("l_orderkey", "l_linenumber")

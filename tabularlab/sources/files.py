@@ -56,12 +56,13 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", enc
 def sample_rows(df: DataFrame, fraction: float | None = None, seed: int = 0, limit: int | None = None,
                 key: str | None = None, buckets: int = 1000, keep: int | None = None) -> DataFrame:
     """SRC6: bounded / sampled read.  ``key`` + ``keep`` gives a reproducible
-    hash sample (rows whose pmod(xxhash64(key), buckets) < keep), the same on
+    hash sample (rows whose hash bucket of ``key`` is < keep of ``buckets``), the same on
     every run and partitioning; ``fraction`` uses Bernoulli sampling; ``limit``
     caps the row count (a feature of this operator, not a shortcut)."""
+    from tabularlab.functions.hashing import unit_hash_of
     out = df
     if key is not None and keep is not None:
-        out = out.where(F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)) < keep)
+        out = out.where(F.floor(unit_hash_of(df, key, 0) * buckets) < keep)
     if fraction is not None:
         out = out.sample(withReplacement=False, fraction=fraction, seed=seed)
     if limit is not None:

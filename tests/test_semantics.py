@@ -132,3 +132,12 @@ def test_neighbours_without_group_window(spark):
     f = folds_within_groups(df, ["g"], ["t"], 3)
     want_f = {(r.g, r.t): r.f for r in df.select("g", "t", F.ntile(3).over(w).alias("f")).collect()}
     assert {(r.g, r.t): r.fold for r in f.collect()} == want_f
+
+
+def test_pipe_and_tap(spark):
+    from tabularlab.functions.hooks import pipe, tap
+    seen = []
+    df = spark.range(5)
+    out = df.transform(pipe(lambda d: d.where("id > 1"), tap("filtered", lambda n, d: seen.append((n, d.count()))),
+                            lambda d: d.selectExpr("id * 2 as x")))
+    assert [r.x for r in out.collect()] == [4, 6, 8] and seen == [("filtered", 3)]
