@@ -29,12 +29,12 @@ def test_filter_and_projection_reach_the_scan(spark):
 
 
 def test_fixed_size_dimensions_are_broadcast(spark):
-    p = plan(monthly_sales(Tables(spark, SF_SMALL)))
+    p = plan(monthly_sales(Tables(spark, SF_SMALL), materialized=False))
     assert "BroadcastExchange" in p and "BroadcastHashJoin" in p
 
 
 def test_hierarchy_is_one_expand_one_aggregation(spark):
-    f = monthly_sales(Tables(spark, SF_SMALL))
+    f = monthly_sales(Tables(spark, SF_SMALL), materialized=False)
     p = plan(level_aggregate(f, SALES_LEVELS, [F.sum("sales").alias("s")], by=["m"]), "simple")
     assert p.count("Expand") == 1
     assert p.count("partial_sum(sales") == 1
