@@ -13,6 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def ntz_as_utc_instant(c):
+    """Wall-clock timestamp_ntz -> the instant of that wall-clock time in UTC
+    (second precision), independent of the session time zone."""
+    secs = (F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
+            + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c))
+    return F.timestamp_seconds(secs)
+
+
+def utc_instant_as_ntz(c):
+    """Inverse of ``ntz_as_utc_instant`` for whole seconds."""
+    secs = F.unix_seconds(c)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(secs / 86400).cast("int"))
+    rem = F.pmod(secs, F.lit(86400))
+    return F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), F.floor(rem / 3600).cast("int"),
+                                F.floor(F.pmod(rem, F.lit(3600)) / 60).cast("int"), F.pmod(rem, F.lit(60)).cast("int"))
+
+
 def incremental_copy(spark: SparkSession, src: str, schema: StructType, sink: str, checkpoint: str,
                      max_files_per_trigger: int = 2, timeout_s: int = 600) -> DataFrame:
     """SS1: scan an append-only parquet directory in micro-batches of at most
@@ -35,14 +52,16 @@ def windowed_counts(spark: SparkSession, src: str, schema: StructType, ts: str,
     """SS2: tumbling-window counts with a late-data bound.  Complete mode: each
     micro-batch rewrites the whole (small: one row per window) result table."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src)
-    # watermarks need TIMESTAMP (with local time zone); a wall-clock NTZ column
-    # is read as session-time-zone time
-    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    # watermarks need TIMESTAMP (an instant); a wall-clock NTZ column is turned
+    # into the instant of that wall-clock time in UTC, whatever the session time
+    # zone, so day windows are calendar days of the data
+    stream = stream.withColumn(ts, ntz_as_utc_instant(F.col(ts)))
     counts = (stream.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w"))
               .agg(F.count(F.lit(1)).alias("n")))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n") \
+        batch.select(utc_instant_as_ntz(F.col("w.start")).alias("window_start"),
+                     utc_instant_as_ntz(F.col("w.end")).alias("window_end"), "n") \
             .write.mode("overwrite").parquet(sink)
 
     q = (counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
