@@ -90,13 +90,14 @@ def group_broadcast(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Colum
 def launch_and_zero_periods(df: DataFrame, keys: Sequence[str], period: str, units: str) -> DataFrame:
     """WN6: per series, first period with units > 0 and the count of later zero periods.
 
-    Input must be dense (one row per series and period).
+    Input must be dense (one row per series and consecutive period).  Then the
+    periods after launch number last - launch, of which n_positive - 1 had
+    sales, so one aggregation answers both - no join back of the launch period.
     """
-    g = df.groupBy(*keys).agg(F.min(F.when(F.col(units) > 0, F.col(period))).alias("launch"))
-    j = df.join(g, on=list(keys))
-    return j.groupBy(*keys).agg(
-        F.first("launch").alias("launch_period"),
-        F.count_if((F.col(period) > F.col("launch")) & (F.col(units) == 0)).alias("zero_periods_after_launch"))
+    launch = F.min(F.when(F.col(units) > 0, F.col(period)))
+    n_pos = F.count_if(F.col(units) > 0)
+    zero_after = F.coalesce((F.max(period) - launch) - (n_pos - 1), F.lit(0)).cast("bigint")
+    return df.groupBy(*keys).agg(launch.alias("launch_period"), zero_after.alias("zero_periods_after_launch"))
 
 
 def on_off_changes(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
