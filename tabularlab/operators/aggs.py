@@ -176,3 +176,11 @@ def conditional_count(df: DataFrame, cond: Column, name: str = "n_true", digits:
     """AG22: count and share of rows satisfying a condition."""
     return df.agg(F.count_if(cond).alias(name), F.count(F.lit(1)).alias("n_rows"),
                   F.round(F.avg(cond.cast("double")), digits).alias("ratio"))
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """AG4: distinct values per column in one pass; ``approx`` uses HyperLogLog++
+    sketches (constant memory per column, mergeable across tasks) instead of an
+    exact distinct aggregation."""
+    fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
+    return df.agg(*[fn(c).alias(f"n_{c}") for c in cols])

@@ -313,3 +313,9 @@ select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1""")
 def ag30(spark, sf):
     ev = Tables(spark, sf).events
     return ev.groupBy(F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ag4_approx_distinct")
+def ag4a(spark, sf):
+    """HyperLogLog++ estimates (rows / invariants only: estimates are not exact)."""
+    return A.distinct_counts(Tables(spark, sf).lineitem, ["l_partkey", "l_suppkey", "l_orderkey"], approx=True)
