@@ -32,7 +32,8 @@ def densify(facts: DataFrame, series: DataFrame, keys: Sequence[str], time_col:
     facts on (keys, time).
     """
     keys = list(keys)
-    spine = series.select(*keys, F.explode(F.sequence(_as_col(start), _as_col(stop))).alias(time_col))
+    tt = facts.schema[time_col].dataType       # spine steps get the facts' type
+    spine = series.select(*keys, F.explode(F.sequence(_as_col(start).cast(tt), _as_col(stop).cast(tt))).alias(time_col))
     out = spine.join(facts, on=[*keys, time_col], how="left")
     if fill:
         for k, v in fill.items():
@@ -124,7 +125,8 @@ def step_distribution(dates: DataFrame, date_col: str) -> DataFrame:
     """
     d = dates.select(F.to_date(date_col).alias("_d")).where(F.col("_d").isNotNull()).distinct()
     w = Window.orderBy("_d")
-    steps = d.withColumn("step_days", F.datediff("_d", F.lag("_d").over(w))).where(F.col("step_days").isNotNull())
+    steps = d.withColumn("step_days", F.datediff("_d", F.lag("_d").over(w)).cast("bigint")) \
+        .where(F.col("step_days").isNotNull())
     return steps.groupBy("step_days").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -23,7 +23,7 @@ HORIZON = 6
 
 
 def month_index(ts_col: str) -> F.Column:
-    return (F.year(ts_col) - 1995) * 12 + F.month(ts_col)
+    return ((F.year(ts_col) - 1995) * 12 + F.month(ts_col)).cast("bigint")
 
 
 def item_dim(part: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def sm5(spark, sf):
 
 
 @register("sm5_stratified_folds", """
-select doc_id, quality, ntile(3) over (partition by quality order by doc_id) as fold from labels""")
+select doc_id, quality, cast(ntile(3) over (partition by quality order by doc_id) as int) as fold from labels""")
 def sm5s(spark, sf):
     return FT.stratified_folds(Tables(spark, sf).labels.select("doc_id", "quality"), "quality", ["doc_id"], 3)
 

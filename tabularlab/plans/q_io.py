@@ -151,7 +151,7 @@ def src14(spark, sf):
     header.write.mode("overwrite").text(path + "/header")
     vocab = e.where(F.col("label") == 0).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("token"))
     v = IO.read_word_vectors(spark, path, vocab)
-    return v.select("token", F.size("vector").alias("dim"),
+    return v.select("token", F.size("vector").cast("bigint").alias("dim"),
                     F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vsum"))
 
 

@@ -254,7 +254,8 @@ def sc4(spark, sf):
     d = Tables(spark, sf).documents
     return d.select("doc_id", F.col("text").contains("the").alias("has_the"),
                     F.lower("text").startswith("the").alias("starts_the"),
-                    F.length("text").alias("n_chars"), F.length(F.trim("text")).alias("n_trimmed"),
+                    F.length("text").cast("bigint").alias("n_chars"),
+                    F.length(F.trim("text")).cast("bigint").alias("n_trimmed"),
                     F.col("source").rlike("^src[0-9]+$").alias("source_is_code"), F.lower("lang").alias("lang"))
 
 
@@ -287,10 +288,11 @@ def sc7(spark, sf):
     o = Tables(spark, sf).orders
     d = F.to_date("o_orderdate")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd")  # noqa: E731 - dates leave as ISO text
-    return o.select("o_orderkey", iso(d).alias("o_date"), F.year(d).alias("yr"), F.month(d).alias("mon"),
-                    ((F.year(d) - 1995) * 12 + F.month(d)).alias("month_index"),
+    return o.select("o_orderkey", iso(d).alias("o_date"), F.year(d).cast("bigint").alias("yr"),
+                    F.month(d).cast("bigint").alias("mon"),
+                    ((F.year(d) - 1995) * 12 + F.month(d)).cast("bigint").alias("month_index"),
                     iso(F.date_add(d, 28)).alias("due_date"),
-                    F.datediff(d, F.lit("1995-01-01").cast("date")).alias("day_no"),
+                    F.datediff(d, F.lit("1995-01-01").cast("date")).cast("bigint").alias("day_no"),
                     F.date_format(d, "dd/MM/yyyy").alias("date_str"),
                     iso(F.date_trunc("week", "o_orderdate")).alias("week_start"))
 
@@ -327,7 +329,7 @@ def sc9(spark, sf):
     return e.select("vec_id", argmax(v).alias("argmax"),
                     F.round(weighted_dot(F.slice(v, 1, 3), [0.299, 0.587, 0.114]), 6).alias("grey"),
                     F.round(F.aggregate(F.slice(v, 1, 4), F.lit(0.0), lambda a, x: a + x), 6).alias("head_sum"),
-                    F.size(v).alias("dim"))
+                    F.size(v).cast("bigint").alias("dim"))
 
 
 @register("sc10_json", """

@@ -57,7 +57,7 @@ def ml4(spark, sf):
 
 
 @register("ml4_scan_no_constant", " union all ".join(
-    f"select '{x}' as predictor, round(sum({x} * {Y}) / sum({x} * {x}), 6) as slope, 0.0 as intercept, "
+    f"select '{x}' as predictor, round(sum({x} * {Y}) / sum({x} * {x}), 6) as slope, cast(0 as double) as intercept, "
     f"round(sum({x} * {Y}) * sum({x} * {Y}) / (sum({x} * {x}) * sum({Y} * {Y})), 6) as r2 from lineitem" for x in XS))
 def ml4n(spark, sf):
     return ST.single_predictor_scan(Tables(spark, sf).lineitem, Y, XS, intercept=False)

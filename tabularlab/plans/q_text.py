@@ -17,7 +17,7 @@ BOW_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
 @register("tx1_word_count", "select doc_id, len(regexp_split_to_array(lower(text), '\\s')) as word_count from documents")
 def tx1(spark, sf):
     d = Tables(spark, sf).documents
-    return d.select("doc_id", TX.word_count(F.col("text")).alias("word_count"))
+    return d.select("doc_id", TX.word_count(F.col("text")).cast("bigint").alias("word_count"))
 
 
 TOP_WORDS_SQL = f"""
@@ -29,7 +29,7 @@ select lang, token, count, rank from r where rank <= 25"""
 
 @register("tx2_top_words_by_period", TOP_WORDS_SQL)
 def tx2(spark, sf):
-    return TX.top_words(Tables(spark, sf).documents, "lang", "text", 25)
+    return TX.top_words(Tables(spark, sf).documents, "lang", "text", 25).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @register("tx3_vocabulary_shift", f"""
@@ -93,7 +93,7 @@ def tx6(spark, sf):
 def tx6s(spark, sf):
     d = Tables(spark, sf).documents
     s = TX.encode_sequences(d, "doc_id", "text", _index(d, 5000))
-    return s.select("doc_id", F.array_join("seq", ",").alias("seq"), F.size("seq").alias("seq_len"))
+    return s.select("doc_id", F.array_join("seq", ",").alias("seq"), F.size("seq").cast("bigint").alias("seq_len"))
 
 
 @register("tx7_pad_sequences", f"""
@@ -199,7 +199,8 @@ select threshold, round(sum(case when c > threshold then c else 0 end) / (select
 from c, th group by threshold""")
 def ag31(spark, sf):
     d = Tables(spark, sf).documents
-    return TX.coverage_curve(TX.token_counts(d, [], TX.words(F.col("text"))), 100)
+    return TX.coverage_curve(TX.token_counts(d, [], TX.words(F.col("text"))), 100) \
+        .withColumn("threshold", F.col("threshold").cast("bigint"))
 
 
 @register("tk4_most_common_words", f"""

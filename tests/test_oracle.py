@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 
 sys_path_tools = __import__("os").path.join(__import__("os").path.dirname(__file__), "..", "tools")
 __import__("sys").path.insert(0, sys_path_tools)
-from oracle_check import rows_of  # noqa: E402
+from oracle_check import rows_of, type_mismatches  # noqa: E402
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
@@ -28,7 +28,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
-    got = QUERIES[name](spark, SF_SMALL).toPandas()
+    sdf = QUERIES[name](spark, SF_SMALL)
+    assert type_mismatches(sdf, con, ORACLE[name]) == []
+    got = sdf.toPandas()
     want = con.execute(ORACLE[name]).fetchdf()
     assert rows_of(got) == rows_of(want)
 
