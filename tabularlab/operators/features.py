@@ -141,16 +141,19 @@ def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def parent_aggregate_features(child: DataFrame, parent_key: str, numeric: Sequence[str],
-                              categorical: Mapping[str, Sequence[str]] = {}, digits: int = 6) -> DataFrame:
+                              categorical: Mapping[str, Sequence[str]] = {}, digits: int = 6,
+                              money: Sequence[str] = ()) -> DataFrame:
     """FE7: for each numeric child column count/sum/mean/std/min/max/skew/nunique/mode
     per parent, plus counts where a categorical child column equals a value.
-    Skew is the bias-corrected sample skewness (D13); mode ties -> smallest."""
+    Skew is the bias-corrected sample skewness (D13); mode ties -> smallest.
+    Columns in ``money`` are summed exactly in whole cents."""
     aggs = [F.count(F.lit(1)).alias("n_children")]
     for c in numeric:
         n = F.count(c)
         g1 = F.skewness(c)
         skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
-        aggs += [F.sum(c).alias(f"sum_{c}"), F.round(F.avg(c), digits).alias(f"mean_{c}"),
+        total = (F.sum(F.round(F.col(c) * 100).cast("bigint")) / 100.0) if c in money else F.sum(c)
+        aggs += [total.alias(f"sum_{c}"), F.round(F.avg(c), digits).alias(f"mean_{c}"),
                  F.round(F.stddev_samp(c), digits).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"),
                  F.max(c).alias(f"max_{c}"), F.round(skew, digits).alias(f"skew_{c}"),
                  F.countDistinct(c).alias(f"nunique_{c}")]

@@ -62,7 +62,11 @@ def top_words(df: DataFrame, group: str, text: str, k: int = 25,
 
 
 def vocabulary_shift(top: DataFrame, group: str, a, b) -> DataFrame:
-    """TX3: tokens in group a's top list and not in group b's (and the reverse)."""
+    """TX3: tokens in group a's top list and not in group b's (and the reverse).
+    The top lists (k rows per group) are written once, so the corpus is not
+    tokenised again for each side."""
+    from tabularlab.session import materialize
+    top = materialize(top.select(group, "token"), "top-words")
     ta = top.where(F.col(group) == a).select("token")
     tb = top.where(F.col(group) == b).select("token")
     return ta.subtract(tb).withColumn("kind", F.lit(f"only_{a}")).unionByName(

@@ -122,9 +122,8 @@ select o.o_custkey, count(*) as n_children, cast(sum(price) as double) as sum_o_
 from o join mode on o.o_custkey = mode.o_custkey group by o.o_custkey""")
 def fe7(spark, sf):
     o = Tables(spark, sf).orders
-    f = FT.parent_aggregate_features(o, "o_custkey", ["o_totalprice"], {"o_orderstatus": ["F", "O"]})
-    price_sum = o.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("_s"))
-    return f.join(price_sum, "o_custkey").withColumn("sum_o_totalprice", F.col("_s")).drop("_s")
+    return FT.parent_aggregate_features(o, "o_custkey", ["o_totalprice"], {"o_orderstatus": ["F", "O"]},
+                                        money=["o_totalprice"])
 
 
 @register("fe8_noise_columns", f"""
