@@ -251,13 +251,17 @@ def ag23(spark, sf):
 
 
 def two_sample_categories(df, src, col, a, b):
-    """AG23: relative frequency of each category in two samples, side by side."""
-    counts = df.groupBy(src, col).agg(F.count(F.lit(1)).alias("_n"))
-    tot = df.groupBy(src).agg(F.count(F.lit(1)).alias("_t"))
-    f = counts.join(F.broadcast(tot), src).withColumn("_f", F.round(F.col("_n") / F.col("_t"), 6))
-    fa = f.where(F.col(src) == a).select(col, F.col("_f").alias(f"{a}_freq"))
-    fb = f.where(F.col(src) == b).select(col, F.col("_f").alias(f"{b}_freq"))
-    return fa.join(fb, col, "full_outer")
+    """AG23: relative frequency of each category in two samples, side by side.
+    One pass counts both samples per category; that table (one row per
+    category) is written once and also yields the two sample sizes."""
+    from tabularlab.session import materialize
+    counts = materialize(df.groupBy(col).agg(F.count_if(F.col(src) == a).alias("_na"),
+                                             F.count_if(F.col(src) == b).alias("_nb")), "two-sample")
+    tot_a = counts.agg(F.sum("_na")).scalar()
+    tot_b = counts.agg(F.sum("_nb")).scalar()
+    # a category absent from one sample has no frequency there (full outer join semantics)
+    return counts.select(col, F.when(F.col("_na") > 0, F.round(F.col("_na") / tot_a, 6)).alias(f"{a}_freq"),
+                         F.when(F.col("_nb") > 0, F.round(F.col("_nb") / tot_b, 6)).alias(f"{b}_freq"))
 
 
 @register("ag24_two_sample_qbins", """
