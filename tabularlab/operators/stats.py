@@ -8,7 +8,6 @@ column expressions with the small inverse matrix inlined as literals.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 

@@ -30,7 +30,7 @@ UNIT_CENTS_SQL = ("((2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_q
 
 from tabularlab.operators import aggs as A  # noqa: E402
 from tabularlab.operators import order as O  # noqa: E402
-from tabularlab.operators.quantiles import exact_median, exact_quantiles  # noqa: E402
+from tabularlab.operators.quantiles import exact_median  # noqa: E402
 from tabularlab.plans.catalog import register  # noqa: E402,F811
 
 PRIORITIES = {"1-URGENT": "p_urgent", "2-HIGH": "p_high", "3-MEDIUM": "p_medium",

@@ -8,8 +8,8 @@ from tabularlab.operators.hierarchy import SALES_LEVELS, level_aggregate, level_
 from tabularlab.operators.metrics import tag_naive_split, wrmsse_tagged
 from tabularlab.operators import series as S
 from tabularlab.plans.catalog import register
-from tabularlab.plans.facts import (DENSE_SALES_SQL, HORIZON, LAST_FULL_MONTH, MONTHLY_SALES_SQL,
-                                    SERIES_KEYS, TRAIN_END, dense_monthly_sales, monthly_sales)
+from tabularlab.plans.facts import (DENSE_SALES_SQL, HORIZON, MONTHLY_SALES_SQL, TRAIN_END, dense_monthly_sales,
+                                    monthly_sales)
 from tabularlab.sources.tables import Tables
 
 
@@ -106,8 +106,6 @@ register("ml23_wrmsse_naive", WRMSSE_SQL)(naive_forecast_wrmsse)
 
 # ================================================================ windows on facts
 
-from pyspark.sql import Window  # noqa: E402
-
 from tabularlab.operators import reshape as R  # noqa: E402
 from tabularlab.operators.features import dollars_to_units  # noqa: E402
 from tabularlab.plans.q_aggs import UNIT_CENTS_SQL, weekly_price  # noqa: E402
