@@ -82,7 +82,8 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
     ranges = pts.groupBy("_b").agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
     pending = pts.select("_id", "_v", "_s", "_b")
     done = []
-    radius = 1
+    # with few buckets a pruning round costs more than it saves: compare all at once
+    radius = n_buckets if n_buckets <= 8 else 1
     schema = "_id long, _pid long, _plabel long, _d2 double"
     while True:
         offsets = F.sequence(F.lit(-radius), F.lit(radius))
