@@ -44,7 +44,9 @@ def words(text: Column, pattern: str = WORD) -> Column:
 def token_counts(df: DataFrame, keys: Sequence[str], tokens: Column, out: str = "token") -> DataFrame:
     """(keys, token, count): explode + grouped count; the map side combines
     repeated tokens of a document before the shuffle."""
-    return df.select(*keys, F.explode(tokens).alias(out)).groupBy(*keys, out).agg(F.count(F.lit(1)).alias("count"))
+    from tabularlab.session import ensure_parallelism
+    return ensure_parallelism(df).select(*keys, F.explode(tokens).alias(out)) \
+        .groupBy(*keys, out).agg(F.count(F.lit(1)).alias("count"))
 
 
 def remove_stop_words(counts: DataFrame, token: str = "token", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -106,7 +108,8 @@ def encode_sequences(df: DataFrame, doc: str, text: str, index: DataFrame, drop_
                      unknown_id: int = 0) -> DataFrame:
     """TX6/TX9: each document's tokens replaced by their index, in text order:
     (doc, seq array<int>).  The per-document array holds one document."""
-    toks = df.select(doc, F.posexplode(words(F.col(text))).alias("pos", "token"))
+    from tabularlab.session import ensure_parallelism
+    toks = ensure_parallelism(df).select(doc, F.posexplode(words(F.col(text))).alias("pos", "token"))
     how = "inner" if drop_unknown else "left"
     j = toks.join(index.select("token", F.col("idx").cast("int").alias("idx")), "token", how) \
         .withColumn("idx", F.coalesce("idx", F.lit(unknown_id)))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularlab.session import materialize
+from tabularlab.session import ensure_parallelism, materialize
 from tabularlab.sources.tables import Tables
 
 SERIES_KEYS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
@@ -50,8 +50,8 @@ def monthly_sales(t: Tables, materialized: bool = True) -> DataFrame:
     The result (one row per series and month, far smaller than lineitem) is
     checkpointed by default so that plans using it several times scan
     lineitem once."""
-    li = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                           month_index("l_shipdate").alias("m"))
+    li = ensure_parallelism(t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                                              month_index("l_shipdate").alias("m")))
     # part and supplier grow with the data: no hint, AQE broadcasts them only
     # when the measured size is under the threshold, else it shuffles.
     joined = li.join(item_dim(t.part), F.col("l_partkey") == F.col("p_partkey")) \

@@ -76,3 +76,20 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ensure_parallelism(df):
+    """Spread a narrow input before CPU-heavy per-row work (tokenising whole
+    texts, parsing HTML, a wide join fan-out).
+
+    Only when the scan yields fewer partitions than the cluster can run at once
+    (a small input in one or two files) is the frame repartitioned round-robin;
+    a large input read from many files is returned unchanged, so at scale this
+    adds no shuffle.  Reading the partition count plans the scan, it runs no job."""
+    spark = df.sparkSession
+    try:
+        target = spark.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no SparkContext on this client
+        return df
+    return df.repartition(target) if current < target else df
