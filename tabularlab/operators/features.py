@@ -216,6 +216,22 @@ def group_holdout(df: DataFrame, group: str, holdout_groups: DataFrame, tag: str
     return j.withColumn(tag, F.when(F.col("_held"), F.lit("valid")).otherwise(F.lit("train"))).drop("_held")
 
 
+class MissingClassError(ValueError):
+    pass
+
+
+def assert_classes_on_both_sides(df: DataFrame, tag: str, cls: str) -> DataFrame:
+    """SM2: every class present in the data must appear in each split; returns
+    (split, n_rows, n_classes) - one aggregation, a few rows to the driver."""
+    per = df.groupBy(tag).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(cls).alias("n_classes"))
+    total = df.agg(F.countDistinct(cls)).first()[0]
+    rows = per.collect()
+    short = [r[tag] for r in rows if r["n_classes"] < total]
+    if short or len(rows) < 2:
+        raise MissingClassError(f"splits {short or [r[tag] for r in rows]} miss some of the {total} classes of {cls}")
+    return per
+
+
 def hash_split(df: DataFrame, key: str, fraction: float, seed: int = 0, tag: str = "split") -> DataFrame:
     """SM4: stable seeded split: a row is 'test' when a hash of (key, seed) falls
     under ``fraction``.  Same answer on every re-run and every partitioning."""

@@ -174,3 +174,19 @@ def prediction_balance(pred: DataFrame, model: str, decision, digits: int = 6) -
     c = pred.groupBy(model, decision.alias("pred")).agg(F.count(F.lit(1)).alias("n"))
     tot = pred.groupBy(model).agg(F.count(F.lit(1)).alias("_t"))
     return c.join(tot, model).select(model, "pred", "n", F.round(F.col("n") / F.col("_t"), digits).alias("share"))
+
+
+def drop_one_blends(pred: DataFrame, key: str, model: str, prob: str, label: str, threshold: float,
+                    digits: int = 6) -> DataFrame:
+    """ML25: for each model, the blend of all the others: accuracy and share
+    positive.  Per row the blend without model m is (sum - p_m) / (n - 1), so
+    one aggregation per row plus one pass over the long table suffices (no
+    self join of the predictions)."""
+    per_row = pred.groupBy(key).agg(F.sum(prob).alias("_sum"), F.count(prob).alias("_n"),
+                                    F.first(label).alias("_y"))
+    j = pred.select(key, model, prob).join(per_row, key)
+    mean = (F.col("_sum") - F.col(prob)) / (F.col("_n") - 1)
+    hit = ((mean > threshold) == (F.col("_y") == 1)).cast("double")
+    return j.groupBy(F.col(model).alias("dropped")).agg(
+        F.round(F.avg(hit), digits).alias("accuracy"),
+        F.round(F.avg((mean > threshold).cast("double")), digits).alias("share_positive"))

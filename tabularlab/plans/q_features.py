@@ -153,6 +153,7 @@ def sm2(spark, sf):
     d = Tables(spark, sf).documents.select("doc_id", "source", "lang")
     chosen = d.where(F.col("source").isin(HOLDOUT_SOURCES)).select("source")
     s = FT.group_holdout(d, "source", chosen)
+    FT.assert_classes_on_both_sides(s, "split", "lang")
     n = d.agg(F.count(F.lit(1))).scalar()
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("lang").alias("n_langs"),
                                   F.round(F.count(F.lit(1)) / n, 6).alias("share"))

@@ -63,6 +63,15 @@ def ml4n(spark, sf):
     return ST.single_predictor_scan(Tables(spark, sf).lineitem, Y, XS, intercept=False)
 
 
+@register("ml4_scan_vs_joint")
+def ml4j(spark, sf):
+    """Predictors whose single fit has R^2 > 0.2, beside their coefficient in the joint fit."""
+    li = Tables(spark, sf).lineitem
+    scan = ST.single_predictor_scan(li, Y, XS)
+    joint = ST.ols(li, Y, XS).table(spark).select(F.col("term").alias("predictor"), F.col("coef").alias("joint_slope"))
+    return scan.join(joint, "predictor").withColumn("kept", F.col("r2") > 0.2)
+
+
 @register("ml5_f_test", " union all ".join(
     f"select '{x}' as feature, round(corr({x}, {Y}) * corr({x}, {Y}) / (1 - corr({x}, {Y}) * corr({x}, {Y})) "
     f"* (count(*) - 2), 6) as f_stat from lineitem" for x in XS))
@@ -161,6 +170,17 @@ def ml25(spark, sf):
                            max_rate_distance=0.3, max_mean_corr=0.99)
 
 
+@register("ml25_drop_one", f"""
+with p as ({PRED_SQL}),
+m as (select distinct model from p),
+b as (select m.model as dropped, p.doc_id, avg(p.prob) as mean_prob, any_value(p.quality) as quality
+      from m join p on p.model <> m.model group by m.model, p.doc_id)
+select dropped, round(avg(cast((mean_prob > 0.47) = (quality = 1) as double)), 6) as accuracy,
+       round(avg(cast(mean_prob > 0.47 as double)), 6) as share_positive from b group by dropped""")
+def ml25d(spark, sf):
+    return M.drop_one_blends(predictions(Tables(spark, sf)), "doc_id", "model", "prob", "quality", 0.47)
+
+
 @register("ml25_majority_vote", f"""
 with p as ({PRED_SQL})
 select doc_id, cast(sum(cast(prob > 0.5 as int)) * 2 > count(*) as int) as vote from p group by doc_id""")

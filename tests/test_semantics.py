@@ -141,3 +141,11 @@ def test_pipe_and_tap(spark):
     out = df.transform(pipe(lambda d: d.where("id > 1"), tap("filtered", lambda n, d: seen.append((n, d.count()))),
                             lambda d: d.selectExpr("id * 2 as x")))
     assert [r.x for r in out.collect()] == [4, 6, 8] and seen == [("filtered", 3)]
+
+
+def test_holdout_class_check(spark):
+    df = spark.createDataFrame([(1, "s1", "en"), (2, "s2", "en"), (3, "s2", "fr")], "id int, src string, lang string")
+    chosen = df.where("src = 's1'").select("src")
+    split = FT.group_holdout(df, "src", chosen)
+    with pytest.raises(FT.MissingClassError):
+        FT.assert_classes_on_both_sides(split, "split", "lang")
