@@ -297,6 +297,17 @@ def sc7(spark, sf):
                     iso(F.date_trunc("week", "o_orderdate")).alias("week_start"))
 
 
+@register("sc7_biweekly_ticks", """
+with r as (select cast(min(o_orderdate) as date) as lo, cast(max(o_orderdate) as date) as hi from orders),
+t as (select unnest(generate_series(lo, hi, interval 14 day)) as tick from r)
+select strftime(tick, '%Y-%m-%d') as tick from t""")
+def sc7t(spark, sf):
+    o = Tables(spark, sf).orders
+    r = o.agg(F.to_date(F.min("o_orderdate")).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi"))
+    ticks = r.select(F.explode(F.sequence("lo", "hi", F.expr("interval 2 weeks"))).alias("tick"))
+    return ticks.select(F.date_format("tick", "yyyy-MM-dd").alias("tick"))
+
+
 @register("sc8_math", """
 select l_orderkey, l_linenumber, abs(l_discount - 0.05) as abs_dev, power(l_quantity, 2) as qty_sq,
        round(sqrt(l_extendedprice), 6) as sqrt_price, round(l_extendedprice / 7, 2) as r2,
@@ -455,6 +466,17 @@ def jn10(spark, sf):
     return J.enrich(t.supplier, t.nation, "s_nationkey", "n_nationkey", fixed_size=True).select("s_suppkey", "s_name", "n_name")
 
 
+@register("jn10_unmatched_report", """
+select count(*) as n_rows, count(*) filter (where n_nationkey is null) as n_unmatched,
+       count(distinct s_nationkey) filter (where n_nationkey is null) as n_unmatched_keys
+from supplier left join nation on s_nationkey = n_nationkey""")
+def jn10u(spark, sf):
+    t = Tables(spark, sf)
+    j = J.enrich(t.supplier, t.nation, "s_nationkey", "n_nationkey", fixed_size=True)
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n_nationkey").isNull()).alias("n_unmatched"),
+                 F.countDistinct(F.when(F.col("n_nationkey").isNull(), F.col("s_nationkey"))).alias("n_unmatched_keys"))
+
+
 @register("jn11_record_linkage", """
 select l_quantity, l_extendedprice, count(*) as n_rows, count(distinct l_orderkey) as n_ids,
        min(l_orderkey) as min_id, max(l_orderkey) as max_id

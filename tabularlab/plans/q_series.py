@@ -289,6 +289,18 @@ def ag28(spark, sf):
                     (F.col("n_weeks") < span).alias("incomplete"))
 
 
+@register("ag28_incomplete_coverage_share", f"""
+with wp as ({WEEKLY_PRICE_SQL2}),
+c as (select wp_partkey, count(distinct wp_week) as n_weeks,
+             datediff('day', min(wp_week), max(wp_week)) // 7 + 1 as span from wp group by wp_partkey)
+select count(*) as n_parts, count(*) filter (where n_weeks < span) as n_incomplete,
+       round(count(*) filter (where n_weeks < span) / count(*), 6) as incomplete_share from c""")
+def ag28s(spark, sf):
+    c = ag28(spark, sf)
+    return c.agg(F.count(F.lit(1)).alias("n_parts"), F.count_if("incomplete").alias("n_incomplete"),
+                 F.round(F.avg(F.col("incomplete").cast("double")), 6).alias("incomplete_share"))
+
+
 # ================================================================ reshape
 
 YEARS = list(range(1995, 2002))
