@@ -101,10 +101,12 @@ select lang as class_label, case when doc_id % 4 = 0 then 'test' else 'train' en
        source || '/' || cast(doc_id as varchar) || '.txt' as path from documents""")
 def src11(spark, sf):
     d = Tables(spark, sf).documents.select(
-        "lang", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split"),
+        "lang", F.col("doc_id").alias("_doc"), F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split"),
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
-    # one JSON object {class: [paths]} per (split, class, source) line
-    objs = d.groupBy("split", "lang", F.split_part("path", F.lit("/"), F.lit(1)).alias("_src")) \
+    # one JSON object {class: [paths]} per line, for at most 1000 documents (a
+    # block of doc ids) of one split, class and source: no list grows with the data
+    objs = d.groupBy("split", "lang", F.split_part("path", F.lit("/"), F.lit(1)).alias("_src"),
+                     F.floor(F.col("_doc") / 1000).alias("_block")) \
         .agg(F.collect_list("path").alias("paths")) \
         .select("split", F.to_json(F.create_map(F.col("lang"), F.col("paths"))).alias("value"))
     path = IO.run_folder(spark, "class-lists")
