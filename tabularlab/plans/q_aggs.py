@@ -110,6 +110,15 @@ def ag7(spark, sf):
     return A.count_of_counts(Tables(spark, sf).lineitem, ["l_orderkey"])
 
 
+@register("ag7_min_group_size", """
+select min(n) as min_group_size, max(n) as max_group_size, count(*) as n_groups
+from (select l_orderkey, count(*) as n from lineitem group by l_orderkey)""")
+def ag7m(spark, sf):
+    c = A.count_of_counts(Tables(spark, sf).lineitem, ["l_orderkey"])
+    return c.agg(F.min("group_size").alias("min_group_size"), F.max("group_size").alias("max_group_size"),
+                 F.sum("n_groups").alias("n_groups"))
+
+
 _DL = "documents d join labels l on d.doc_id = l.doc_id"
 
 

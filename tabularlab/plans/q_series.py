@@ -225,6 +225,15 @@ def wn12(spark, sf):
         .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sales").cast("bigint").alias("units"))
 
 
+@register("wn12_last_n_rows", f"""
+select item_id, store_id, m, sales from (
+  select *, row_number() over (partition by item_id, store_id order by m desc) as r from ({DENSE_SALES_SQL}))
+where r <= 3""")
+def wn12n(spark, sf):
+    d = dense_monthly_sales(Tables(spark, sf))
+    return S.top_n_per_group(d, LEAF, [F.col("m").desc()], 3).select(*LEAF, "m", "sales")
+
+
 @register("wn13_lifetime_averages", f"""
 select item_id, store_id, min(m) as first_day, max(m) as last_day, sum(sales)::bigint as total,
        max(m) - min(m) + 1 as days, round(sum(sales) / (max(m) - min(m) + 1), 6) as daily_avg,
