@@ -115,8 +115,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> D
 
 
 def strongest_pairs(corr_long: DataFrame) -> DataFrame:
-    """AG19: strongest positive and strongest negative off-diagonal pair."""
-    off = corr_long.where(F.col("col_a") < F.col("col_b"))
+    """AG19: strongest positive and strongest negative off-diagonal pair.
+    The (small) correlation table is written once and read by both picks."""
+    from tabularlab.session import materialize
+    off = materialize(corr_long.where(F.col("col_a") < F.col("col_b")), "corr")
     pos = off.orderBy(F.col("corr").desc(), "col_a", "col_b").limit(1).withColumn("kind", F.lit("positive"))
     neg = off.orderBy(F.col("corr").asc(), "col_a", "col_b").limit(1).withColumn("kind", F.lit("negative"))
     return pos.unionByName(neg)
