@@ -149,3 +149,25 @@ def test_holdout_class_check(spark):
     split = FT.group_holdout(df, "src", chosen)
     with pytest.raises(FT.MissingClassError):
         FT.assert_classes_on_both_sides(split, "split", "lang")
+
+
+def test_one_partition_equals_many(spark):
+    from tabularlab.operators.hierarchy import SALES_LEVELS, level_aggregate
+    from tabularlab.operators.text import top_words
+    from tabularlab.plans.facts import monthly_sales
+    from tabularlab.sources.tables import Tables
+    from conftest import SF_SMALL
+    t = Tables(spark, SF_SMALL)
+    f = monthly_sales(t)
+
+    def both(fn, df):
+        one = sorted(map(tuple, fn(df.coalesce(1)).collect()), key=repr)
+        many = sorted(map(tuple, fn(df.repartition(7)).collect()), key=repr)
+        return one, many
+
+    one, many = both(lambda d: level_aggregate(d, SALES_LEVELS, [F.sum("sales").alias("s")], by=["m"]), f)
+    assert one == many
+    one, many = both(lambda d: exact_quantiles(d, ["cat_id"], "sales", [0.25, 0.5]), f)
+    assert one == many
+    one, many = both(lambda d: top_words(d, "lang", "text", 5), t.documents)
+    assert one == many
