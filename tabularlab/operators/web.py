@@ -44,9 +44,10 @@ def first_group(html: Column, pattern: str) -> Column:
 
 def page_fields(df: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
     """TX14: per page (field, value) rows: title, heading, paragraph count,
-    text of the last paragraph, footer."""
+    text of the last paragraph, text of the last element of class "ad", footer."""
     h = F.col(html)
     paras = F.regexp_extract_all(h, F.lit(r"(?s)<p>(.*?)</p>"), 1)
+    ads = F.regexp_extract_all(h, F.lit(r'(?s)<div class="ad">(.*?)</div>'), 1)
     fields = F.array(
         F.struct(F.lit("title").alias("field"), first_group(h, r"(?s)<title>(.*?)</title>").alias("value")),
         F.struct(F.lit("heading").alias("field"), first_group(h, r"(?s)<h1>(.*?)</h1>").alias("value")),
@@ -54,6 +55,7 @@ def page_fields(df: DataFrame, page: str = "page_id", html: str = "html") -> Dat
                  F.regexp_count(h, F.lit("<p>")).cast("string").alias("value")),
         F.struct(F.lit("last_paragraph").alias("field"),
                  F.when(F.size(paras) > 0, F.element_at(paras, -1)).alias("value")),
+        F.struct(F.lit("last_ad").alias("field"), F.when(F.size(ads) > 0, F.element_at(ads, -1)).alias("value")),
         F.struct(F.lit("footer").alias("field"), first_group(h, r"(?s)<footer>(.*?)</footer>").alias("value")))
     return df.select(page, F.explode(fields).alias("f")).select(page, "f.field", "f.value")
 

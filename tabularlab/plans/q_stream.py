@@ -40,7 +40,7 @@ def tx14(spark, sf):
 
 
 FIELDS = {"title": "title", "heading": "heading", "n_paragraphs": "n_paragraphs", "last_paragraph": "last_paragraph",
-          "footer": "footer"}
+          "last_ad": "last_ad", "footer": "footer"}
 
 
 @register("tx14_page_fields_wide", """
@@ -49,6 +49,8 @@ select page_id, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '')
        cast(len(regexp_extract_all(html, '<p>')) as varchar) as n_paragraphs,
        case when len(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) > 0
             then regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)[-1] end as last_paragraph,
+       case when len(regexp_extract_all(html, '(?s)<div class="ad">(.*?)</div>', 1)) > 0
+            then regexp_extract_all(html, '(?s)<div class="ad">(.*?)</div>', 1)[-1] end as last_ad,
        nullif(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '') as footer
 from pages""")
 def tx14w(spark, sf):
