@@ -26,8 +26,8 @@ def nav_links(df: DataFrame, page: str = "page_id", html: str = "html", prefix:
 
 
 def all_links(df: DataFrame, html: str = "html") -> DataFrame:
-    """ST5: the union of the links of every listing page, deduplicated (the
-    crawler pages through listings until the set stops growing; here all
+    """ST5: the union of the links of every listing page, deduplicated (a
+    crawler would page through listings until the set stops growing; here all
     listing pages are already rows, so the fixpoint is one distinct union)."""
     return df.select(F.explode(F.regexp_extract_all(F.col(html), F.lit(HREF), 1)).alias("href")).distinct()
 
