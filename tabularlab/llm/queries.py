@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularlab.llm import quality, simhash
+from tabularlab.llm import bpe, quality, simhash, tokenfile, warc
 from tabularlab.sources.tables import table
 
+TOKENIZERS = "/opt/tokenizers"     # folder of the public tokenizer files, on every executor
+
+
+def tokenizer(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -30,3 +37,18 @@ def op1(spark, sf_dir):
 @query("op2_simhash_groups")
 def op2(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_bpe_round_trip")
+def op6(spark, sf_dir):
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op8_token_files")
+def op8(spark, sf_dir):
+    return tokenfile.token_file_report(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op10_warc_salvage", warc.ARCHIVE_SQL)
+def op10(spark, sf_dir):
+    return warc.archive_report(table(spark, sf_dir, "pages"))
