@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularlab.llm import bpe, quality, simhash, tokenfile, warc
+from tabularlab.llm import bpe, lm, quality, simhash, tokenfile, warc
 from tabularlab.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"     # folder of the public tokenizer files, on every executor
@@ -52,3 +52,8 @@ def op8(spark, sf_dir):
 @query("op10_warc_salvage", warc.ARCHIVE_SQL)
 def op10(spark, sf_dir):
     return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+@query("op9_lattice_scores")
+def op9(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
