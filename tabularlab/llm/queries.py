@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularlab.llm import bpe, lm, quality, simhash, tokenfile, warc
+from tabularlab.llm import bpe, lm, mixing, quality, sharding, simhash, tokenfile, warc
 from tabularlab.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"     # folder of the public tokenizer files, on every executor
@@ -57,3 +57,13 @@ def op10(spark, sf_dir):
 @query("op9_lattice_scores")
 def op9(spark, sf_dir):
     return lm.score_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op3_poisson_mix", mixing.MIX_SQL)
+def op3(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op4_histogram_shards")
+def op4(spark, sf_dir):
+    return sharding.shard_report(table(spark, sf_dir, "documents"))

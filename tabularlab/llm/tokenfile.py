@@ -23,20 +23,24 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabularlab.llm.common import Scratch, need
 
-CACHE_STRETCHES = 800_000       # encoded stretches kept per Python worker
-RUN = re.compile(r"\s | \s|^ | $")   # a blank that is not alone between two other characters
+CACHE_STRETCHES = 500_000       # encoded stretches kept per Python worker
+CACHE_WORDS = 100_000           # words that the tokenizers library keeps itself
+SEPARATOR = "\t"                # one token; white space, so it ends any pre-token before it
+ODD = re.compile(r"[^\S \n]|\0")    # white space beside blanks and line feeds; the mark that cuts are made at
 WRITE_OPTIONS = {
     "parquet.block.size": str(32 << 20),             # bytes of a row group
     "parquet.page.size": str(256 << 10),
@@ -59,17 +63,34 @@ class Stretches:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.model._resize_cache(CACHE_WORDS)
+        self.separator, = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
     def learn(self, stretches: set[str]) -> dict[str, bytes]:
-        new = list(stretches)
-        made = self.library.encode_batch_fast(new, add_special_tokens=False)
-        return {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(new, made)}
+        """Ids of new stretches.  Those without the separator are encoded as one text: the
+        separator is white space before a lone blank, hence a pre-token of its own."""
+        plain = [s for s in stretches if s.startswith(" ") and SEPARATOR not in s]
+        out = {}
+        for at in range(0, len(plain), 4096):
+            part = plain[at: at + 4096]
+            ids = array("I", self.library.encode_batch_fast([SEPARATOR.join(part)], add_special_tokens=False)[0].ids)
+            ends = [*np.nonzero(np.frombuffer(ids, np.uint32) == self.separator)[0].tolist(), len(ids)]
+            if len(ends) != len(part):
+                raise AssertionError("separators and stretches differ in number")
+            packed, start = ids.tobytes(), 0
+            for stretch, end in zip(part, ends):
+                out[stretch] = packed[4 * start: 4 * end]
+                start = end + 1
+        rest = [s for s in stretches if s not in out]
+        made = self.library.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((s, array("I", e.ids).tobytes()) for s, e in zip(rest, made))
+        return out
 
     @staticmethod
     def cut(text: str) -> list[str]:
         """The text as stretches; each but the first starts with a blank that stands alone."""
-        if "\0" not in text and not RUN.search(text):
+        if not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or ODD.search(text)):
             return text.replace(" ", "\0 ").split("\0")
         out, open_, first = [], "", True
         for part in text.split(" "):
@@ -91,9 +112,12 @@ class Stretches:
         known, cuts, new = self.known, [self.cut(t) for t in texts], set()
         for c in cuts:
             new.update(c)
-        fresh = self.learn({s for s in new if s not in known})
-        out = [b"".join([known[s] if s in known else fresh[s] for s in c]) for c in cuts]
-        known.update((s, ids) for s, ids in fresh.items() if len(s) <= 64)
+        fresh = self.learn(new.difference(known))
+        long = [s for s in fresh if len(s) > 64]
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, c)) for c in cuts]
+        for s in long:
+            del known[s]
         return out
 
 
@@ -102,16 +126,14 @@ def load(path: str) -> Stretches:
     return Stretches(path)
 
 
-def groups(texts: list[str], size: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(first position, texts) of about ``size`` characters together, so that memory is bounded."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield at, texts[at: i + 1]
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+def groups(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(first position, texts) of about ``size`` bytes together, so that memory is bounded."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // size
+    starts = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [len(texts)]]).tolist()
+    for a, z in zip(starts, starts[1:]):
+        if a < z:
+            yield a, [t or "" for t in texts.slice(a, z - a).to_pylist()]
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str = "doc_id", text: str = "text",
@@ -127,7 +149,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, row = load(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at, texts in groups([t or "" for t in b.column(1).to_pylist()]):
+            for at, texts in groups(b.column(1)):
                 made = [ids + end for ids in code.encode(texts)]
                 sizes = np.array([len(m) // 4 for m in made], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
