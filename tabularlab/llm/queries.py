@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularlab.llm import bpe, lm, mixing, quality, sharding, simhash, tokenfile, warc
+from tabularlab.llm import bpe, linededup, lm, mixing, quality, sharding, simhash, tokenfile, warc
 from tabularlab.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"     # folder of the public tokenizer files, on every executor
@@ -67,3 +67,9 @@ def op3(spark, sf_dir):
 @query("op4_histogram_shards")
 def op4(spark, sf_dir):
     return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_line_dedup")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
