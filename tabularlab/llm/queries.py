@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularlab.llm import bpe, linededup, lm, mixing, quality, sharding, simhash, tokenfile, warc
+from tabularlab.llm import bpe, linededup, lm, mixing, quality, search, sharding, simhash, tokenfile, warc
 from tabularlab.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"     # folder of the public tokenizer files, on every executor
@@ -73,3 +73,8 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query("op7_bm25_top10", search.SEARCH_SQL)
+def op7(spark, sf_dir):
+    return search.every_fiftieth(table(spark, sf_dir, "documents"))
