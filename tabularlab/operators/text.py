@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabularlab.functions.arrays import pad_left, sliding_windows
+from tabularlab.session import materialize, spread
 
 # The stop-word list of the word-frequency report (as given, including its repeats).
 STOP_WORDS = ['of', 'the', 'to', 'and', 'a', 'in', 'that', 'is', 'for', 'which', 'it', 'this', 'we', 'be', 'united',
@@ -44,11 +45,21 @@ def words(text: Column, pattern: str = WORD) -> Column:
 def token_counts(df: DataFrame, keys: Sequence[str], tokens: Column, out: str = "token") -> DataFrame:
     """(keys, token, count): explode + grouped count; the map side combines
     repeated tokens of a document before the shuffle."""
-    from tabularlab.session import ensure_parallelism
-    return ensure_parallelism(df).select(*keys, F.explode(tokens).alias(out)) \
+    return spread(df).select(*keys, F.explode(tokens).alias(out)) \
         .groupBy(*keys, out).agg(F.count(F.lit(1)).alias("count"))
 
 
+def tokenised(df: DataFrame, doc: str, tokens: Column) -> DataFrame:
+    """(doc, tokens), written once: everything that counts or encodes the corpus reads
+    this table, so each text is tokenised a single time, spread over all tasks."""
+    return materialize(spread(df, doc).select(doc, tokens.alias("tokens")), "tokens")
+
+
+def counts_of(tokens: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, token, count) of a tokenised table."""
+    return tokens.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("count"))
+
+
 def remove_stop_words(counts: DataFrame, token: str = "token", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Anti join with the fixed stop list (a literal array: constant size)."""
     return counts.where(~F.col(token).isin(list(dict.fromkeys(stop_words))))
@@ -67,7 +78,6 @@ def vocabulary_shift(top: DataFrame, group: str, a, b) -> DataFrame:
     """TX3: tokens in group a's top list and not in group b's (and the reverse).
     The top lists (k rows per group) are written once, so the corpus is not
     tokenised again for each side."""
-    from tabularlab.session import materialize
     top = materialize(top.select(group, "token"), "top-words")
     ta = top.where(F.col(group) == a).select("token")
     tb = top.where(F.col(group) == b).select("token")
@@ -87,32 +97,36 @@ def keyword_trend(df: DataFrame, group: str, text: str, keywords: Sequence[str])
 
 def fit_vocabulary(counts: DataFrame, token: str = "token", max_size: int | None = None,
                    min_count: int = 1) -> DataFrame:
-    """TX5/TX6: (token, count, idx) with idx 1 = most frequent (ties: token asc),
-    optionally capped to ``max_size`` entries.  The numbering is a distributed
-    row number (no single-partition window)."""
-    from tabularlab.operators.order import with_row_number
+    """TX5/TX6: (token, count, idx) with idx 1 = most frequent (ties: token asc).
+    All tokens by default; ``max_size`` keeps the most frequent only (a top-k, so
+    nothing else is numbered).  The numbering is a distributed row number (no
+    single-partition window)."""
+    from tabularlab.operators.order import top_k, with_row_number
     tot = counts.groupBy(token).agg(F.sum("count").alias("count")).where(F.col("count") >= min_count)
-    ranked = with_row_number(tot, [F.col("count").desc(), F.col(token)], "idx")
-    if max_size is not None:
-        ranked = ranked.where(F.col("idx") <= max_size)
-    return ranked
+    order = [F.col("count").desc(), F.col(token)]
+    return with_row_number(tot if max_size is None else top_k(tot, order, max_size), order, "idx")
 
 
-def bag_of_words(df: DataFrame, doc: str, text: str, vocab: DataFrame) -> DataFrame:
+def bag_of_words(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """TX5: (doc, token, count) restricted to a vocabulary (fit on train rows)."""
-    c = token_counts(df, [doc], words(F.col(text), BOW_TOKEN))
-    return c.join(vocab.select("token"), "token", "left_semi")
+    return counts.join(vocab.select("token"), "token", "left_semi")
 
 
-def encode_sequences(df: DataFrame, doc: str, text: str, index: DataFrame, drop_unknown: bool = True,
+INDEX_BROADCAST_ROWS = 200_000    # vocabularies up to this size travel to the tokens
+
+
+def encode_sequences(tokens: DataFrame, doc: str, index: DataFrame, drop_unknown: bool = True,
                      unknown_id: int = 0) -> DataFrame:
     """TX6/TX9: each document's tokens replaced by their index, in text order:
-    (doc, seq array<int>).  The per-document array holds one document."""
-    from tabularlab.session import ensure_parallelism
-    toks = ensure_parallelism(df).select(doc, F.posexplode(words(F.col(text))).alias("pos", "token"))
+    (doc, seq array<int>).  The per-document array holds one document.
+
+    The index is broadcast when its counted size allows; beyond that both sides
+    are shuffled and merged.  The exploded tokens are never broadcast."""
+    toks = tokens.select(doc, F.posexplode("tokens").alias("pos", "token"))
     how = "inner" if drop_unknown else "left"
-    j = toks.join(index.select("token", F.col("idx").cast("int").alias("idx")), "token", how) \
-        .withColumn("idx", F.coalesce("idx", F.lit(unknown_id)))
+    small = index.select("token", F.col("idx").cast("int").alias("idx"))
+    small = F.broadcast(small) if index.count() <= INDEX_BROADCAST_ROWS else small.hint("merge")
+    j = toks.join(small, "token", how).withColumn("idx", F.coalesce("idx", F.lit(unknown_id)))
     seq = j.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_s"))
     return seq.select(doc, F.transform("_s", lambda s: s["idx"]).alias("seq"))
 
@@ -144,9 +158,8 @@ def coverage_curve(counts: DataFrame, thresholds: int = 100, token: str = "token
     when tokens with count <= t are dropped.  Works on the distribution of
     counts (one row per distinct count value), exploded by the thresholds."""
     tot = counts.groupBy(token).agg(F.sum("count").alias("c"))
-    # one row per distinct count value (at most ~sqrt(2 x tokens) rows): checkpointed
-    # so the totals and the curve read it instead of re-tokenising the corpus
-    from tabularlab.session import materialize
+    # one row per distinct count value (at most ~sqrt(2 x tokens) rows): written once
+    # so the totals and the curve read it instead of counting the corpus again
     dist = materialize(tot.groupBy("c").agg(F.count(F.lit(1)).alias("n_tok"), F.sum("c").alias("occ")))
     all_tok = dist.agg(F.sum("n_tok")).scalar()
     all_occ = dist.agg(F.sum("occ")).scalar()

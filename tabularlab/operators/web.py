@@ -114,9 +114,9 @@ def main_text(df: DataFrame, page: str = "page_id", html: str = "html") -> DataF
         for pdf in batches:
             yield pd.DataFrame({page: pdf[page], "text": [_article_text(h) for h in pdf[html]]})
 
-    from tabularlab.session import ensure_parallelism
+    from tabularlab.session import spread
     schema = f"{page} {dict(df.dtypes)[page]}, text string"
-    return ensure_parallelism(df.select(page, html)).mapInPandas(run, schema)
+    return spread(df.select(page, html)).mapInPandas(run, schema)
 
 
 # --------------------------------------------------------------- messy numbers (TX15)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabularlab.operators import text as TX
 from tabularlab.plans.catalog import register
+from tabularlab.session import materialize
 from tabularlab.sources.tables import Tables
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in dict.fromkeys(TX.STOP_WORDS)) + ")"
@@ -51,10 +52,11 @@ def tx4(spark, sf):
     return TX.keyword_trend(Tables(spark, sf).documents, "lang", "text", KEYWORDS)
 
 
-BOW_VOCAB_SQL = f"""
-with t as (select unnest({BOW_SQL}) as token from documents where doc_id % 5 <> 0),
-c as (select token, count(*) as count from t group by token)
-select token from c order by count desc, token limit 1000"""
+BOW_VOCAB_SQL = f"select distinct unnest({BOW_SQL}) as token from documents where doc_id % 5 <> 0"
+
+
+def _tokens(d, pattern=TX.WORD):
+    return TX.tokenised(d, "doc_id", TX.words(F.col("text"), pattern))
 
 
 @register("tx5_bag_of_words", f"""
@@ -62,10 +64,11 @@ with v as ({BOW_VOCAB_SQL}),
 t as (select doc_id, unnest({BOW_SQL}) as token from documents)
 select doc_id, token, count(*) as count from t where token in (select token from v) group by doc_id, token""")
 def tx5(spark, sf):
-    d = Tables(spark, sf).documents
-    train = d.where(F.col("doc_id") % 5 != 0)
-    vocab = TX.fit_vocabulary(TX.token_counts(train, [], TX.words(F.col("text"), TX.BOW_TOKEN)), max_size=1000)
-    return TX.bag_of_words(d, "doc_id", "text", vocab).select("doc_id", "token", "count")
+    # counted once per document; the vocabulary is every token of the train rows
+    counts = materialize(TX.counts_of(TX.spread(Tables(spark, sf).documents, "doc_id").select(
+        "doc_id", TX.words(F.col("text"), TX.BOW_TOKEN).alias("tokens")), ["doc_id"]), "bag")
+    vocab = counts.where(F.col("doc_id") % 5 != 0).select("token").distinct()
+    return TX.bag_of_words(counts, vocab).select("doc_id", "token", "count")
 
 
 INDEX_SQL = f"""
@@ -74,37 +77,43 @@ c as (select token, count(*) as count from t group by token)
 select token, count, row_number() over (order by count desc, token) as idx from c"""
 
 SEQ_SQL = f"""
-with ix as (select * from ({INDEX_SQL}) where idx <= 5000),
+with ix as ({INDEX_SQL}),
 t as (select doc_id, unnest({WORDS_SQL}) as token, unnest(generate_series(1, len({WORDS_SQL}))) as pos from documents)
 select doc_id, string_agg(cast(ix.idx as varchar), ',' order by pos) as seq, count(*) as seq_len
 from t join ix on t.token = ix.token group by doc_id"""
 
 
-def _index(d, cap=None):
-    return TX.fit_vocabulary(TX.token_counts(d, [], TX.words(F.col("text"))), max_size=cap)
+def _index(d):
+    return TX.fit_vocabulary(TX.counts_of(_tokens(d)))
+
 
+def _sequences(d):
+    tokens = _tokens(d)
+    return TX.encode_sequences(tokens, "doc_id", TX.fit_vocabulary(TX.counts_of(tokens)))
 
-@register("tx6_token_index", f"select token, count, idx from ({INDEX_SQL}) where idx <= 5000")
+
+@register("tx6_token_index", INDEX_SQL)
 def tx6(spark, sf):
-    return _index(Tables(spark, sf).documents, 5000).select("token", "count", "idx")
+    return _index(Tables(spark, sf).documents).select("token", "count", "idx")
 
 
 @register("tx6_encoded_sequences", SEQ_SQL)
 def tx6s(spark, sf):
-    d = Tables(spark, sf).documents
-    s = TX.encode_sequences(d, "doc_id", "text", _index(d, 5000))
+    s = _sequences(Tables(spark, sf).documents)
     return s.select("doc_id", F.array_join("seq", ",").alias("seq"), F.size("seq").cast("bigint").alias("seq_len"))
 
 
+PAD = 2000       # length of a padded sequence
+
+
 @register("tx7_pad_sequences", f"""
 with s as (select doc_id, string_split(seq, ',') as a from ({SEQ_SQL}))
-select doc_id, array_to_string(case when len(a) >= 50 then a[len(a) - 49:]
-                                    else list_concat(list_transform(range(50 - len(a)), lambda x: '0'), a) end, ',') as padded
+select doc_id, array_to_string(case when len(a) >= {PAD} then a[len(a) - {PAD - 1}:]
+                                    else list_concat(list_transform(range({PAD} - len(a)), lambda x: '0'), a) end, ',') as padded
 from s""")
 def tx7(spark, sf):
-    d = Tables(spark, sf).documents
-    s = TX.encode_sequences(d, "doc_id", "text", _index(d, 5000))
-    return s.select("doc_id", F.array_join(TX.pad_sequences(F.col("seq"), 50), ",").alias("padded"))
+    s = _sequences(Tables(spark, sf).documents)
+    return s.select("doc_id", F.array_join(TX.pad_sequences(F.col("seq"), PAD), ",").alias("padded"))
 
 
 FOLD_SQL = f"""
@@ -116,33 +125,33 @@ select c.token, c.count, coalesce(k.idx, 0) as idx from c left join k on c.token
 
 @register("tx9_fold_rare_tokens", FOLD_SQL)
 def tx9(spark, sf):
-    d = Tables(spark, sf).documents
-    return TX.fold_rare_tokens(TX.token_counts(d, [], TX.words(F.col("text"))), 2).select("token", "count", "idx")
+    return TX.fold_rare_tokens(TX.counts_of(_tokens(Tables(spark, sf).documents)), 2).select("token", "count", "idx")
+
+
+WINDOW = 5
 
 
 @register("tx8_training_windows", f"""
 with ix as ({FOLD_SQL}),
 t as (select doc_id, unnest({WORDS_SQL}) as token, unnest(generate_series(1, len({WORDS_SQL}))) as pos from documents),
-s as (select doc_id, list(ix.idx order by pos) as seq from t join ix on t.token = ix.token group by doc_id)
-select doc_id, greatest(len(seq) - 4, 0) as n_windows, greatest(len(seq) - 5, 0) as n_with_target,
-       cast(coalesce(list_sum(seq[1:len(seq) - 4]), 0) as bigint) as sum_first
-from s where len(seq) >= 5""")
+s as (select doc_id, list(ix.idx order by pos) as seq from t join ix on t.token = ix.token group by doc_id),
+w as (select doc_id, seq, unnest(generate_series(1, len(seq) - {WINDOW - 1})) as start from s where len(seq) >= {WINDOW})
+select doc_id, cast(start as int) as start, array_to_string(seq[start:start + {WINDOW - 1}], ',') as window,
+       case when start + {WINDOW} <= len(seq) then array_to_string(seq[start + 1:start + {WINDOW}], ',') end as target
+from w""")
 def tx8(spark, sf):
-    d = Tables(spark, sf).documents
-    idx = TX.fold_rare_tokens(TX.token_counts(d, [], TX.words(F.col("text"))), 2)
-    seqs = TX.encode_sequences(d, "doc_id", "text", idx, drop_unknown=False)
-    w = TX.training_windows(seqs, "doc_id", "seq", 5)
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"),
-                                   F.count("target").alias("n_with_target"),
-                                   F.sum(F.col("window")[0]).cast("bigint").alias("sum_first"))
+    tokens = _tokens(Tables(spark, sf).documents)
+    idx = materialize(TX.fold_rare_tokens(TX.counts_of(tokens), 2), "folded")
+    seqs = TX.encode_sequences(tokens, "doc_id", idx, drop_unknown=False)
+    w = TX.training_windows(seqs, "doc_id", "seq", WINDOW)
+    return w.select("doc_id", "start", F.array_join("window", ",").alias("window"), F.array_join("target", ",").alias("target"))
 
 
-def vector_table(t: Tables):
+def vector_table(t: Tables, idx):
     """Word vectors: the embedding with vec_id = r - 1 belongs to the word of
     frequency rank r.  ASCII words are stored upper-case, so the lookup must
     ignore case (other scripts keep their case: their case mappings differ
     between engines and are not invertible, e.g. sharp s)."""
-    idx = _index(t.documents)
     stored = F.when(F.col("token").rlike("^[a-z]+$"), F.upper("token")).otherwise(F.col("token"))
     return t.embeddings.join(idx, F.col("vec_id") == F.col("idx") - 1).select(stored.alias("vt_token"), "embedding")
 
@@ -157,8 +166,8 @@ select count(*) as vocab_size, count(vt_token) as n_matched,
 from ix left join vt on lower(vt.vt_token) = ix.token""")
 def tx10(spark, sf):
     t = Tables(spark, sf)
-    counts = TX.token_counts(t.documents, [], TX.words(F.col("text")))
-    vt = vector_table(t)
+    counts = materialize(_index(t.documents), "index")       # one row per token, with its count
+    vt = vector_table(t, counts)
     j = counts.join(vt, F.lower(F.col("vt_token")) == F.col("token"), "left")
     return j.agg(F.count(F.lit(1)).alias("vocab_size"), F.count("vt_token").alias("n_matched"),
                  F.round(1 - F.count("vt_token") / F.count(F.lit(1)), 6).alias("oov_vocab_share"),
@@ -171,8 +180,8 @@ def tx10l(spark, sf):
     """Vectors for every token; out-of-vocabulary tokens get a seeded random
     vector (hash of token and position), so reruns agree."""
     t = Tables(spark, sf)
-    counts = TX.token_counts(t.documents, [], TX.words(F.col("text")))
-    vt = vector_table(t)
+    counts = materialize(_index(t.documents), "index")       # one row per token, with its count
+    vt = vector_table(t, counts)
     j = counts.join(vt, F.lower(F.col("vt_token")) == F.col("token"), "left")
     rnd = F.transform(F.sequence(F.lit(1), F.lit(64)),
                       lambda i: (F.pmod(F.xxhash64(F.col("token"), i), F.lit(1 << 20)) / float(1 << 20) - 0.5)
@@ -184,8 +193,9 @@ def tx10l(spark, sf):
 @register("tx11_word2vec")
 def tx11(spark, sf):
     from pyspark.ml.feature import Word2Vec
-    d = Tables(spark, sf).documents.select(TX.words(F.col("text")).alias("tokens"))
-    model = Word2Vec(vectorSize=16, minCount=5, maxIter=1, seed=1, inputCol="tokens", outputCol="v",
+    # Spark's trainer keeps the vocabulary's vectors on the driver: 100 floats per word seen five times
+    d = _tokens(Tables(spark, sf).documents).select("tokens")
+    model = Word2Vec(vectorSize=100, minCount=5, maxIter=5, seed=1, inputCol="tokens", outputCol="v",
                      numPartitions=max(1, spark.sparkContext.defaultParallelism)).fit(d)
     return model.getVectors()
 
@@ -198,8 +208,7 @@ select threshold, round(sum(case when c > threshold then c else 0 end) / (select
        round(count(*) filter (where c > threshold) / (select count(*) from c), 6) as vocab_share
 from c, th group by threshold""")
 def ag31(spark, sf):
-    d = Tables(spark, sf).documents
-    return TX.coverage_curve(TX.token_counts(d, [], TX.words(F.col("text"))), 100) \
+    return TX.coverage_curve(TX.counts_of(_tokens(Tables(spark, sf).documents)), 100) \
         .withColumn("threshold", F.col("threshold").cast("bigint"))
 
 

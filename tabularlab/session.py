@@ -7,8 +7,10 @@ so a cluster's own values (shuffle partitions, checkpoint folder) win.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,6 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tabularlab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -72,24 +77,40 @@ def materialize(df, name: str = "stage"):
     recomputed differently (row numbers).  Unlike ``Dataset.checkpoint`` this
     computes the plan once, stores columns compressed, and gives the optimizer
     real sizes; a lost executor re-reads files instead of recomputing."""
-    import uuid
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.parquet(path)
 
 
-def ensure_parallelism(df):
-    """Spread a narrow input before CPU-heavy per-row work (tokenising whole
-    texts, parsing HTML, a wide join fan-out).
+_written: list[str] = []     # tables that materialize() has written in this process
 
-    Only when the scan yields fewer partitions than the cluster can run at once
-    (a small input in one or two files) is the frame repartitioned round-robin;
-    a large input read from many files is returned unchanged, so at scale this
-    adds no shuffle.  Reading the partition count plans the scan, it runs no job."""
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` has written so far.  Call it when no
+    DataFrame that reads them is used any more; it also runs when the process ends."""
+    sc = spark.sparkContext
+    while _written:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        try:
+            release_scratch(spark)
+        except Exception:  # the JVM may be gone already: nothing left to ask
+            pass
+
+
+def spread(df, *keys):
+    """Deal rows over all tasks before work that is heavy per row (tokenising whole texts,
+    parsing HTML), by the given keys or evenly.
+
+    How many rows a scan task holds depends on row groups, which byte splits do not
+    show, so this always exchanges; ``spark.sql.shuffle.partitions`` sets the width."""
     spark = df.sparkSession
-    try:
-        target = spark.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no SparkContext on this client
-        return df
-    return df.repartition(target) if current < target else df
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
