@@ -65,12 +65,16 @@ def crosstab(df: DataFrame, row: str, col: str, values: Mapping[str, str]) -> Da
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """AG13: count, mean, std, min, 25/50/75 % (exact, interpolated) and max per column."""
+    # the moments of all columns in one pass over the rows
+    one = df.agg(*[f(c).alias(f"{c}__{n}") for c in cols for n, f in (
+        ("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
+                     F.round(F.col(f"{c}__mean"), digits).alias("mean"), F.round(F.col(f"{c}__std"), digits).alias("std"),
+                     F.col(f"{c}__min").cast("double").alias("min"), F.col(f"{c}__max").cast("double").alias("max")) for c in cols]
+    base = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "_x")
-    base = long.groupBy("column").agg(F.count("_x").alias("count"), F.round(F.avg("_x"), digits).alias("mean"),
-                                      F.round(F.stddev_samp("_x"), digits).alias("std"),
-                                      F.min("_x").alias("min"), F.max("_x").alias("max"))
     q = exact_quantiles(long, ["column"], "_x", [0.25, 0.5, 0.75])
-    return base.join(q, "column").select("column", "count", "mean", "std", "min",
+    return base.join(q, "column", "left").select("column", "count", "mean", "std", "min",
                                          F.round("q_0", digits).alias("p25"), F.round("q_1", digits).alias("p50"),
                                          F.round("q_2", digits).alias("p75"), "max")
 
@@ -115,13 +119,14 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> D
 
 
 def strongest_pairs(corr_long: DataFrame) -> DataFrame:
-    """AG19: strongest positive and strongest negative off-diagonal pair.
-    The (small) correlation table is written once and read by both picks."""
-    from tabularlab.session import materialize
-    off = materialize(corr_long.where(F.col("col_a") < F.col("col_b")), "corr")
-    pos = off.orderBy(F.col("corr").desc(), "col_a", "col_b").limit(1).withColumn("kind", F.lit("positive"))
-    neg = off.orderBy(F.col("corr").asc(), "col_a", "col_b").limit(1).withColumn("kind", F.lit("negative"))
-    return pos.unionByName(neg)
+    """AG19: strongest positive and strongest negative off-diagonal pair, in one aggregation."""
+    off = corr_long.where((F.col("col_a") < F.col("col_b")) & F.col("corr").isNotNull())
+    row = F.struct("col_a", "col_b", "corr")
+    one = off.agg(F.min_by(row, F.struct(-F.col("corr"), F.col("col_a"), F.col("col_b"))).alias("positive"),
+                  F.min_by(row, F.struct("corr", "col_a", "col_b")).alias("negative"))
+    return one.select(F.explode(F.array(*[F.struct(F.col(k).alias("row"), F.lit(k).alias("kind"))
+                                          for k in ("positive", "negative")])).alias("r")) \
+        .where("r.row is not null").select("r.row.*", "r.kind")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

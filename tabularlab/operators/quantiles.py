@@ -1,12 +1,13 @@
-"""Exact grouped quantiles that stay distributed when one group is huge.
+"""Exact grouped quantiles that stay distributed when one group or one value is huge.
 
 Spark's ``percentile`` is exact but keeps, per group, a map of every distinct
-value in one task.  Here instead: range-partition on (group keys, value) so a
-hot group spans many partitions, number the rows of each group with
-per-partition counts turned into offsets (the count table has at most one row
-per (partition, group) boundary), then pick the two order statistics around
-``1 + (n - 1) p`` and interpolate linearly (the pandas / SQL ``quantile_cont``
-rule).  Only the picked rows reach the final (tiny) aggregation.
+value in one task.  Here rows are first counted per (group, value), which
+combines on the map side, so a value that holds half of all rows is one counted
+row.  The counted values are range-partitioned on (group, value), running
+weights come from per-partition totals (one row per partition and group), and
+only the partitions that hold a wanted order statistic are looked into.  The
+two order statistics around ``1 + (n - 1) p`` are interpolated linearly (the
+pandas / SQL ``quantile_cont`` rule).
 """
 
 from __future__ import annotations
@@ -16,44 +17,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularlab.session import ensure_checkpoint_dir, materialize
+from tabularlab.session import materialize
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    num_partitions: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """One row per group: ``keys`` + ``q_<i>`` for each probability (double)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     keys = list(keys)
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    order = [*[F.col(k) for k in keys], F.col("_v")]
-    ranged = (v.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = materialize(ranged, "rownum")
-    # per (partition, group): first row id and row count; few rows per partition
-    seg = ranged.groupBy("_pid", *keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    wk = Window.partitionBy(*keys).orderBy("_pid")
-    seg = (seg.withColumn("_off", F.coalesce(F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-                                             F.lit(0)))
-              .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*keys))))
-    # wanted order statistics per group (1-based)
-    picks = []
+    counted = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()) \
+        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = materialize(counted.repartitionByRange(*[F.col(k) for k in keys], F.col("_v"))
+                         .withColumn("_pid", F.spark_partition_id()), "quantiles")
+    # one row per partition and group: small however many rows a group has
+    seg = ranged.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_w"))
+    by_key = Window.partitionBy(*keys)
+    before = by_key.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.withColumn("_off", F.coalesce(F.sum("_w").over(before), F.lit(0))).withColumn("_n", F.sum("_w").over(by_key))
+    wanted = []
     for i, p in enumerate(probs):
         pos = F.lit(1.0) + (F.col("_n") - 1) * F.lit(float(p))
-        picks.append(F.struct(F.lit(i).alias("i"), F.floor(pos).cast("bigint").alias("lo"),
-                              F.ceil(pos).cast("bigint").alias("hi"), (pos - F.floor(pos)).alias("frac")))
-    need = seg.select("_pid", *keys, "_first", "_off", "_n", F.explode(F.array(*picks)).alias("_q"))
-    ranks = ranged.join(seg.select("_pid", *keys, "_first", "_off"), ["_pid", *keys]) \
-        .withColumn("_rank", F.col("_off") + F.col("_mid") - F.col("_first") + 1) \
-        .select(*keys, "_rank", "_v")
-    wanted = need.select(*keys, "_n", "_q.*").distinct()
-    lo = ranks.join(wanted.withColumnRenamed("lo", "_rank"), [*keys, "_rank"]).select(*keys, "i", F.col("_v").alias("vlo"), "frac")
-    hi = ranks.join(wanted.withColumnRenamed("hi", "_rank"), [*keys, "_rank"]).select(*keys, "i", F.col("_v").alias("vhi"))
-    q = lo.join(hi, [*keys, "i"]).withColumn("q", F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
-    out = q.groupBy(*keys).pivot("i", list(range(len(probs)))).agg(F.first("q"))
-    return out.select(*keys, *[F.col(str(i)).alias(f"q_{i}") for i in range(len(probs))])
+        wanted += [F.struct(F.lit(2 * i + side).alias("i"), rank.cast("bigint").alias("rank"), (pos - F.floor(pos)).alias("frac"))
+                   for side, rank in enumerate((F.floor(pos), F.ceil(pos)))]
+    held = seg.withColumn("_ps", F.filter(F.array(*wanted), lambda x: (x["rank"] > F.col("_off"))
+                                          & (x["rank"] <= F.col("_off") + F.col("_w")))) \
+        .where(F.size("_ps") > 0).select(*keys, "_pid", "_off", "_ps")
+    running = F.col("_off") + F.sum("_c").over(Window.partitionBy(*keys, "_pid").orderBy("_v"))
+    found = ranged.join(held, [*keys, "_pid"]).withColumn("_run", running).select(
+        *keys, "_v", F.explode(F.filter("_ps", lambda x: (x["rank"] <= F.col("_run"))
+                                        & (x["rank"] > F.col("_run") - F.col("_c")))).alias("_p"))
+    picks = [F.max(F.when(F.col("_p.i") == k, F.col("_v"))).alias(f"_v{k}") for k in range(2 * len(probs))]
+    fracs = [F.max(F.when(F.col("_p.i") == 2 * i, F.col("_p.frac"))).alias(f"_f{i}") for i in range(len(probs))]
+    out = found.groupBy(*keys).agg(*picks, *fracs)
+    return out.select(*keys, *[(F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}")) * F.col(f"_f{i}")).alias(f"q_{i}")
+                               for i in range(len(probs))])
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:

@@ -154,9 +154,9 @@ select * from (""" + " union all ".join(f"""
   select '{c}' as column, count({c}) as count, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std,
          min({c})::double as min, round(quantile_cont({c}, 0.25), 6) as p25, round(quantile_cont({c}, 0.5), 6) as p50,
          round(quantile_cont({c}, 0.75), 6) as p75, max({c})::double as max from lineitem"""
-                                        for c in ["l_quantity", "l_extendedprice", "l_discount"]) + ")")
+                                        for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]) + ")")
 def ag13(spark, sf):
-    return A.describe_numeric(Tables(spark, sf).lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
+    return A.describe_numeric(Tables(spark, sf).lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
 @register("ag14_describe_categorical", """
@@ -198,14 +198,17 @@ select 'all' as subset, round(corr(p_size, p_retailprice), 6) as corr from part
 union all select 'top100', round(corr(p_size, p_retailprice), 6) from
   (select * from part order by p_retailprice desc, p_partkey limit 100)
 union all select 'bottom100', round(corr(p_size, p_retailprice), 6) from
-  (select * from part order by p_retailprice, p_partkey limit 100)""")
+  (select * from part order by p_retailprice, p_partkey limit 100)
+union all select 'top_minus_bottom', round(
+  (select corr(p_size, p_retailprice) from (select * from part order by p_retailprice desc, p_partkey limit 100))
+  - (select corr(p_size, p_retailprice) from (select * from part order by p_retailprice, p_partkey limit 100)), 6)""")
 def ag18(spark, sf):
     p = Tables(spark, sf).part
-    c = lambda df, name: df.agg(F.round(F.corr("p_size", "p_retailprice"), 6).alias("corr")) \
-        .select(F.lit(name).alias("subset"), "corr")
-    top = O.top_k(p, [F.col("p_retailprice").desc(), "p_partkey"], 100)
-    bottom = O.top_k(p, ["p_retailprice", "p_partkey"], 100)
-    return c(p, "all").unionByName(c(top, "top100")).unionByName(c(bottom, "bottom100"))
+    corr = lambda df: df.agg(F.corr("p_size", "p_retailprice").alias("c"))
+    top = corr(O.top_k(p, [F.col("p_retailprice").desc(), "p_partkey"], 100)).scalar()
+    bottom = corr(O.top_k(p, ["p_retailprice", "p_partkey"], 100)).scalar()
+    one = corr(p).select(F.col("c").alias("all"), top.alias("top100"), bottom.alias("bottom100"), (top - bottom).alias("top_minus_bottom"))
+    return one.unpivot([], one.columns, "subset", "c").select("subset", F.round("c", 6).alias("corr"))
 
 
 @register("ag19_strongest_pairs", f"""
@@ -235,11 +238,10 @@ with h as ({HIST_SQL})
 select bin, count, (select cast(floor(100.0 * sum(count) filter (where bin <= 3) / sum(count) / 5) * 5 as int) from h) as low_share_pct5
 from h order by count desc, bin limit 1""")
 def ag21(spark, sf):
-    from tabularlab.session import materialize
-    h = materialize(A.histogram(Tables(spark, sf).orders, "o_totalprice", 10), "histogram")  # <= 10 rows, read twice
-    share = h.agg((F.floor(100.0 * F.sum(F.when(F.col("bin") <= 3, F.col("count"))) / F.sum("count") / 5) * 5)
-                  .cast("int")).scalar()
-    return O.top_k(h, [F.col("count").desc(), "bin"], 1).select("bin", "count", share.alias("low_share_pct5"))
+    h = A.histogram(Tables(spark, sf).orders, "o_totalprice", 10)
+    low = F.floor(100.0 * F.sum(F.when(F.col("bin") <= 3, F.col("count"))) / F.sum("count") / 5) * 5
+    top = F.min_by(F.struct("bin", "count"), F.struct(-F.col("count"), F.col("bin")))
+    return h.agg(top.alias("top"), low.cast("int").alias("low_share_pct5")).select("top.bin", "top.count", "low_share_pct5")
 
 
 @register("ag22_conditional_ratio", """
