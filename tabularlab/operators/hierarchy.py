@@ -77,6 +77,26 @@ def level_aggregate(df: DataFrame, levels: Mapping[int, Sequence[str]],
                                                       if c not in (level_col, id_col, *by, *keys)])
 
 
+def level_sums(df: DataFrame, levels: Mapping[int, Sequence[str]], measures: Sequence[str], by: Sequence[str] = (),
+               split: str = "item_id") -> DataFrame:
+    """(level, id, by, measures): sums at every level, in two steps.
+
+    The levels that use the finest key (``split``) read the leaf table; all others
+    read its sums over the other keys, which are far fewer rows, so most levels
+    are expanded from a small table."""
+    from tabularlab.session import materialize
+    keys, by = _level_keys(levels), list(by)
+    fine = {k: v for k, v in levels.items() if split in v}
+    if not fine or len(fine) == len(levels):
+        return level_aggregate(df, levels, [F.sum(m).alias(m) for m in measures], by).select("level", "id", *by, *measures)
+    sums = [F.sum(m).alias(m) for m in measures]
+    leaf = materialize(df.groupBy(*by, *keys).agg(*sums), "leaf")
+    rest = leaf.groupBy(*by, *[k for k in keys if k != split]).agg(*sums)
+    low = level_aggregate(leaf, fine, sums, by).select("level", "id", *by, *measures)
+    high = level_aggregate(materialize(rest, "upper"), {k: v for k, v in levels.items() if k not in fine}, sums, by)
+    return low.unionByName(high.select("level", "id", *by, *measures))
+
+
 def level_cardinality(df: DataFrame, levels: Mapping[int, Sequence[str]]) -> DataFrame:
     """AG9: number of distinct series per level (leaf rows in, one row per level out)."""
     lv = level_aggregate(df, levels, [F.count(F.lit(1)).alias("_n")])

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularlab.operators.hierarchy import level_aggregate
+from tabularlab.operators.hierarchy import level_sums
 from tabularlab.operators.series import first_difference
 from tabularlab.session import materialize
 
@@ -69,9 +69,8 @@ def wrmsse_tagged(tagged: DataFrame, levels: Mapping[int, Sequence[str]], day: s
     """WRMSSE from leaf rows tagged ``_part`` = t (train) / v (valid) / p (prediction)."""
     # one row per (level series, part, day): read by three branches below, so it
     # is checkpointed once instead of re-deriving it from the leaf rows each time
-    lv = materialize(level_aggregate(tagged, levels, [F.sum(sales).alias("_s"),
-                                                      F.sum(F.col(dollars).cast("double")).alias("_usd")],
-                                     by=["_part", day]).select("level", "id", "_part", day, "_s", "_usd"))
+    leaf = tagged.withColumn("_s", F.col(sales)).withColumn("_usd", F.col(dollars).cast("double"))
+    lv = materialize(level_sums(leaf, levels, ["_s", "_usd"], by=["_part", day]))
 
     tr = first_difference(lv.where(F.col("_part") == "t"), ["id"], day, "_s", "_d")
     scale = tr.groupBy("level", "id").agg(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,33 @@ def relabel_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
 
 
+def _literal_names(text: pd.Series) -> pd.Series:
+    """Names from Python-literal lists of dicts; anything else gives an empty list."""
+    def one(t):
+        if t is None:
+            return []
+        try:
+            value = ast.literal_eval(t)
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return []
+        if not isinstance(value, list):
+            return []
+        names = [d.get("name") for d in value if isinstance(d, dict)]
+        return [n if isinstance(n, str) else str(n) for n in names if n is not None]
+    return text.map(one)
+
+
 def parse_name_list(text: Column) -> Column:
     """RS5: names from a list-of-dicts held as text, e.g. "[{'id': 1, 'name': 'X'}]".
-    Python-literal quotes are normalised to JSON first; malformed or non-list
-    text (``False``, null) gives an empty list."""
-    js = F.regexp_replace(text, "'", '"')
-    parsed = F.from_json(js, "array<struct<name:string>>")
-    names = F.transform(parsed, lambda s: s["name"])
-    return F.coalesce(F.filter(names, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    Valid JSON is parsed in the JVM; other rows go to a batched Python-literal
+    parser (quotes of either kind, None, True).  Malformed or non-list text
+    (``False``, null) gives an empty list."""
+    json = F.try_parse_json(text).isNotNull()
+    empty = F.array().cast("array<string>")
+    parsed = F.from_json(F.when(json, text), "array<struct<name:string>>")
+    names = F.filter(F.transform(parsed, lambda s: s["name"]), lambda x: x.isNotNull())
+    literal = F.pandas_udf(_literal_names, "array<string>")(F.when(~json, text))
+    return F.when(json, F.coalesce(names, empty)).otherwise(F.coalesce(literal, empty))
 
 
 def explode_counts(df: DataFrame, list_col: str, out: str = "name") -> DataFrame:
@@ -60,20 +81,14 @@ def explode_mean(df: DataFrame, list_col: str, value: str, out: str = "name", di
                               F.count(F.lit(1)).alias("n"))
 
 
-def one_hot(df: DataFrame, col: str, values: Sequence, prefix: str | None = None,
-            max_width: int = 256) -> DataFrame:
+def one_hot(df: DataFrame, col: str, values: Sequence, prefix: str | None = None) -> DataFrame:
     """RS7 / D12: indicator columns for explicit values; null -> all zeros."""
-    if len(values) > max_width:
-        raise ValueError(f"{len(values)} indicator columns exceed max_width={max_width}")
     prefix = prefix or col
     return df.withColumns({f"{prefix}_{v}": F.coalesce((F.col(col) == F.lit(v)).cast("int"), F.lit(0))
                            for v in values})
 
 
-def distinct_values(df: DataFrame, col: str, cap: int = 256) -> list:
-    """Sorted distinct values of a low-cardinality column (for one-hot/pivot);
-    raises instead of collecting more than ``cap`` values to the driver."""
-    vals = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(cap + 1).collect()
-    if len(vals) > cap:
-        raise ValueError(f"{col} has more than {cap} distinct values")
-    return [r[0] for r in vals]
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct values of a column whose values become columns (one-hot, pivot),
+    so their number is bounded by the width of a table."""
+    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]

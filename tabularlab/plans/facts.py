@@ -13,13 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularlab.session import ensure_parallelism, materialize
+from tabularlab.session import materialize
 from tabularlab.sources.tables import Tables
 
 SERIES_KEYS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
-LAST_FULL_MONTH = 82   # month 83 (Nov 2001) is partial
-TRAIN_END = 76
-HORIZON = 6
+HORIZON = 6            # months held out for validation: the last ones in the data
 
 
 def month_index(ts_col: str) -> F.Column:
@@ -50,8 +48,7 @@ def monthly_sales(t: Tables, materialized: bool = True) -> DataFrame:
     The result (one row per series and month, far smaller than lineitem) is
     checkpointed by default so that plans using it several times scan
     lineitem once."""
-    li = ensure_parallelism(t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                                              month_index("l_shipdate").alias("m")))
+    li = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", month_index("l_shipdate").alias("m"))
     # part and supplier grow with the data: no hint, AQE broadcasts them only
     # when the measured size is under the threshold, else it shuffles.
     joined = li.join(item_dim(t.part), F.col("l_partkey") == F.col("p_partkey")) \
@@ -65,14 +62,15 @@ def monthly_sales(t: Tables, materialized: bool = True) -> DataFrame:
     return materialize(facts) if materialized else facts
 
 
-def dense_monthly_sales(t: Tables, last_month: int = LAST_FULL_MONTH) -> DataFrame:
-    """Every observed series x months 1..last_month, absent months = 0 (WN15)."""
+def dense_monthly_sales(t: Tables) -> tuple[DataFrame, int]:
+    """Every observed series x months 1..last month in the data, absent months = 0
+    (WN15), and the last training month (the last month less the horizon)."""
     from tabularlab.operators.series import densify
-    all_facts = monthly_sales(t)
-    facts = all_facts.where(F.col("m") <= last_month)
-    series = all_facts.select(*SERIES_KEYS).distinct()
-    return densify(facts, series, SERIES_KEYS, "m", 1, last_month,
-                   fill={"sales": 0, "dollars": 0})
+    facts = monthly_sales(t)
+    last = facts.agg(F.max("m")).first()[0] or 0
+    series = facts.select(*SERIES_KEYS).distinct()
+    dense = densify(facts, series, SERIES_KEYS, "m", 1, last, fill={"sales": 0, "dollars": 0}) if last else facts
+    return dense, last - HORIZON
 
 
 # The same bindings in DuckDB SQL, for the oracle queries.
@@ -94,7 +92,9 @@ DENSE_SALES_SQL = f"""
 select s.item_id, s.dept_id, s.cat_id, s.store_id, s.state_id, g.m,
        coalesce(f.sales, 0) as sales, coalesce(f.dollars, 0) as dollars
 from (select distinct item_id, dept_id, cat_id, store_id, state_id from ({MONTHLY_SALES_SQL})) s
-cross join (select unnest(range(1, {LAST_FULL_MONTH} + 1)) as m) g
+cross join (select unnest(range(1, (select max(m) + 1 from ({MONTHLY_SALES_SQL})))) as m) g
 left join ({MONTHLY_SALES_SQL}) f
   on f.item_id = s.item_id and f.store_id = s.store_id and f.m = g.m
 """
+
+TRAIN_END_SQL = f"(select max(m) - {HORIZON} from ({MONTHLY_SALES_SQL}))"

@@ -8,7 +8,7 @@ from tabularlab.operators.hierarchy import SALES_LEVELS, level_aggregate, level_
 from tabularlab.operators.metrics import tag_naive_split, wrmsse_tagged
 from tabularlab.operators import series as S
 from tabularlab.plans.catalog import register
-from tabularlab.plans.facts import (DENSE_SALES_SQL, HORIZON, MONTHLY_SALES_SQL, TRAIN_END, dense_monthly_sales,
+from tabularlab.plans.facts import (DENSE_SALES_SQL, HORIZON, MONTHLY_SALES_SQL, TRAIN_END_SQL, dense_monthly_sales,
                                     monthly_sales)
 from tabularlab.sources.tables import Tables
 
@@ -53,12 +53,12 @@ def ag9_level_cardinality(spark, sf):
 WRMSSE_SQL = f"""
 with d as ({DENSE_SALES_SQL}),
 tagged as (
-  select item_id, dept_id, cat_id, store_id, state_id, m, sales, dollars, 't' as part from d where m <= {TRAIN_END}
+  select item_id, dept_id, cat_id, store_id, state_id, m, sales, dollars, 't' as part from d where m <= {TRAIN_END_SQL}
   union all
-  select item_id, dept_id, cat_id, store_id, state_id, m, sales, dollars, 'v' as part from d where m > {TRAIN_END} and m <= {TRAIN_END + HORIZON}
+  select item_id, dept_id, cat_id, store_id, state_id, m, sales, dollars, 'v' as part from d where m > {TRAIN_END_SQL} and m <= {TRAIN_END_SQL} + {HORIZON}
   union all
   select item_id, dept_id, cat_id, store_id, state_id, m + {HORIZON} as m, sales, null as dollars, 'p' as part
-  from d where m > {TRAIN_END - HORIZON} and m <= {TRAIN_END}
+  from d where m > {TRAIN_END_SQL} - {HORIZON} and m <= {TRAIN_END_SQL}
 ),
 lv as (
 {_levels_sql('tagged', ['part', 'm'], 'sum(sales) as s, sum(dollars) as usd')}
@@ -95,8 +95,8 @@ from s
 
 
 def naive_forecast_wrmsse(spark, sf):
-    dense = dense_monthly_sales(Tables(spark, sf))
-    tagged = tag_naive_split(dense, "m", TRAIN_END, HORIZON)
+    dense, train_end = dense_monthly_sales(Tables(spark, sf))
+    tagged = tag_naive_split(dense, "m", train_end, HORIZON)
     r = wrmsse_tagged(tagged, SALES_LEVELS, day="m")
     return r.select(F.round("wrmsse", 6).alias("wrmsse"), "zero_scale_series")
 
@@ -130,7 +130,7 @@ def wn1(spark, sf):
 select item_id, store_id, m, sales - lag(sales) over (partition by item_id, store_id order by m) as diff
 from ({DENSE_SALES_SQL})""")
 def wn2(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf))
+    d, _ = dense_monthly_sales(Tables(spark, sf))
     return S.first_difference(d, LEAF, "m", "sales").select(*LEAF, "m", "diff")
 
 
@@ -168,7 +168,7 @@ select d.item_id, d.store_id, l.launch_period,
        count(*) filter (where d.m > l.launch_period and d.sales = 0) as zero_periods_after_launch
 from d join l on d.item_id = l.item_id and d.store_id = l.store_id group by d.item_id, d.store_id, l.launch_period""")
 def wn6(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf)).select(*LEAF, "m", "sales")
+    d = dense_monthly_sales(Tables(spark, sf))[0].select(*LEAF, "m", "sales")
     return S.launch_and_zero_periods(d, LEAF, "m", "sales")
 
 
@@ -189,7 +189,7 @@ with d as (select item_id, store_id, m, least(greatest(coalesce(cast(sales as do
 x as (select item_id, store_id, ind - lag(ind) over (partition by item_id, store_id order by m) as dd from d)
 select item_id, store_id, coalesce(sum(dd), 0) as net_change, coalesce(sum(abs(dd)), 0) as flips from x group by item_id, store_id""")
 def wn8(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf))
+    d, _ = dense_monthly_sales(Tables(spark, sf))
     return S.on_off_changes(d, LEAF, "m", "sales")
 
 
@@ -210,18 +210,18 @@ def wn10(spark, sf):
 
 @register("wn11_naive_forecast", f"""
 select item_id, store_id, m + {HORIZON} as m, sales from ({DENSE_SALES_SQL})
-where m > {TRAIN_END - HORIZON} and m <= {TRAIN_END}""")
+where m > {TRAIN_END_SQL} - {HORIZON} and m <= {TRAIN_END_SQL}""")
 def wn11(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf))
-    return S.naive_forecast(d, LEAF, "m", "sales", TRAIN_END, HORIZON)
+    d, train_end = dense_monthly_sales(Tables(spark, sf))
+    return S.naive_forecast(d, LEAF, "m", "sales", train_end, HORIZON)
 
 
 @register("wn12_time_split", f"""
-select case when m <= {TRAIN_END} then 'train' else 'valid' end as split, count(*) as n_rows, sum(sales)::bigint as units
+select case when m <= {TRAIN_END_SQL} then 'train' else 'valid' end as split, count(*) as n_rows, sum(sales)::bigint as units
 from ({DENSE_SALES_SQL}) group by 1""")
 def wn12(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf))
-    return d.groupBy(F.when(F.col("m") <= TRAIN_END, "train").otherwise("valid").alias("split")) \
+    d, train_end = dense_monthly_sales(Tables(spark, sf))
+    return d.groupBy(F.when(F.col("m") <= train_end, "train").otherwise("valid").alias("split")) \
         .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sales").cast("bigint").alias("units"))
 
 
@@ -230,7 +230,7 @@ select item_id, store_id, m, sales from (
   select *, row_number() over (partition by item_id, store_id order by m desc) as r from ({DENSE_SALES_SQL}))
 where r <= 3""")
 def wn12n(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf))
+    d, _ = dense_monthly_sales(Tables(spark, sf))
     return S.top_n_per_group(d, LEAF, [F.col("m").desc()], 3).select(*LEAF, "m", "sales")
 
 
@@ -250,7 +250,7 @@ def wn13(spark, sf):
 @register("wn15_densify", f"""
 select item_id, store_id, m, sales, cast(dollars as double) as dollars from ({DENSE_SALES_SQL})""")
 def wn15(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf))
+    d, _ = dense_monthly_sales(Tables(spark, sf))
     return d.select(*LEAF, "m", "sales", F.col("dollars").cast("double").alias("dollars"))
 
 
@@ -275,7 +275,7 @@ with x as (select item_id, store_id, sales, sales - lag(sales) over (partition b
 select item_id, store_id, sum(dd * dd)::bigint as sum_sq_diff, sum(abs(dd))::bigint as sum_abs_diff, count(sales) as n
 from x group by item_id, store_id""")
 def ag26(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf))
+    d, _ = dense_monthly_sales(Tables(spark, sf))
     r = S.successive_difference_sums(d, LEAF, "m", "sales")
     return r.select(*LEAF, F.col("sum_sq_diff").cast("bigint").alias("sum_sq_diff"),
                     F.col("sum_abs_diff").cast("bigint").alias("sum_abs_diff"), "n")
@@ -312,41 +312,52 @@ def ag28s(spark, sf):
 
 # ================================================================ reshape
 
-YEARS = list(range(1995, 2002))
-YEARLY_WIDE_SQL = "select o_custkey, " + ", ".join(
-    f"cast(sum(case when year(o_orderdate) = {y} then cast(o_totalprice as decimal(18,2)) end) as double) as y{y}"
-    for y in YEARS) + " from orders group by o_custkey"
-
-
 def yearly_wide(t: Tables):
+    """Dollars per customer, one column per year between the first and the last order."""
     o = t.orders.withColumn("yr", F.year("o_orderdate"))
-    p = o.groupBy("o_custkey").pivot("yr", YEARS).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")))
-    return p.select("o_custkey", *[F.col(str(y)).cast("double").alias(f"y{y}") for y in YEARS])
+    low, high = o.agg(F.min("yr"), F.max("yr")).first()
+    years = list(range(low, high + 1)) if low is not None else []
+    p = o.groupBy("o_custkey").pivot("yr", years).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")))
+    return p.select("o_custkey", *[F.col(str(y)).cast("double").alias(f"y{y}") for y in years]), years
+
 
+YEARLY_SQL = """
+with y as (select unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) as yr from orders),
+c as (select distinct o_custkey from orders),
+s as (select o_custkey, year(o_orderdate) as yr, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as value
+      from orders where o_orderdate is not null group by all)
+select c.o_custkey, y.yr, s.value from c cross join y left join s on s.o_custkey = c.o_custkey and s.yr = y.yr"""
 
-@register("rs1_melt", " union all ".join(
-    f"select o_custkey, 'y{y}' as variable, y{y} as value from ({YEARLY_WIDE_SQL})" for y in YEARS))
+
+@register("rs1_melt", f"select o_custkey, 'y' || yr as variable, value from ({YEARLY_SQL})")
 def rs1(spark, sf):
-    return R.melt(yearly_wide(Tables(spark, sf)), ["o_custkey"], [f"y{y}" for y in YEARS])
+    wide, years = yearly_wide(Tables(spark, sf))
+    return R.melt(wide, ["o_custkey"], [f"y{y}" for y in years])
 
 
-@register("rs2_melt_flags", " union all ".join(
-    f"select o_custkey, cast(y{y} is not null as int) as flag, '{y}' as state from ({YEARLY_WIDE_SQL})" for y in YEARS))
+@register("rs2_melt_flags", f"select o_custkey, cast(value is not null as int) as flag, cast(yr as varchar) as state from ({YEARLY_SQL})")
 def rs2(spark, sf):
-    w = yearly_wide(Tables(spark, sf))
-    flags = w.select("o_custkey", *[F.col(f"y{y}").isNotNull().cast("int").alias(f"active_{y}") for y in YEARS])
-    return R.melt_flags(flags, ["o_custkey"], [f"active_{y}" for y in YEARS], "_", 2, "state", "flag")
+    w, years = yearly_wide(Tables(spark, sf))
+    flags = w.select("o_custkey", *[F.col(f"y{y}").isNotNull().cast("int").alias(f"active_{y}") for y in years])
+    return R.melt_flags(flags, ["o_custkey"], [f"active_{y}" for y in years], "_", 2, "state", "flag")
 
 
-VALID_MONTHS = {m: f"F{m - TRAIN_END}" for m in range(TRAIN_END + 1, TRAIN_END + HORIZON + 1)}
+VALID_STEPS = range(1, HORIZON + 1)
 
 
 @register("rs3_pivot_wide", f"""
-select item_id, store_id, """ + ", ".join(f"max(case when m = {m} then sales end) as {n}" for m, n in VALID_MONTHS.items()) + f"""
-from ({DENSE_SALES_SQL}) where m > {TRAIN_END} and m <= {TRAIN_END + HORIZON} group by item_id, store_id""")
+with d as ({DENSE_SALES_SQL}), x as (select {TRAIN_END_SQL} as train_end)
+select item_id, store_id, """ + ", ".join(f"max(case when m = train_end + {i} then sales end) as F{i}" for i in VALID_STEPS) + """
+from d, x where m > train_end group by item_id, store_id""")
 def rs3(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf)).where(F.col("m") > TRAIN_END)
-    return R.pivot_wide(d, LEAF, "m", "sales", VALID_MONTHS)
+    return valid_wide(Tables(spark, sf))[0]
+
+
+def valid_wide(t: Tables):
+    """Validation months as columns F1.., and the month each column stands for."""
+    d, train_end = dense_monthly_sales(t)
+    months = {train_end + i: f"F{i}" for i in VALID_STEPS}
+    return R.pivot_wide(d.where(F.col("m") > train_end), LEAF, "m", "sales", months), months
 
 
 def month_label(m: int) -> str:
@@ -354,23 +365,27 @@ def month_label(m: int) -> str:
     return f"{1995 + y}-{mo + 1:02d}"
 
 
-@register("rs4_relabel_round_trip", " union all ".join(
-    f"select item_id, store_id, '{month_label(m)}' as month_label, sales from ({DENSE_SALES_SQL}) where m = {m}"
-    for m in VALID_MONTHS))
+@register("rs4_relabel_round_trip", f"""
+select item_id, store_id, strftime(make_date(1995 + (m - 1) // 12, (m - 1) % 12 + 1, 1), '%Y-%m') as month_label, sales
+from ({DENSE_SALES_SQL}) where m > {TRAIN_END_SQL}""")
 def rs4(spark, sf):
-    wide = rs3(spark, sf)
-    dated = R.relabel_columns(wide, {n: month_label(m) for m, n in VALID_MONTHS.items()})
-    return R.melt(dated, LEAF, [month_label(m) for m in VALID_MONTHS], "month_label", "sales")
+    wide, months = valid_wide(Tables(spark, sf))
+    dated = R.relabel_columns(wide, {n: month_label(m) for m, n in months.items()})
+    return R.melt(dated, LEAF, [month_label(m) for m in months], "month_label", "sales")
 
 
 @register("rs5_name_lists", """
-select event_type as name, count(distinct user_id) as count from events where event_type is not null group by event_type""")
+select name, count(*) as count from (
+  select user_id, unnest(list_distinct(list(event_type)) || ['It''s ' || (user_id % 7), 'a "b"']) as name
+  from events where event_type is not null group by user_id) group by name""")
 def rs5(spark, sf):
-    ev = Tables(spark, sf).events
-    # per user a Python-literal list of dicts, as the text column arrives in the source data
+    ev = Tables(spark, sf).events.where(F.col("event_type").isNotNull())
+    # per user a Python-literal list of dicts, as the text column arrives in the source data:
+    # either kind of quotes, apostrophes, None, True and entries without a name
     per_user = ev.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("_types"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("_types", lambda x: F.concat(F.lit("{'name': '"), x, F.lit("'}"))),
-                                             ", "), F.lit("]"))
+    entry = lambda x: F.concat(F.lit("{'id': None, 'name': '"), x, F.lit("', 'ok': True}"))
+    own = F.concat(F.lit("{'name': \"It's "), F.col("user_id") % 7, F.lit("\"}, {'name': 'a \"b\"'}, {'id': 3}"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("_types", entry), ", "), F.lit(", "), own, F.lit("]"))
     parsed = per_user.select("user_id", R.parse_name_list(text).alias("names"))
     return R.explode_counts(parsed, "names")
 
@@ -398,7 +413,7 @@ select item_id, store_id, m, ((m - 1) % 12) + 1 as month_of_year, cast(((m - 1)
        case when sales > 0 then ((2 * cast(dollars * 100 as bigint) + sales) // (2 * sales)) / 100.0 end as avg_price
 from ({DENSE_SALES_SQL})""")
 def fe9(spark, sf):
-    d = dense_monthly_sales(Tables(spark, sf))
+    d, _ = dense_monthly_sales(Tables(spark, sf))
     moy = F.pmod(F.col("m") - 1, F.lit(12)) + 1
     return d.select(*LEAF, "m", moy.alias("month_of_year"), (moy >= 10).cast("int").alias("q4_flag"),
                     (F.col("sales") == 0).cast("int").alias("zero_flag"),

@@ -113,10 +113,12 @@ def test_fx8_target_encoding(spark):
 
 
 def test_fx9_list_parsing(spark):
-    df = spark.createDataFrame([(1, "[{'name': 'X'}, {'name': 'Y'}]"), (2, "False"), (3, None), (4, "[{'name': ")],
-                               "i int, t string")
+    df = spark.createDataFrame([(1, "[{'name': 'X'}, {'name': 'Y'}]"), (2, "False"), (3, None), (4, "[{'name': "),
+                                (5, """[{'id': 1, 'name': "Ruby's Films"}, {'id': 2, 'name': 'Fox'}]"""),
+                                (6, "[{'id': None, 'name': 'Fox'}]"), (7, "[{'name': 'A', 'ok': True}]"),
+                                (8, '[{"name": "J"}, {"id": 1}, {"name": null}]'), (9, "7")], "i int, t string")
     got = {r["i"]: list(r["n"]) for r in df.select("i", R.parse_name_list(F.col("t")).alias("n")).collect()}
-    assert got == {1: ["X", "Y"], 2: [], 3: [], 4: []}
+    assert got == {1: ["X", "Y"], 2: [], 3: [], 4: [], 5: ["Ruby's Films", "Fox"], 6: ["Fox"], 7: ["A"], 8: ["J"], 9: []}
 
 
 def test_fx10_first_pattern(spark):
