@@ -66,9 +66,8 @@ def src6(spark, sf):
 
 @register("src7_partitioned_write", "select l_orderkey, l_linenumber, l_quantity, l_returnflag from lineitem")
 def src7(spark, sf):
-    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag") \
-        .withColumn("bucket", IO.hash_bucket("l_orderkey", 8))
-    path = IO.write_partitioned(li, IO.run_folder(spark, "lineitem-part"), ["l_returnflag", "bucket"])
+    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    path = IO.write_partitioned(li, IO.run_folder(spark, "lineitem-part"), ["l_returnflag"])
     return spark.read.parquet(path).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
 
 
@@ -118,24 +117,25 @@ MARKER = "\u0000"
 
 
 def _corpus(spark, sf):
-    d = Tables(spark, sf).documents.select("lang", F.concat("text", F.lit(MARKER)).alias("value"))
+    d = Tables(spark, sf).documents.select("lang", F.col("text").alias("value"))
     path = IO.run_folder(spark, "corpus")
-    d.write.mode("overwrite").partitionBy("lang").text(path)
+    d.write.mode("overwrite").option("lineSep", MARKER).partitionBy("lang").text(path)
     return path
 
 
 @register("src12_text_corpus", "select lang, count(*) as n_docs, sum(length(text))::bigint as n_chars from documents group by lang")
 def src12(spark, sf):
-    docs = IO.read_text_corpus(spark, _corpus(spark, sf), doc_marker=MARKER + "\n")
+    docs = IO.read_text_corpus(spark, _corpus(spark, sf), doc_marker=MARKER)
     return docs.groupBy(F.regexp_extract("file", r"lang=([^/]+)/", 1).alias("lang")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@register("src13_labelled_folders")
+@register("src13_labelled_folders", """
+select lang as class_label, cast(sum(strlen(text) + 1) as bigint) as n_bytes from documents group by lang""")
 def src13(spark, sf):
     files = IO.read_labelled_folders(spark, _corpus(spark, sf), "*.txt")
     return files.groupBy(F.regexp_replace("class_label", "^lang=", "").alias("class_label")) \
-        .agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+        .agg(F.sum("length").alias("n_bytes"))     # how many files there are is the writer's matter
 
 
 @register("src14_word_vectors", """
@@ -157,7 +157,11 @@ def src14(spark, sf):
                     F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vsum"))
 
 
-@register("src15_artifacts")
+@register("src15_artifacts", """
+with n as (select n_nationkey, cast(dense_rank() over (order by n_name) - 1 as int) as code from nation),
+g as (select c_mktsegment as seg, cast(row_number() over (order by c_mktsegment) - 1 as double) as seg_ix
+      from (select distinct c_mktsegment from customer))
+select c_custkey, code as nation_code, seg_ix from customer join n on c_nationkey = n_nationkey join g on c_mktsegment = seg""")
 def src15(spark, sf):
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.feature import StringIndexer, VectorAssembler

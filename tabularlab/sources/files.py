@@ -1,8 +1,8 @@
 """File sources and sinks (SRC1-SRC16).
 
 Paths for intermediate tables live under the shared folder named by
-``spark.checkpoint.dir`` (never a machine-local temp folder), one fresh
-sub-folder per run.
+``spark.checkpoint.dir``, one fresh sub-folder per run.  Off a local master that
+setting is required.
 """
 
 from __future__ import annotations
@@ -70,22 +70,13 @@ def sample_rows(df: DataFrame, fraction: float | None = None, seed: int = 0, lim
     return out
 
 
-def hash_bucket(key: str, n: int) -> F.Column:
-    """Stable bucket number 0..n-1 for a partition column (replaces a random int)."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
-
-
 def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str], mode: str = "overwrite",
-                      max_records_per_file: int | None = None, files_per_value: int = 8) -> str:
-    """SRC7: partitioned parquet sink.  Rows are clustered by the partition
-    columns so each task writes few files, with a deterministic salt (a hash of
-    the row) that spreads every partition value over ``files_per_value`` tasks:
-    a value holding a third of the rows is not written by one task."""
-    if partition_cols:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_value))
-        out = df.repartition(*[F.col(c) for c in partition_cols], salt)
-    else:
-        out = df
+                      max_records_per_file: int | None = None) -> str:
+    """SRC7: partitioned parquet sink.  Rows are rebalanced by the partition
+    columns: each task writes few files, and Spark splits the tasks of a hot
+    value by size, so a value with a third of the rows has as many writers as its
+    bytes ask for."""
+    out = df.hint("rebalance", *partition_cols) if partition_cols else df
     w = out.write.mode(mode).partitionBy(*partition_cols)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
@@ -164,20 +155,14 @@ def read_class_lists(spark: SparkSession, path: str, whole_file: bool = False) -
         .select("class_label", "split_label", F.explode("_paths").alias("path"))
 
 
-def literal_regex(text: str) -> str:
-    """A Java regex matching ``text`` literally (non-alphanumerics as \\x{hex})."""
-    return "".join(ch if ch.isalnum() else "\\x{%x}" % ord(ch) for ch in text)
-
-
 def read_text_corpus(spark: SparkSession, path: str, doc_marker: str | None = None) -> DataFrame:
-    """SRC12: one row per file (whole text) with its file name; with
-    ``doc_marker`` each file is further split into documents at the marker."""
-    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True) \
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    if doc_marker is None:
-        return raw
-    parts = F.split(F.col("text"), literal_regex(doc_marker), -1)
-    return raw.select("file", F.posexplode(parts).alias("doc_no", "text")).where(F.length("text") > 0)
+    """SRC12: one row per file (whole text) with its file name; with ``doc_marker``
+    one row per document.  The marker is the reader's record separator, so a large
+    file is split over many tasks and never held as one row."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    raw = reader.text(path, wholetext=True) if doc_marker is None else reader.text(path, lineSep=doc_marker)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return rows if doc_marker is None else rows.where(F.length("text") > 0)
 
 
 def read_labelled_folders(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -31,7 +31,7 @@ def utc_instant_as_ntz(c):
 
 
 def incremental_copy(spark: SparkSession, src: str, schema: StructType, sink: str, checkpoint: str,
-                     max_files_per_trigger: int = 2, timeout_s: int = 600) -> DataFrame:
+                     max_files_per_trigger: int | None = 2, timeout_s: int = 600) -> DataFrame:
     """SS1: scan an append-only parquet directory in micro-batches of at most
     ``max_files_per_trigger`` files, append to a parquet sink; returns the sink."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src)
@@ -46,30 +46,32 @@ def incremental_copy(spark: SparkSession, src: str, schema: StructType, sink: st
     return spark.read.schema(schema).parquet(sink)
 
 
-def windowed_counts(spark: SparkSession, src: str, schema: StructType, ts: str, sink: str, checkpoint: str,
-                    window: str = "1 day", watermark: str = "1 day", max_files_per_trigger: int = 2,
+def windowed_counts(spark: SparkSession, src: str, schema: StructType, ts: str, counted: str, sink: str, checkpoint: str,
+                    window: str = "1 day", watermark: str = "1 day", max_files_per_trigger: int | None = 2,
                     timeout_s: int = 600) -> DataFrame:
-    """SS2: tumbling-window counts with a late-data bound.  Complete mode: each
-    micro-batch rewrites the whole (small: one row per window) result table."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src)
+    """SS2: tumbling-window counts of non-null ``counted`` with a late-data bound.
+
+    Append mode: a window is written once, when the watermark (the latest event time
+    seen so far, less the delay) has passed its end; its state is then dropped, and
+    rows that come later for it are dropped, too.  Windows that the watermark has
+    not passed stay open: a later event (or an end marker with a null ``counted``) closes them."""
+    stream = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", max_files_per_trigger)
     # watermarks need TIMESTAMP (an instant); a wall-clock NTZ column is turned
     # into the instant of that wall-clock time in UTC, whatever the session time
     # zone, so day windows are calendar days of the data
-    stream = stream.withColumn(ts, ntz_as_utc_instant(F.col(ts)))
-    counts = (stream.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w"))
-              .agg(F.count(F.lit(1)).alias("n")))
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.select(utc_instant_as_ntz(F.col("w.start")).alias("window_start"),
-                     utc_instant_as_ntz(F.col("w.end")).alias("window_end"), "n") \
-            .write.mode("overwrite").parquet(sink)
-
-    q = (counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    events = stream.parquet(src).withColumn(ts, ntz_as_utc_instant(F.col(ts)))
+    counts = (events.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w"))
+              .agg(F.count(counted).alias("n")).where(F.col("n") > 0)
+              .select(utc_instant_as_ntz(F.col("w.start")).alias("window_start"),
+                      utc_instant_as_ntz(F.col("w.end")).alias("window_end"), "n"))
+    q = (counts.writeStream.format("parquet").option("path", sink).outputMode("append")
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
         raise TimeoutError("windowed count did not drain")
     if q.exception():
         raise q.exception()
-    return spark.read.parquet(sink)
+    return spark.read.schema("window_start timestamp_ntz, window_end timestamp_ntz, n long").parquet(sink)

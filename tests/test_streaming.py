@@ -25,13 +25,31 @@ def test_incremental_scan_resumes_without_duplicates(spark):
     assert out.count() == 1500 and out.select("id").distinct().count() == 1500
 
 
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "id long, ts string").select("id", F.to_timestamp_ntz("ts").alias("ts"))
+
+
+def _counts(spark, base, ev, n):
+    out = windowed_counts(spark, base + "/in", ev.schema, "ts", "id", base + "/out", base + "/ckpt", max_files_per_trigger=n)
+    return {r["window_start"].strftime("%Y-%m-%d"): r["n"] for r in out.collect()}
+
+
 def test_windowed_counts_match_batch(spark):
     base = run_folder(spark, "t-window")
-    ev = spark.createDataFrame([(i, f"2024-01-0{1 + i % 3} 0{i % 10}:00:00") for i in range(90)], "id long, ts string") \
-        .select("id", F.to_timestamp_ntz("ts").alias("ts"))
+    ev = _events(spark, [(i, f"2024-01-0{1 + i % 3} 0{i % 10}:00:00") for i in range(90)])
     ev.repartition(3).write.parquet(base + "/in")
-    got = windowed_counts(spark, base + "/in", ev.schema, "ts", base + "/out", base + "/ckpt", max_files_per_trigger=1)
-    got = {r["window_start"].strftime("%Y-%m-%d"): r["n"] for r in got.collect()}
-    want = {r["d"]: r["n"] for r in ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("d")).count()
-            .withColumnRenamed("count", "n").collect()}
-    assert got == want
+    _events(spark, [(None, "2024-01-07 00:00:00")]).write.mode("append").parquet(base + "/in")
+    assert _counts(spark, base, ev, None) == {"2024-01-01": 30, "2024-01-02": 30, "2024-01-03": 30}
+
+
+def test_late_rows_are_dropped_and_open_windows_wait(spark):
+    base = run_folder(spark, "t-late")
+    ev = _events(spark, [(1, "2024-01-01 08:00:00"), (2, "2024-01-05 08:00:00")])
+    ev.coalesce(1).write.parquet(base + "/in")
+    # the watermark is now 01-04 08:00: the first day is closed, the fifth is open
+    assert _counts(spark, base, ev, 1) == {"2024-01-01": 1}
+    late = _events(spark, [(3, "2024-01-01 09:00:00"), (4, "2024-01-05 09:00:00")])
+    late.coalesce(1).write.mode("append").parquet(base + "/in")
+    assert _counts(spark, base, ev, 1) == {"2024-01-01": 1}
+    _events(spark, [(None, "2024-01-09 00:00:00")]).write.mode("append").parquet(base + "/in")
+    assert _counts(spark, base, ev, 1) == {"2024-01-01": 1, "2024-01-05": 2}
