@@ -42,3 +42,15 @@ def unit_hash_sql(key: str, seed: int) -> str:
     h1 = f"(({inner} * {LCG_MULT} + {LCG_INC}) % {MOD31})"
     h2 = f"(({h1} * {LCG_MULT} + {LCG_INC}) % {MOD31})"
     return f"(cast({h2} as double) / {MOD31}.0)"
+
+
+def unit_md5(col: Column, seed: int, name: str) -> Column:
+    """A number in [0, 1) from 52 bits of an md5 of (seed, name, col): numbers under
+    different names are independent of one another."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(name), col.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
+def unit_md5_sql(key: str, seed: int, name: str) -> str:
+    """The same number in SQL."""
+    return f"(cast(('0x' || substr(md5('{seed}:{name}:' || {key}), 1, 13)) as bigint) / {float(1 << 52)!r})"

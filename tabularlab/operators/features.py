@@ -144,7 +144,8 @@ def parent_aggregate_features(child: DataFrame, parent_key: str, numeric: Sequen
                               categorical: Mapping[str, Sequence[str]] = {}, digits: int = 6,
                               money: Sequence[str] = ()) -> DataFrame:
     """FE7: for each numeric child column count/sum/mean/std/min/max/skew/nunique/mode
-    per parent, plus counts where a categorical child column equals a value.
+    per parent, plus counts where a categorical child column equals a value and
+    its mode.
     Skew is the bias-corrected sample skewness (D13); mode ties -> smallest.
     Columns in ``money`` are summed exactly in whole cents."""
     aggs = [F.count(F.lit(1)).alias("n_children")]
@@ -161,20 +162,24 @@ def parent_aggregate_features(child: DataFrame, parent_key: str, numeric: Sequen
         for v in values:
             aggs.append(F.count_if(F.col(c) == v).alias(f"n_{c}_{v}".replace(" ", "_").replace("-", "_")))
     feats = child.groupBy(parent_key).agg(*aggs)
-    for c in numeric:
+    for c in [*numeric, *categorical]:
         counts = child.where(F.col(c).isNotNull()).groupBy(parent_key, c).agg(F.count(F.lit(1)).alias("_n"))
         mode = counts.groupBy(parent_key).agg(F.min_by(F.col(c), F.struct(-F.col("_n"), F.col(c))).alias(f"mode_{c}"))
         feats = feats.join(mode, parent_key, "left")
     return feats
 
 
-def noise_columns(df: DataFrame, key: str, seed: int, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """FE8: reproducible noise from a hash of (key, seed): a 0/1 label and a
-    uniform value in [lo, hi].  Independent of partitioning, unlike rand()."""
-    from tabularlab.functions.hashing import unit_hash_of
-    u = unit_hash_of(df, key, seed)
-    return df.withColumn("noise_label", (u < 0.5).cast("int")) \
-             .withColumn("noise_value", F.lit(lo) + u * F.lit(hi - lo))
+def noise_columns(df: DataFrame, key: str, seed: int, lo: float = 0.0, hi: float = 1.0, like: str | None = None) -> DataFrame:
+    """FE8: reproducible noise from a hash of (key, seed): a 0/1 label and an
+    independent uniform value in [lo, hi] (or in the range of the column ``like``).
+    Each column has a seed of its own, so neither tells anything about the other."""
+    from tabularlab.functions.hashing import unit_md5
+    if like is not None:
+        low, high = df.agg(F.min(like), F.max(like)).first()
+        lo, hi = (float(low), float(high)) if low is not None else (lo, hi)
+    own = lambda name: unit_md5(F.col(key), seed, name)
+    return df.withColumn("noise_label", (own("label") < 0.5).cast("int")) \
+             .withColumn("noise_value", F.lit(lo) + own("value") * F.lit(hi - lo))
 
 
 def dollars_to_units(dollars: Column, price: Column) -> Column:

@@ -29,20 +29,22 @@ def _block_topk(k: int):
             return pd.DataFrame({x: pd.Series(dtype="float64" if x == "_d2" else "int64") for x in cols})
         qa = np.stack(q["_v"].to_numpy()).astype(np.float64)
         ca = np.stack(c["_pv"].to_numpy()).astype(np.float64)
-        diff = qa[:, None, :] - ca[None, :, :]
-        d2 = np.einsum("ijk,ijk->ij", diff, diff)
-        kk = min(k, d2.shape[1])
-        pid = c["_pid"].to_numpy()
-        # order by (distance, candidate id): lexsort per row over the block
-        out_q, out_p, out_l, out_d = [], [], [], []
-        for i in range(d2.shape[0]):
-            idx = np.lexsort((pid, d2[i]))[:kk]
-            out_q.append(np.full(kk, q["_id"].iloc[i]))
-            out_p.append(pid[idx])
-            out_l.append(c["_plabel"].to_numpy()[idx])
-            out_d.append(d2[i, idx])
-        return pd.DataFrame({"_id": np.concatenate(out_q), "_pid": np.concatenate(out_p),
-                             "_plabel": np.concatenate(out_l), "_d2": np.concatenate(out_d)})
+        kk = min(k, len(ca))
+        qq, cc = (qa * qa).sum(1), (ca * ca).sum(1)
+        near = qq[:, None] + cc - 2.0 * (qa @ ca.T)
+        kth = np.partition(near, kk - 1, axis=1)[:, kk - 1]
+        # the product form rounds: take all within its error, then measure those exactly
+        slack = 1e-9 * (qq.max() + cc.max() + 1.0)
+        row, col = np.nonzero(near <= kth[:, None] + slack)
+        diff = qa[row] - ca[col]
+        d2 = np.einsum("ij,ij->i", diff, diff)
+        pid = c["_pid"].to_numpy()[col]
+        order = np.lexsort((pid, d2, row))
+        row, col, d2, pid = row[order], col[order], d2[order], pid[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < kk
+        return pd.DataFrame({"_id": q["_id"].to_numpy()[row[keep]], "_pid": pid[keep],
+                             "_plabel": c["_plabel"].to_numpy()[col[keep]], "_d2": d2[keep]})
     return fn
 
 
@@ -82,11 +84,10 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
     ranges = pts.groupBy("_b").agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
     pending = pts.select("_id", "_v", "_s", "_b")
     done = []
-    # with few buckets a pruning round costs more than it saves: compare all at once
-    radius = n_buckets if n_buckets <= 8 else 1
+    radius, compared, carry = 1, -1, None   # buckets up to ``compared`` away are already in ``carry``
     schema = "_id long, _pid long, _plabel long, _d2 double"
     while True:
-        offsets = F.sequence(F.lit(-radius), F.lit(radius))
+        offsets = F.filter(F.sequence(F.lit(-radius), F.lit(radius)), lambda o: F.abs(o) > compared)
         q = pending.select("_id", "_v", F.col("_b").alias("_qb"), F.explode(offsets).alias("_o")) \
             .withColumn("_cb", F.col("_qb") + F.col("_o")).where((F.col("_cb") >= 0) & (F.col("_cb") < n_buckets)) \
             .drop("_o")
@@ -96,6 +97,8 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
             .drop("_o")
         blocks = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(_block_topk(k), schema)
         w = Window.partitionBy("_id").orderBy("_d2", "_pid")
+        if carry is not None:
+            blocks = blocks.unionByName(carry)
         top = materialize(blocks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r"),
                           "knn-top")
         kth = top.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), F.sqrt(F.max("_d2")).alias("_dk")) \
@@ -112,7 +115,8 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
         pending = materialize(pending.join(certified, "_id", "left_anti"), "knn-pending")
         if pending.isEmpty():
             break
-        radius *= 2
+        carry = top.join(pending.select("_id"), "_id", "left_semi")
+        radius, compared = radius * 2, radius
     neigh = done[0]
     for d in done[1:]:
         neigh = neigh.unionByName(d)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tabularlab.operators import features as FT
 from tabularlab.operators.order import contiguous_folds
-from tabularlab.functions.hashing import unit_hash_sql
+from tabularlab.operators.reshape import distinct_values
+from tabularlab.functions.hashing import unit_hash_sql, unit_md5_sql
 from tabularlab.plans.catalog import register
 from tabularlab.sources.tables import Tables
 
@@ -86,18 +87,21 @@ def fe4(spark, sf):
 
 @register("fe5_standardize", """
 with p as (select avg(l_quantity) as mq, stddev_samp(l_quantity) as sq, median(l_quantity) as medq,
-                  avg(l_discount) as md, stddev_samp(l_discount) as sd, median(l_discount) as medd
+                  avg(l_discount) as md, stddev_samp(l_discount) as sd, median(l_discount) as medd,
+                  avg(l_tax) as mt, stddev_samp(l_tax) as st, median(l_tax) as medt
            from lineitem where l_shipdate < timestamp '1999-01-01')
 select l_orderkey, l_linenumber, round((coalesce(l_quantity, medq) - mq) / sq, 6) as l_quantity,
-       round((coalesce(l_discount, medd) - md) / sd, 6) as l_discount, cast(l_quantity is null as int) as l_quantity_na
+       round((coalesce(l_discount, medd) - md) / sd, 6) as l_discount,
+       round((coalesce(l_tax, medt) - mt) / st, 6) as l_tax, cast(l_quantity is null as int) as l_quantity_na
 from lineitem, p""")
 def fe5(spark, sf):
-    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate")
+    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    cols = ["l_quantity", "l_discount", "l_tax"]
     params = FT.fit_standardizer(li.where(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")),
-                                 ["l_quantity", "l_discount"])
-    out = FT.apply_standardizer(li, params, ["l_quantity", "l_discount"])
+                                 cols)
+    out = FT.apply_standardizer(li, params, cols)
     return out.select("l_orderkey", "l_linenumber", F.round("l_quantity", 6).alias("l_quantity"),
-                      F.round("l_discount", 6).alias("l_discount"), "l_quantity_na")
+                      F.round("l_discount", 6).alias("l_discount"), F.round("l_tax", 6).alias("l_tax"), "l_quantity_na")
 
 
 @register("fe6_minmax_scale", """
@@ -111,26 +115,34 @@ def fe6(spark, sf):
 @register("fe7_parent_aggregates", """
 with o as (select o_custkey, cast(o_totalprice as decimal(18,2)) as price, o_totalprice, o_orderstatus from orders),
 mode as (select o_custkey, arg_min(o_totalprice, -n * 1e12 + o_totalprice) as mode_o_totalprice from
-         (select o_custkey, o_totalprice, count(*) as n from o group by all) group by o_custkey)
+         (select o_custkey, o_totalprice, count(*) as n from o group by all) group by o_custkey),
+smode as (select o_custkey, o_orderstatus as mode_o_orderstatus from (select o_custkey, o_orderstatus,
+            row_number() over (partition by o_custkey order by count(*) desc, o_orderstatus) as r
+          from o where o_orderstatus is not null group by o_custkey, o_orderstatus) where r = 1)
 select o.o_custkey, count(*) as n_children, cast(sum(price) as double) as sum_o_totalprice,
        round(avg(o_totalprice), 6) as mean_o_totalprice, round(stddev_samp(o_totalprice), 6) as std_o_totalprice,
        min(o_totalprice) as min_o_totalprice, max(o_totalprice) as max_o_totalprice,
        round(case when count(o_totalprice) > 2 then skewness(o_totalprice) end, 6) as skew_o_totalprice,
        count(distinct o_totalprice) as nunique_o_totalprice,
        count(*) filter (where o_orderstatus = 'F') as n_o_orderstatus_F, count(*) filter (where o_orderstatus = 'O') as n_o_orderstatus_O,
-       any_value(mode.mode_o_totalprice) as mode_o_totalprice
-from o join mode on o.o_custkey = mode.o_custkey group by o.o_custkey""")
+       count(*) filter (where o_orderstatus = 'P') as n_o_orderstatus_P,
+       any_value(mode.mode_o_totalprice) as mode_o_totalprice, any_value(smode.mode_o_orderstatus) as mode_o_orderstatus
+from o join mode on o.o_custkey = mode.o_custkey left join smode on o.o_custkey = smode.o_custkey group by o.o_custkey""")
 def fe7(spark, sf):
     o = Tables(spark, sf).orders
-    return FT.parent_aggregate_features(o, "o_custkey", ["o_totalprice"], {"o_orderstatus": ["F", "O"]},
+    statuses = distinct_values(o, "o_orderstatus")      # every value that occurs
+    return FT.parent_aggregate_features(o, "o_custkey", ["o_totalprice"], {"o_orderstatus": statuses},
                                         money=["o_totalprice"])
 
 
 @register("fe8_noise_columns", f"""
-select c_custkey, cast({unit_hash_sql('c_custkey', 7)} < 0.5 as int) as noise_label,
-       0.0 + {unit_hash_sql('c_custkey', 7)} * 1.0 as noise_value from customer""")
+with r as (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer)
+select c_custkey, cast({unit_md5_sql('c_custkey', 7, 'label')} < 0.5 as int) as noise_label,
+       round(lo + {unit_md5_sql('c_custkey', 7, 'value')} * (hi - lo), 6) as noise_value from customer, r""")
 def fe8(spark, sf):
-    return FT.noise_columns(Tables(spark, sf).customer.select("c_custkey"), "c_custkey", seed=7)
+    c = Tables(spark, sf).customer.select("c_custkey", "c_acctbal")
+    noisy = FT.noise_columns(c, "c_custkey", seed=7, like="c_acctbal")
+    return noisy.select("c_custkey", "noise_label", F.round("noise_value", 6).alias("noise_value"))
 
 
 @register("sm1_balanced_sample", """

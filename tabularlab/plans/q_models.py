@@ -6,6 +6,7 @@ rows and invariants: Spark's learners differ from other libraries'.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabularlab.operators import models as MD
@@ -13,6 +14,7 @@ from tabularlab.operators.features import hash_split
 from tabularlab.operators.order import contiguous_folds
 from tabularlab.operators.reshape import distinct_values
 from tabularlab.plans.catalog import register
+from tabularlab.session import materialize
 from tabularlab.sources.tables import Tables
 
 KNN_SQL = """
@@ -36,24 +38,36 @@ def ml8d(spark, sf):
     return ml8(spark, sf).where(F.col("pred") != F.col("label"))
 
 
-@register("ml9_pca")
-def ml9(spark, sf):
+def _pca(spark, sf, k=20):
+    """Centred vectors and their PCA (Spark's own transform does not centre)."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector
     e = Tables(spark, sf).embeddings.select("vec_id", array_to_vector("embedding").alias("v"))
     centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(e).transform(e)
-    model = PCA(k=3, inputCol="c", outputCol="pcs").fit(centred)
+    return PCA(k=k, inputCol="c", outputCol="pcs").fit(centred), centred
+
+
+@register("ml9_pca")
+def ml9(spark, sf):
+    model, _ = _pca(spark, sf)
     ev = [(i + 1, float(x)) for i, x in enumerate(model.explainedVariance.toArray())]
     return spark.createDataFrame(ev, "component int, explained_variance double")
 
 
+@register("ml9_pca_scores")
+def ml9s(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    model, centred = _pca(spark, sf)
+    return model.transform(centred).select("vec_id", vector_to_array("pcs").alias("scores"))
+
+
 def _doc_data(spark, sf):
     t = Tables(spark, sf)
-    langs = distinct_values(t.documents, "lang", cap=64)
+    langs = distinct_values(t.documents, "lang")
     feats = MD.document_features(t.documents, t.labels, langs)
     names = MD.FEATURES + [f"lang_{v}" for v in langs]
-    data = hash_split(MD.assemble(feats, names), "doc_id", 0.25, seed=3).cache()
-    return data, names
+    # read many times by the fits: written once, nothing stays cached afterwards
+    return materialize(hash_split(MD.assemble(feats, names), "doc_id", 0.25, seed=3), "doc-features"), names
 
 
 @register("ml10_gbt_importances")
@@ -70,7 +84,7 @@ def ml10(spark, sf):
 def ml11(spark, sf):
     data, _ = _doc_data(spark, sf)
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-    rows = MD.gbt_loss_curve(train, test, "quality", [0.05, 0.2], max_iter=15)
+    rows = MD.gbt_loss_curve(train, test, "quality", [1.0, 0.5, 0.3, 0.2, 0.1], max_iter=250)
     df = spark.createDataFrame(rows, "learning_rate double, iteration int, train_log_loss double, test_log_loss double")
     best = df.groupBy("learning_rate").agg(F.min_by("iteration", F.struct("test_log_loss", "iteration")).alias("best_iteration"))
     return df.join(best, "learning_rate")
@@ -81,7 +95,7 @@ def ml12(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
     data, _ = _doc_data(spark, sf)
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-    m = RandomForestClassifier(labelCol="quality", featuresCol="features", numTrees=30, maxDepth=4, seed=1).fit(train)
+    m = RandomForestClassifier(labelCol="quality", featuresCol="features", numTrees=100, seed=1).fit(train)
     s = m.transform(test).withColumn("p1", MD.positive_probability())
     return s.select("doc_id", "quality", "p1", MD.log_loss_col("quality", F.col("p1")).alias("log_loss"))
 
@@ -98,31 +112,33 @@ def ml13(spark, sf):
     return spark.createDataFrame(rows, "feature string, coef double")
 
 
+TEXT_WIDTH = 1 << 18      # columns that tokens are hashed into
+
+
 @register("ml14_multilabel_text")
 def ml14(spark, sf):
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
     t = Tables(spark, sf)
     d = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double"),
                                                     F.col("toxic").cast("double"))
     d = hash_split(d, "doc_id", 0.25, seed=3)
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True)
-    toks = tok.transform(d)
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=5000, minDF=1.0) \
-        .fit(toks.where(F.col("split") == "train"))   # vocabulary from train rows only
-    bow = cv.transform(toks).cache()
-    out = bow.select("doc_id", "split")
+    # every token counts: hashed into a fixed width, so no vocabulary is cut or collected
+    tf = HashingTF(inputCol="tokens", outputCol="features", numFeatures=TEXT_WIDTH)
+    out = materialize(tf.transform(tok.transform(d)).select("doc_id", "split", "quality", "toxic", "features"), "bow")
+    train = out.where(F.col("split") == "train")
     for label in ("quality", "toxic"):
-        m = LogisticRegression(labelCol=label, featuresCol="features", regParam=0.01, maxIter=50) \
-            .fit(bow.where(F.col("split") == "train"))
-        p = m.transform(bow).select("doc_id", MD.positive_probability().alias(f"p_{label}"))
-        out = out.join(p, "doc_id")
-    return out
+        m = LogisticRegression(labelCol=label, featuresCol="features", regParam=0.01, maxIter=50,
+                               rawPredictionCol=f"raw_{label}", probabilityCol=f"prob_{label}",
+                               predictionCol=f"pred_{label}").fit(train)
+        out = m.transform(out).withColumn(f"p_{label}", MD.positive_probability(f"prob_{label}"))
+    return out.select("doc_id", "split", "p_quality", "p_toxic")
 
 
 def _folded(spark, sf, k=5):
     data, names = _doc_data(spark, sf)
-    return contiguous_folds(data, ["doc_id"], k, "fold").withColumn("fold", F.col("fold") - 1).cache(), names
+    return materialize(contiguous_folds(data, ["doc_id"], k, "fold").withColumn("fold", F.col("fold") - 1), "folds"), names
 
 
 @register("ml15_cross_validation")
@@ -143,32 +159,60 @@ def ml15(spark, sf):
     return spark.createDataFrame(rows, "fold int, accuracy double")
 
 
-@register("ml16_grid_search")
-def ml16(spark, sf):
+# The settings of the grid search.  Its fourth parameter, the least rows to split a
+# node (2, 3, 10), has no counterpart in Spark's trees; "auto" and "sqrt" are the same there.
+GRID = {"maxDepth": [2, 3, 4, 6, 8], "numTrees": [50, 10], "featureSubsetStrategy": ["sqrt", "auto", "log2"],
+        "minInstancesPerNode": [1, 3, 10], "bootstrap": [True, False]}
+
+
+def grid_search(data, names, grid, folds=5):
+    """ML16: mean accuracy of each setting over stratified folds, with the best and the worst
+    setting fitted again on all of ``data`` (column ``split`` = train) to predict the other rows."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    data, _ = _folded(spark, sf, 3)
+    from tabularlab.operators.order import folds_within_groups
+    spark = data.sparkSession
+    train = materialize(folds_within_groups(data.where(F.col("split") == "train"), ["quality"], ["doc_id"], folds)
+                        .withColumn("fold", F.col("fold") - 1), "grid")
     rf = RandomForestClassifier(labelCol="quality", featuresCol="features", seed=1)
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, [10, 20]).addGrid(rf.maxDepth, [2, 4])
-            .addGrid(rf.minInstancesPerNode, [1, 5]).build())
+    build = ParamGridBuilder()
+    for name, values in grid.items():
+        build = build.addGrid(rf.getParam(name), values)
+    maps = build.build()
     ev = MulticlassClassificationEvaluator(labelCol="quality", metricName="accuracy")
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=3,
-                        parallelism=4).fit(data)
-    rows = []
-    for pm, metric in zip(grid, cv.avgMetrics):
-        desc = ",".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((desc, float(metric)))
-    df = spark.createDataFrame(rows, "params string, mean_accuracy double")
-    return df.withColumn("is_best", F.col("mean_accuracy") == df.agg(F.max("mean_accuracy")).scalar())
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=folds, parallelism=8).fit(train)
+    scores = [float(x) for x in cv.avgMetrics]
+    desc = [",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)) for m in maps]
+    best, worst = scores.index(max(scores)), scores.index(min(scores))    # the first of equals
+    rows = [(d, s, i == best, i == worst) for i, (d, s) in enumerate(zip(desc, scores))]
+    table = spark.createDataFrame(rows, "params string, mean_accuracy double, is_best boolean, is_worst boolean")
+    predicted = data.where(F.col("split") != "train")
+    for name, i in (("best", best), ("worst", worst)):
+        m = rf.copy(maps[i]).fit(train)
+        m = m.setPredictionCol(name).setRawPredictionCol(f"raw_{name}").setProbabilityCol(f"prob_{name}")
+        predicted = m.transform(predicted)
+    return table, predicted.select("doc_id", "quality", "best", "worst")
+
+
+@register("ml16_grid_search")
+def ml16(spark, sf):
+    return grid_search(*_doc_data(spark, sf), GRID)[0]
+
+
+@register("ml16_refit_predictions")
+def ml16p(spark, sf):
+    # the settings around the best one found: the refit itself is what this query shows
+    return grid_search(*_doc_data(spark, sf), {"maxDepth": [2, 8], "numTrees": [50, 10]})[1]
 
 
 @register("ml17_embedded_selection")
 def ml17(spark, sf):
     coefs = ml13(spark, sf).where(F.col("feature") != "intercept")
     thr = coefs.agg(F.avg(F.abs("coef"))).scalar()
-    ranked = coefs.withColumn("abs_coef", F.abs("coef")).orderBy(F.col("abs_coef").desc(), "feature").limit(3)
-    return ranked.withColumn("selected", F.col("abs_coef") >= thr)
+    rank = F.row_number().over(Window.orderBy(F.abs("coef").desc(), "feature"))     # one row per feature
+    ranked = coefs.withColumn("abs_coef", F.abs("coef")).withColumn("rank", rank)
+    return ranked.withColumn("selected", (F.col("abs_coef") >= thr) & (F.col("rank") <= 5))
 
 
 @register("ml18_recursive_elimination")
@@ -176,10 +220,10 @@ def ml18(spark, sf):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorSlicer
     data, names = _doc_data(spark, sf)
-    train = data.where(F.col("split") == "train").cache()
+    train = data.where(F.col("split") == "train")
     active = list(range(len(names)))
     order = []
-    while len(active) > 3:
+    while len(active) > 5:
         sl = VectorSlicer(inputCol="features", outputCol="sub", indices=active).transform(train)
         m = LogisticRegression(labelCol="quality", featuresCol="sub", regParam=0.01, maxIter=100).fit(sl)
         weakest = min(zip(active, m.coefficients.toArray()), key=lambda kv: (abs(kv[1]), kv[0]))[0]
@@ -193,7 +237,7 @@ def ml18(spark, sf):
 def ml19(spark, sf):
     from tabularlab.operators.features import noise_columns
     data, names = _doc_data(spark, sf)
-    noisy = noise_columns(data.drop("features"), "doc_id", seed=5)
+    noisy = materialize(noise_columns(data.drop("features"), "doc_id", seed=5, like="n_chars"), "noisy")
     cols = names + ["noise_value"]
     full = MD.assemble(noisy, cols)
     rows = []
@@ -203,6 +247,9 @@ def ml19(spark, sf):
     return spark.createDataFrame(rows, "target string, feature string, importance double")
 
 
+HIDDEN_LAYERS = [[16, 8, 4], [16, 16, 8, 8, 8, 4, 4, 4]]     # three and eight hidden layers
+
+
 @register("ml20_mlp")
 def ml20(spark, sf):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
@@ -211,31 +258,34 @@ def ml20(spark, sf):
     sc = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True).fit(
         data.where(F.col("split") == "train"))
     z = sc.transform(data)
-    m = MultilayerPerceptronClassifier(labelCol="quality", featuresCol="z", layers=[len(names), 8, 2], maxIter=100,
-                                       seed=1).fit(z.where(F.col("split") == "train"))
-    s = m.transform(z.where(F.col("split") == "test"))
-    return s.agg(F.count(F.lit(1)).alias("n_test"),
-                 F.avg((F.col("prediction") == F.col("quality")).cast("double")).alias("accuracy"),
-                 F.countDistinct("prediction").alias("n_distinct_predictions"))
+    train, test = z.where(F.col("split") == "train"), z.where(F.col("split") == "test")
+    out = None
+    for hidden in HIDDEN_LAYERS:
+        m = MultilayerPerceptronClassifier(labelCol="quality", featuresCol="z", layers=[len(names), *hidden, 2], maxIter=100,
+                                           seed=1).fit(train)
+        s = m.transform(test).select("doc_id", "quality", F.lit(len(hidden)).alias("hidden_layers"), "prediction",
+                                     MD.positive_probability().alias("p1"))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 @register("ml21_sales_regressor")
 def ml21(spark, sf):
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.regression import GBTRegressor
-    from tabularlab.plans.facts import TRAIN_END, monthly_sales
+    from tabularlab.plans.facts import HORIZON, monthly_sales
     f = monthly_sales(Tables(spark, sf)).withColumn("dollars", F.col("dollars").cast("double")) \
         .withColumn("month_of_year", (F.pmod(F.col("m") - 1, F.lit(12)) + 1).cast("double"))
-    train = f.where(F.col("m") <= TRAIN_END)
-    idx = StringIndexer(inputCols=["item_id", "store_id", "state_id", "cat_id"],
-                        outputCols=["item_ix", "store_ix", "state_ix", "cat_ix"], handleInvalid="keep",
+    train_end = f.agg(F.max("m")).first()[0] - HORIZON
+    train = f.where(F.col("m") <= train_end)
+    ids = ["item_id", "store_id", "state_id", "cat_id"]
+    idx = StringIndexer(inputCols=ids, outputCols=["item_ix", "store_ix", "state_ix", "cat_ix"], handleInvalid="keep",
                         stringOrderType="alphabetAsc").fit(train)
     data = MD.assemble(idx.transform(f), ["item_ix", "store_ix", "state_ix", "cat_ix", "month_of_year"])
     lo, hi = train.agg(F.min("dollars"), F.max("dollars")).first()
-    m = GBTRegressor(labelCol="dollars", featuresCol="features", maxIter=20, maxDepth=5, maxBins=256, seed=1) \
-        .fit(data.where(F.col("m") <= TRAIN_END))
-    pred = m.transform(data.where(F.col("m") > TRAIN_END)) \
+    bins = max(32, *(len(x) + 1 for x in idx.labelsArray))     # a bin for each id
+    m = GBTRegressor(labelCol="dollars", featuresCol="features", maxIter=20, maxDepth=5, maxBins=bins, seed=1) \
+        .fit(data.where(F.col("m") <= train_end))
+    pred = m.transform(data.where(F.col("m") > train_end)) \
         .withColumn("prediction", F.least(F.greatest("prediction", F.lit(lo)), F.lit(hi)))
-    return pred.agg(F.count(F.lit(1)).alias("n_valid"),
-                    F.sqrt(F.avg((F.col("prediction") - F.col("dollars")) ** 2)).alias("rmse"),
-                    F.min("prediction").alias("min_pred"), F.max("prediction").alias("max_pred"))
+    return pred.select(*ids, "m", "dollars", "prediction")
