@@ -115,3 +115,13 @@ def link_by_measurements(df: DataFrame, measure_cols: Sequence[str], id_col: str
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct(id_col).alias("n_ids"),
         F.min(id_col).alias("min_id"), F.max(id_col).alias("max_id"))
+
+
+def link_tables(left: DataFrame, right: DataFrame, measure_cols: Sequence[str], name_col: str, id_col: str) -> DataFrame:
+    """JN11 over two tables: candidates of ``right`` with a row's measurements, per name of
+    ``left``.  Candidates are grouped by measurement before the join, so no pair is
+    made: each measured row meets one row with its candidates' number and ends."""
+    cols = list(measure_cols)
+    found = right.groupBy(*cols).agg(F.countDistinct(id_col).alias("_n"), F.min(id_col).alias("_low"), F.max(id_col).alias("_high"))
+    return left.select(*cols, F.col(name_col).alias("name")).join(found, cols).groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_measured"), F.sum("_n").alias("n_links"), F.min("_low").alias("min_id"), F.max("_high").alias("max_id"))

@@ -263,10 +263,17 @@ def influence(df: DataFrame, y: str, terms: Sequence, key: Sequence[str], fit: O
     lev = sum(F.lit(float(inv[i, j])) * xs[i] * xs[j] for i in range(p) for j in range(p))
     s2 = fit.sse / fit.df_resid
     resid = F.col(y).cast("double") - yhat
-    out = df.select(*key, yhat.alias("fitted"), resid.alias("resid"), lev.alias("leverage"))
     r_int = F.col("resid") / F.sqrt(F.lit(s2) * (1 - F.col("leverage")))
     dfr = fit.df_resid
     s2_i = (F.lit(fit.sse) - F.col("resid") ** 2 / (1 - F.col("leverage"))) / (dfr - 1)
     r_ext = F.col("resid") / F.sqrt(s2_i * (1 - F.col("leverage")))
     cooks = r_int ** 2 / p * F.col("leverage") / (1 - F.col("leverage"))
-    return out.withColumn("student_resid", r_int).withColumn("extern_student_resid", r_ext).withColumn("cooks_d", cooks)
+    names = ["Intercept", *[term_name(t) for t in terms]]
+    # change of each coefficient, in its standard errors, when the row is left out
+    moved = {f"dfbetas_{n}": sum(F.lit(float(inv[j, i])) * xs[i] for i in range(p)) / F.lit(float(np.sqrt(inv[j, j])))
+             for j, n in enumerate(names)}
+    out = df.select(*key, yhat.alias("fitted"), resid.alias("resid"), lev.alias("leverage"),
+                    *[v.alias(n) for n, v in moved.items()])
+    out = out.withColumn("student_resid", r_int).withColumn("extern_student_resid", r_ext).withColumn("cooks_d", cooks)
+    scale = F.col("extern_student_resid") / F.sqrt(1 - F.col("leverage"))
+    return out.withColumns({n: F.col(n) * scale for n in moved})

@@ -165,15 +165,13 @@ def prj15(spark, sf):
 
 
 @register("prj16_clip_renormalise", """
-with p as (select vec_id, [abs(embedding[1]::double), abs(embedding[2]::double), abs(embedding[3]::double)] as a from embeddings),
-c as (select vec_id, list_transform(a, lambda x: least(greatest(x, 0.05), 0.95)) as c from p)
-select vec_id, round(c[1] / (c[1] + c[2] + c[3]), 6) as p1, round(c[2] / (c[1] + c[2] + c[3]), 6) as p2,
-       round(c[3] / (c[1] + c[2] + c[3]), 6) as p3 from c""")
+with c as (select vec_id, list_transform(embedding, lambda x: least(greatest(abs(x::double), 0.05), 0.95)) as c from embeddings),
+t as (select vec_id, c, list_sum(c) as total from c)
+select vec_id, cast(i as int) as i, round(c[i] / total, 6) as p from t, unnest(range(1, len(c) + 1)) as x(i)""")
 def prj16(spark, sf):
-    e = Tables(spark, sf).embeddings
-    probs = F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x.cast("double")))
-    r = e.select("vec_id", C.clip_renormalise(probs, 0.95).alias("p"))
-    return r.select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"p{i + 1}") for i in range(3)])
+    probs = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    r = Tables(spark, sf).embeddings.select("vec_id", F.posexplode(C.clip_renormalise(probs, 0.95)).alias("i", "p"))
+    return r.select("vec_id", (F.col("i") + 1).alias("i"), F.round("p", 6).alias("p"))
 
 
 @register("prj17_powers", """
@@ -358,13 +356,16 @@ def sc10(spark, sf):
 
 
 @register("jn1_suffix_join", """
-select c.c_custkey, s.s_suppkey, c.c_nationkey as nationkey, c.c_acctbal as acctbal_left, s.s_acctbal as acctbal_right
-from customer c join supplier s on c.c_nationkey = s.s_nationkey""")
+select o_orderkey as orderkey, o_custkey, l_linenumber, o_orderstatus as status_left, l_linestatus as status_right,
+       o_totalprice as amount_left, l_extendedprice as amount_right
+from orders join lineitem on o_orderkey = l_orderkey""")
 def jn1(spark, sf):
     t = Tables(spark, sf)
-    c = t.customer.select("c_custkey", F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("acctbal"))
-    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("acctbal"))
-    return J.join_with_suffixes(c, s, ["nationkey"])
+    o = t.orders.select(F.col("o_orderkey").alias("orderkey"), "o_custkey", F.col("o_orderstatus").alias("status"),
+                        F.col("o_totalprice").alias("amount"))
+    li = t.lineitem.select(F.col("l_orderkey").alias("orderkey"), "l_linenumber", F.col("l_linestatus").alias("status"),
+                           F.col("l_extendedprice").alias("amount"))
+    return J.join_with_suffixes(o, li, ["orderkey"])
 
 
 @register("jn2_left_join_renamed", """
@@ -486,6 +487,18 @@ def jn11(spark, sf):
     return r.where(F.col("n_ids") > 1)
 
 
+@register("jn11_linked_names", """
+with c as (select l_quantity, l_extendedprice, min(l_orderkey) as low, max(l_orderkey) as high, count(distinct l_orderkey) as n
+           from lineitem where l_returnflag = 'A' group by l_quantity, l_extendedprice)
+select l_partkey as name, count(*) as n_measured, sum(n)::bigint as n_links, min(low) as min_id, max(high) as max_id
+from lineitem l join c on l.l_quantity = c.l_quantity and l.l_extendedprice = c.l_extendedprice
+where l_returnflag = 'R' group by l_partkey""")
+def jn11n(spark, sf):
+    li = Tables(spark, sf).lineitem
+    return J.link_tables(li.where(F.col("l_returnflag") == "R"), li.where(F.col("l_returnflag") == "A"),
+                         ["l_quantity", "l_extendedprice"], "l_partkey", "l_orderkey")
+
+
 @register("jn12_aggregate_join_back", """
 with a as (select l_partkey, avg(l_quantity) as avg_qty from lineitem group by l_partkey)
 select l_orderkey, l_linenumber, l.l_partkey, l_quantity, round(avg_qty, 6) as avg_qty
@@ -574,14 +587,16 @@ def st1(spark, sf):
 
 
 @register("st2_tagged_union_split", """
-select 'supplier' as src, count(*) as n_rows, round(sum(s_acctbal), 2) as acctbal from supplier""")
+select 'supplier' as src, count(*) as n_rows, round(sum(s_acctbal), 2) as acctbal from supplier
+union all select 'customer', count(*), round(sum(c_acctbal), 2) from customer""")
 def st2(spark, sf):
     t = Tables(spark, sf)
     c = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("acctbal"))
     s = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("acctbal"))
     u = ST.tagged_union({"customer": c, "supplier": s}, "src")
-    back = ST.split_back(u, "src", "supplier")
-    return back.groupBy("src").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("acctbal"), 2).alias("acctbal"))
+    halves = [ST.split_back(u, "src", name) for name in ("customer", "supplier")]
+    return halves[0].unionByName(halves[1]).groupBy("src").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("acctbal"), 2).alias("acctbal"))
 
 
 @register("st3_set_difference", """

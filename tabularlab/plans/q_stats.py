@@ -79,6 +79,11 @@ def ml5(spark, sf):
     return ST.univariate_f_test(Tables(spark, sf).lineitem, Y, XS).select("feature", "f_stat")
 
 
+@register("ml5_f_test_p_values")
+def ml5p(spark, sf):
+    return ST.univariate_f_test(Tables(spark, sf).lineitem, Y, XS)
+
+
 @register("ml6_anova_type2")
 def ml6(spark, sf):
     return ST.anova_type2(Tables(spark, sf).lineitem, Y, [X, "l_discount", (X, "l_discount")])
