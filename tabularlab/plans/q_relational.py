@@ -11,7 +11,7 @@ from tabularlab.operators import order as O
 from tabularlab.operators import sets as ST
 from tabularlab.operators.series import group_broadcast
 from tabularlab.plans.catalog import register
-from tabularlab.plans.q_aggs import UNIT_CENTS_SQL
+from tabularlab.plans.q_aggs import WEEKLY_PRICE_SQL
 from tabularlab.sources.tables import Tables
 
 # ---------------------------------------------------------------- projections
@@ -376,12 +376,6 @@ def jn2(spark, sf):
         .select("c_custkey", "o_orderkey", "o_totalprice")
 
 
-WEEKLY_PRICE_SQL = f"""
-select l_partkey as wp_partkey, cast(date_trunc('week', l_shipdate) as date) as wp_week,
-       max({UNIT_CENTS_SQL}) / 100.0 as sell_price
-from lineitem group by all"""
-
-
 @register("jn3_multikey_price_join", f"""
 select l_orderkey, l_linenumber, l_partkey, l_quantity, wp.sell_price,
        round(l_quantity * wp.sell_price, 2) as dollars

@@ -108,7 +108,7 @@ register("ml23_wrmsse_naive", WRMSSE_SQL)(naive_forecast_wrmsse)
 
 from tabularlab.operators import reshape as R  # noqa: E402
 from tabularlab.operators.features import dollars_to_units  # noqa: E402
-from tabularlab.plans.q_aggs import UNIT_CENTS_SQL, weekly_price  # noqa: E402
+from tabularlab.plans.q_aggs import UNIT_CENTS_SQL, WEEKLY_PRICE_SQL, weekly_price  # noqa: E402
 
 LEAF = ["item_id", "store_id"]
 
@@ -254,13 +254,8 @@ def wn15(spark, sf):
     return d.select(*LEAF, "m", "sales", F.col("dollars").cast("double").alias("dollars"))
 
 
-WEEKLY_PRICE_SQL2 = f"""
-select l_partkey as wp_partkey, cast(date_trunc('week', l_shipdate) as date) as wp_week,
-       max({UNIT_CENTS_SQL}) / 100.0 as sell_price from lineitem group by all"""
-
-
 @register("wn16_last_price", f"""
-with wp as ({WEEKLY_PRICE_SQL2})
+with wp as ({WEEKLY_PRICE_SQL})
 select wp_partkey, strftime(max(wp_week), '%Y-%m-%d') as last_week, arg_max(sell_price, wp_week) as last_price
 from wp group by wp_partkey""")
 def wn16(spark, sf):
@@ -282,7 +277,7 @@ def ag26(spark, sf):
 
 
 @register("ag28_price_coverage", f"""
-with wp as ({WEEKLY_PRICE_SQL2}),
+with wp as ({WEEKLY_PRICE_SQL}),
 c as (select wp_partkey, count(distinct wp_week) as n_weeks, min(wp_week) as first_week, max(wp_week) as last_week
       from wp group by wp_partkey)
 select wp_partkey, n_weeks, strftime(first_week, '%Y-%m-%d') as first_week, strftime(last_week, '%Y-%m-%d') as last_week,
@@ -299,7 +294,7 @@ def ag28(spark, sf):
 
 
 @register("ag28_incomplete_coverage_share", f"""
-with wp as ({WEEKLY_PRICE_SQL2}),
+with wp as ({WEEKLY_PRICE_SQL}),
 c as (select wp_partkey, count(distinct wp_week) as n_weeks,
              datediff('day', min(wp_week), max(wp_week)) // 7 + 1 as span from wp group by wp_partkey)
 select count(*) as n_parts, count(*) filter (where n_weeks < span) as n_incomplete,
@@ -422,7 +417,7 @@ def fe9(spark, sf):
 
 
 @register("fe10_dollars_to_units", f"""
-with wp as ({WEEKLY_PRICE_SQL2})
+with wp as ({WEEKLY_PRICE_SQL})
 select l_orderkey, l_linenumber, coalesce(cast(trunc(l_extendedprice / wp.sell_price) as bigint), 0) as units
 from lineitem left join wp on l_partkey = wp.wp_partkey
   and cast(date_trunc('week', l_shipdate) as date) - interval 7 day = wp.wp_week""")
