@@ -86,6 +86,11 @@ def materialize(df, name: str = "stage"):
 _written: list[str] = []     # tables that materialize() has written in this process
 
 
+def track(path: str) -> None:
+    """Have ``release_scratch`` delete this folder, too."""
+    _written.append(path)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete the tables that ``materialize`` has written so far.  Call it when no
     DataFrame that reads them is used any more; it also runs when the process ends."""
