@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularlab.session import scratch_path
+from tabularlab.session import scratch_path, track
 
 # ASCII white space: the characters that separate words (bytes.split() uses the same set).
 SPACE = b" \t\n\x0b\x0c\r"
@@ -19,7 +20,8 @@ class Scratch:
 
     ``table(df)`` writes the rows once and reads them back, which cuts the
     lineage in a place every executor can read.  On leaving the context all of
-    them are deleted except those asked for with ``keep=True`` (the result)."""
+    them are deleted except those asked for with ``keep=True`` (the result), which go with
+    ``tabularlab.session.release_scratch``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, []
@@ -30,8 +32,14 @@ class Scratch:
     def table(self, df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
         path = self.path(name)
         df.write.mode("error").parquet(path)
-        if not keep:
+        if keep:
+            track(path)
+        else:
             self.paths.append(path)
+        # what was written no longer needs its shuffle files; Spark deletes them once the
+        # driver's objects for them are collected, which may otherwise take very long
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -34,6 +34,7 @@ from tabularlab.llm.common import SPACE_CLASS, Scratch, free_name, need
 MAX_EDITS = 2
 MIN_CHARS = 50
 BLOCK_LINES = 48
+BROADCAST_KEYS = 500_000     # shared keys (8 bytes each) up to which they are broadcast
 LAST_ID = (1 << 63) - 1
 PLACE = "decimal(38,0)"
 
@@ -147,13 +148,23 @@ def near_lines(lines: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS, m
                block_lines: int = BLOCK_LINES) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within ``max_edits`` edits."""
     long = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars) \
-        .select("doc_id", "pos", "line", "n", F.explode(segment_keys(F.col("line"), F.col("n"), max_edits)).alias("k")) \
-        .select("doc_id", "pos", "line", "n", hash1(F.col("line")).alias("h1"), "k.key", "k.own", "k.seg")
+        .select("line", "n", place(F.col("doc_id"), F.col("pos")).alias("at"), hash1(F.col("line")).alias("h1"),
+                F.explode(segment_keys(F.col("line"), F.col("n"), max_edits)).alias("k")) \
+        .select("line", "n", "at", "h1", "k.key", "k.own", "k.seg")
     # a key matters if two different lines have it, one of them as a segment of its own
     shared = scratch.table(long.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("own").alias("own"))
                            .where("a <> b and own").select("key"), "shared")
-    found = long.join(shared, "key").groupBy("key", "seg", "h1", hash2(F.col("line")).alias("h2"), "n").agg(
-        F.min(place(F.col("doc_id"), F.col("pos"))).alias("at"), F.max("own").alias("own"), F.first("line").alias("line"))
+    by_line = ["key", "seg", "h1", "h2", "n"]
+    if shared.count() <= BROADCAST_KEYS:
+        hits = long.join(F.broadcast(shared), "key").withColumn("h2", hash2(F.col("line")))
+        found = hits.groupBy(*by_line).agg(F.min("at").alias("at"), F.max("own").alias("own"), F.first("line").alias("line"))
+    else:     # without the texts, which follow for the lines that share a key
+        hits = scratch.table(long.withColumn("h2", hash2(F.col("line"))).drop("line").join(shared, "key")
+                             .groupBy(*by_line).agg(F.min("at").alias("at"), F.max("own").alias("own")), "hits")
+        texts = lines.withColumn("h1", hash1(F.col("line"))).withColumn("h2", hash2(F.col("line"))) \
+            .join(hits.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi") \
+            .groupBy("h1", "h2").agg(F.first("line").alias("line"))
+        found = hits.join(texts, ["h1", "h2"])
     found = scratch.table(found, "found")
     sizes = found.groupBy("key").agg(F.ceil(F.count("*") / block_lines).cast("int").alias("blocks"))
     codes = F.transform(F.split(F.col("line"), ""), lambda c: F.ascii(c))
@@ -211,8 +222,10 @@ def drop_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN
     same = (F.coalesce(i.cast("bigint"), F.lit(LAST_ID)) == F.col("doc_id")) & (F.xxhash64(i, t) == F.col("row"))
     lines = F.split(t, "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
-    new = F.when(F.col("drop").isNull(), t).otherwise(F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))
-    joined = rows.join(drop, same, "left")
+    kept = let(lines, lambda ls: F.transform(stay, lambda k: F.get(ls, k)))
+    new = F.when(F.col("drop").isNull(), t).otherwise(F.array_join(kept, "\n"))
+    # hashed, not sorted: the texts are on one side, line numbers on the other
+    joined = rows.join(drop.hint("shuffle_hash"), same, "left")
     counts = {"n_lines": F.coalesce(F.size(lines).cast("bigint") * F.when(t.isNull(), 0).otherwise(1), F.lit(0)),
               "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("bigint") * F.when(F.col("drop").isNull(), 0).otherwise(1)}
     return joined.select(*((new if c == text else F.col(n)).alias(c) for c, n in names.items()),
