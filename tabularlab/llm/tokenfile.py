@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 from tabularlab.llm.common import Scratch, need
 
 CACHE_STRETCHES = 500_000       # encoded stretches kept per Python worker
-CACHE_WORDS = 100_000           # words that the tokenizers library keeps itself
-SEPARATOR = "\t"                # one token; white space, so it ends any pre-token before it
 ODD = re.compile(r"[^\S \n]|\0")    # white space beside blanks and line feeds; the mark that cuts are made at
 WRITE_OPTIONS = {
     "parquet.block.size": str(32 << 20),             # bytes of a row group
@@ -63,29 +61,12 @@ class Stretches:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.library.model._resize_cache(CACHE_WORDS)
-        self.separator, = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
     def learn(self, stretches: set[str]) -> dict[str, bytes]:
-        """Ids of new stretches.  Those without the separator are encoded as one text: the
-        separator is white space before a lone blank, hence a pre-token of its own."""
-        plain = [s for s in stretches if s.startswith(" ") and SEPARATOR not in s]
-        out = {}
-        for at in range(0, len(plain), 4096):
-            part = plain[at: at + 4096]
-            ids = array("I", self.library.encode_batch_fast([SEPARATOR.join(part)], add_special_tokens=False)[0].ids)
-            ends = [*np.nonzero(np.frombuffer(ids, np.uint32) == self.separator)[0].tolist(), len(ids)]
-            if len(ends) != len(part):
-                raise AssertionError("separators and stretches differ in number")
-            packed, start = ids.tobytes(), 0
-            for stretch, end in zip(part, ends):
-                out[stretch] = packed[4 * start: 4 * end]
-                start = end + 1
-        rest = [s for s in stretches if s not in out]
-        made = self.library.encode_batch_fast(rest, add_special_tokens=False)
-        out.update((s, array("I", e.ids).tobytes()) for s, e in zip(rest, made))
-        return out
+        new = list(stretches)
+        made = self.library.encode_batch_fast(new, add_special_tokens=False)
+        return {s: array("I", e.ids).tobytes() for s, e in zip(new, made)}
 
     @staticmethod
     def cut(text: str) -> list[str]:
