@@ -73,6 +73,11 @@ def crc32_of(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row (or element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def need(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

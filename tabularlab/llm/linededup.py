@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularlab.llm.common import SPACE_CLASS, Scratch, free_name, need
+from tabularlab.llm.common import SPACE_CLASS, Scratch, free_name, let, need
 
 MAX_EDITS = 2
 MIN_CHARS = 50
@@ -88,11 +88,6 @@ def segment_keys(line: Column, length: Column, max_edits: int) -> Column:
     return F.array(*keys)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def common_prefix(x: Column, y: Column, longest: Column) -> Column:
     """Characters (up to ``longest``) that two strings share at their start, by binary search."""
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(17))))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularlab.llm.common import Scratch, free_name, need
+from tabularlab.llm.common import Scratch, free_name, let, need
 
 SEED = 20
 MEAN = 32.0        # largest mean inverted at once
@@ -84,7 +84,8 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, total: float | Non
     key = F.coalesce(F.col(names[id_col]).cast("string"), F.lit(""))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("_parts")), F.lit(0),
-        lambda acc, j: acc + F.size(F.filter("_cdf", lambda c: c <= unit(F.lit(str(seed)), key, j.cast("string")))))
+        lambda acc, j: acc + let(unit(F.lit(str(seed)), key, j.cast("string")),
+                                 lambda u: F.size(F.filter("_cdf", lambda c: c <= u))))
     copies = rows.join(table, F.col(names[source]).eqNullSafe(F.col("_s"))) \
         .withColumn("_n", count).where("_n > 0") \
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
