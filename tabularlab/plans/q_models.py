@@ -66,8 +66,8 @@ def _doc_data(spark, sf):
     langs = distinct_values(t.documents, "lang")
     feats = MD.document_features(t.documents, t.labels, langs)
     names = MD.FEATURES + [f"lang_{v}" for v in langs]
-    # read many times by the fits: written once, nothing stays cached afterwards
-    return materialize(hash_split(MD.assemble(feats, names), "doc_id", 0.25, seed=3), "doc-features"), names
+    # read many times by the fits: written once, in as many files as its size asks for
+    return materialize(hash_split(MD.assemble(feats, names), "doc_id", 0.25, seed=3).hint("rebalance"), "doc-features"), names
 
 
 @register("ml10_gbt_importances")
@@ -138,7 +138,7 @@ def ml14(spark, sf):
 
 def _folded(spark, sf, k=5):
     data, names = _doc_data(spark, sf)
-    return materialize(contiguous_folds(data, ["doc_id"], k, "fold").withColumn("fold", F.col("fold") - 1), "folds"), names
+    return materialize(contiguous_folds(data, ["doc_id"], k, "fold").withColumn("fold", F.col("fold") - 1).hint("rebalance"), "folds"), names
 
 
 @register("ml15_cross_validation")
@@ -174,7 +174,7 @@ def grid_search(data, names, grid, folds=5):
     from tabularlab.operators.order import folds_within_groups
     spark = data.sparkSession
     train = materialize(folds_within_groups(data.where(F.col("split") == "train"), ["quality"], ["doc_id"], folds)
-                        .withColumn("fold", F.col("fold") - 1), "grid")
+                        .withColumn("fold", F.col("fold") - 1).hint("rebalance"), "grid")
     rf = RandomForestClassifier(labelCol="quality", featuresCol="features", seed=1)
     build = ParamGridBuilder()
     for name, values in grid.items():
@@ -237,7 +237,7 @@ def ml18(spark, sf):
 def ml19(spark, sf):
     from tabularlab.operators.features import noise_columns
     data, names = _doc_data(spark, sf)
-    noisy = materialize(noise_columns(data.drop("features"), "doc_id", seed=5, like="n_chars"), "noisy")
+    noisy = materialize(noise_columns(data.drop("features"), "doc_id", seed=5, like="n_chars").hint("rebalance"), "noisy")
     cols = names + ["noise_value"]
     full = MD.assemble(noisy, cols)
     rows = []
