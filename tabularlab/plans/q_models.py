@@ -180,9 +180,14 @@ def grid_search(data, names, grid, folds=5):
     for name, values in grid.items():
         build = build.addGrid(rf.getParam(name), values)
     maps = build.build()
+    # "auto" means "sqrt" for a classifier's forest: such settings are fitted once
+    key = lambda m: tuple(sorted((p.name, "sqrt" if v == "auto" else str(v)) for p, v in m.items()))
+    distinct = {key(m): m for m in maps}
     ev = MulticlassClassificationEvaluator(labelCol="quality", metricName="accuracy")
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=folds, parallelism=8).fit(train)
-    scores = [float(x) for x in cv.avgMetrics]
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=list(distinct.values()), evaluator=ev, foldCol="fold",
+                        numFolds=folds, parallelism=16).fit(train)
+    score_of = dict(zip(distinct, map(float, cv.avgMetrics)))
+    scores = [score_of[key(m)] for m in maps]
     desc = [",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)) for m in maps]
     best, worst = scores.index(max(scores)), scores.index(min(scores))    # the first of equals
     rows = [(d, s, i == best, i == worst) for i, (d, s) in enumerate(zip(desc, scores))]
