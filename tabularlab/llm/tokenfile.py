@@ -88,7 +88,7 @@ class Stretches:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_STRETCHES:
-            for k in list(islice(self.known, CACHE_STRETCHES // 2)):
+            for k in list(islice(self.known, len(self.known) - CACHE_STRETCHES // 2)):      # the older ones
                 del self.known[k]
         known, cuts, new = self.known, [self.cut(t) for t in texts], set()
         for c in cuts:
