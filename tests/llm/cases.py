@@ -1,5 +1,8 @@
 """Awkward documents that every operator and stage has to take."""
 
+import random
+
+VOCABULARY = [f"{a}{b}{c}" for a in ("ba", "so", "ti", "re", "mu") for b in ("lin", "dor", "ves", "pat") for c in ("a", "en", "ix", "ol")]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 GOOD = ("the quick brown fox jumps over the lazy dog while seven wizards mix strange potions in a quiet "
         "old tower near the river bank every autumn night")
@@ -9,7 +12,8 @@ OTHER = ("numbers and letters fill this rather different second paragraph whose
 
 def rows():
     """Nulls in every column, empty, blank and long texts, exact and near copies, ties and repeated rows."""
-    long_text = "\n".join(f"line {i} of a very long text says {i * 7919 % 1000} and {OTHER[:40]}" for i in range(3000))
+    rng = random.Random(1)
+    long_text = "\n".join(" ".join(rng.choices(VOCABULARY, k=rng.randint(5, 20))) for _ in range(3000))
     texts = [GOOD, OTHER, None, "", "   \n\t ", GOOD, GOOD.replace("seven", "eleven"), "one", long_text,
              GOOD + "\n" + OTHER, "ab " * 400, "naïve Ünïcode ﬁx 中文字 <|endoftext|>   end " + GOOD, "x" * 5000,
              "\n\n", GOOD.upper(), "<b> | * # " * 20 + GOOD]
