@@ -149,6 +149,8 @@ def read_record(data: bytes, at: int) -> tuple[dict, int]:
         raise Damaged("missing header")
     if not headers["content-length"].isdecimal():
         raise Damaged("bad length")
+    if not (headers["warc-record-id"].startswith("<") and headers["warc-record-id"].endswith(">")):
+        raise Damaged("bad record id")
     start, end = stop + 4, stop + 4 + int(headers["content-length"])
     if data[end: end + 4] != b"\r\n\r\n":
         raise Damaged("block not closed")

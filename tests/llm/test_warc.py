@@ -77,6 +77,7 @@ def test_salvage_covers_every_byte_of_randomly_damaged_files(compressed):
     rng = random.Random(compressed)
     plain = [zlib.decompress(m, 31) for m in parts()]
     members = parts() if compressed else plain
+    payloads = {(f"<p>{i}</p>" * 40).encode() for i in range(8)}
     bounds = [0]
     for m in members:
         bounds.append(bounds[-1] + len(m))
@@ -94,11 +95,9 @@ def test_salvage_covers_every_byte_of_randomly_damaged_files(compressed):
             data[at:at] = rng.randbytes(size)
             hit = {i for i in range(8) if bounds[i] < at < bounds[i + 1]}
         found = list(warc.salvage(bytes(data)))
-        got = {int(x.rsplit(":", 1)[1]) for x in ids(found)}
-        assert set(range(8)) - hit <= got     # every sound record is recovered
-        for k, _, _, x in found:              # and nothing unsound is passed off as one
-            if k == "record":
-                assert x["payload"] == (f"<p>{x['record_id'].rsplit(':', 1)[1]}</p>" * 40).encode()
+        assert {f"urn:page:{i}" for i in set(range(8)) - hit} <= set(ids(found))     # every sound record is recovered
+        # and no damaged payload is passed off as sound (headers without a checksum may still differ)
+        assert all(x["payload"] in payloads for k, _, _, x in found if k == "record")
         spans = [(a, z) for _, a, z, _ in found]
         assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(p[1] == q[0] for p, q in zip(spans, spans[1:]))
 
