@@ -110,6 +110,17 @@ def test_grid_search_best_worst_and_refit(spark, doc_data):
     assert n == 180     # 540 settings less the factor that Spark's trees lack
 
 
+def test_refit_predictions_come_from_the_whole_grid(spark, monkeypatch):
+    # trees of depth 0 know one class only: any other prediction comes from settings outside the grid
+    data = MD.assemble(spark.range(120).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("double").alias("quality"), (F.col("id") % 3).cast("double").alias("x"),
+        F.when(F.col("id") < 90, "train").otherwise("test").alias("split")), ["x"])
+    monkeypatch.setattr(Q, "_doc_data", lambda *_: (data, ["x"]))
+    monkeypatch.setattr(Q, "GRID", {"maxDepth": [0], "numTrees": [5]})
+    got = rows(spark, "ml16_refit_predictions")
+    assert len(got) == 30 and {(r.best, r.worst) for r in got} == {(0.0, 0.0)}
+
+
 def test_elimination_order(spark, doc_data):
     got = rows(spark, "ml18_recursive_elimination")
     assert sorted(r.feature for r in got) == sorted(doc_data[1])
