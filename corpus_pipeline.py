@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines.  A document that loses all its words that way
     was said elsewhere before, and goes; n_chars follows the text."""
-    rows = linededup.drop_lines(docs)
+    rows = linededup.drop_lines(docs, short=linededup.SHORT_EDITS)
     dropped = F.col(rows.columns[-1])
     word = F.coalesce(F.col("text"), F.lit("")).rlike(f"[^{SPACE_CLASS}]")
     length = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -1,12 +1,14 @@
 """Line dedup across documents, by exact repetition and by a segment-partition edit join.
 
-A line goes when an equal line, or one within ``max_edits`` edits, stands
+A line goes when an equal line, or one within the edits allowed, stands
 earlier; order is by doc_id, then line number.  Lines without a word always
-stay, and lines under ``min_chars`` code points are compared exactly only.
+stay.  Pairs whose shorter line has ``min_chars`` code points or more may differ
+by ``max_edits`` edits; ``short`` lists (code points from, edits) for shorter ones,
+and what is shorter still is compared exactly only.
 
 Exact repetition is one aggregation of 128-bit line hashes (no line text is
-shuffled).  For the edit join a line of m characters is cut in max_edits + 1
-segments: a partner within max_edits edits has one of them unchanged, at a place
+shuffled).  For the edit join a line of m characters that allows e edits is cut in e + 1
+segments: a partner within e edits has one of them unchanged, at a place
 that its length and the segment's number narrow down to a few starts.  So each
 line emits one hashed key per such substring, for partners of its own length and
 of each shorter length allowed; keys that only one line has are dropped by an
@@ -33,11 +35,31 @@ from tabularlab.llm.common import SPACE_CLASS, Scratch, free_name, let, need
 
 MAX_EDITS = 2
 MIN_CHARS = 50
+SHORT_EDITS = ((12, 1), (25, 2))     # in lines under 12 characters an edit is mostly another word or number
 BLOCK_LINES = 48
 BROADCAST_KEYS = 500_000     # shared keys (8 bytes each) up to which they are broadcast
 LAST_ID = (1 << 63) - 1
 PLACE = "decimal(38,0)"
 
+Rule = tuple[tuple[int, int], ...]     # (code points from, edits), rising: the shorter line of a pair decides
+
+
+def edit_rule(max_edits: int, min_chars: int, short: Rule = ()) -> Rule:
+    rule = []
+    for chars, edits in (*(r for r in sorted(short) if r[0] < min_chars), (min_chars, max_edits)):
+        if not rule or rule[-1][1] != edits:
+            rule.append((chars, edits))
+    return tuple(rule)
+
+
+def by_length(length: Column, rule: Rule, value) -> Column:
+    """value(edits) for the edits that a line of this length allows; null below the rule's first length."""
+    (_, edits), *longer = rule
+    out = value(edits)
+    for chars, edits in longer:
+        out = F.when(length >= chars, value(edits)).otherwise(out)
+    return F.when(length >= rule[0][0], out)
+
 
 def place(doc_id: Column, pos: Column) -> Column:
     """Order of a line as one number, so that a minimum needs no sort."""
@@ -71,21 +93,38 @@ def segment_starts(max_edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_bounds(length: Column, i: int, max_edits: int) -> tuple[Column, Column]:
+def segment_bounds(length: Column, i: int | Column, edits: int | Column) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i of a line with ``length`` characters."""
-    cut = lambda k: F.floor(length * k / (max_edits + 1)).cast("int")
+    cut = lambda k: F.floor(length * k / (edits + 1)).cast("int")
     return cut(i - 1), cut(i) - cut(i - 1)
 
 
-def segment_keys(line: Column, length: Column, max_edits: int) -> Column:
-    """array<struct<key, own, seg>>: hashed substrings; ``own`` marks a line's own segments."""
-    keys = []
-    for less, i, shift in segment_starts(max_edits):
-        start, size = segment_bounds(length - less, i, max_edits)
-        part = F.substring(line, start + shift + 1, size)
-        keys.append(F.struct(F.xxhash64(length - less, F.lit(i), part).alias("key"),
-                             F.lit(less == 0 and shift == 0).alias("own"), F.lit(i).alias("seg")))
-    return F.array(*keys)
+def segment_keys(line: Column, length: Column, rule: Rule) -> tuple[int, Column, Column | None]:
+    """(from, array for lines of that many characters, array for shorter ones) of struct<key, own, seg>:
+    hashed substrings; ``own`` marks a line's own segments."""
+    def key(less, i, shift, edits, own) -> Column:
+        start, size = segment_bounds(length - less, i, edits)
+        return F.struct(F.xxhash64(length - less, i if isinstance(i, Column) else F.lit(i), F.substring(line, start + shift + 1, size))
+                        .alias("key"), (own if isinstance(own, Column) else F.lit(own)).alias("own"),
+                        (i if isinstance(i, Column) else F.lit(i)).alias("seg"))
+
+    def places(chars: int) -> list[tuple[int, int, int, int, bool]]:
+        """(shorter by, segment, shift, edits, own) for lines of this length: a partner's length says how it is cut."""
+        out = []
+        for less in range(most + 1):
+            edits = max((e for c, e in rule if c <= chars - less), default=-1)
+            out += [(*p, edits, p[0] == 0 and p[2] == 0) for p in segment_starts(max(edits, 0)) if p[0] == less <= edits]
+        return out
+
+    most = max(e for _, e in rule)
+    if len(rule) == 1:     # places for partners under the first length find nothing
+        return rule[0][0], F.array(*(key(*p) for p in places(rule[0][0] + most))), None
+    first, *rest = sorted({c + less for c, _ in rule for less in range(most + 1)}, reverse=True)
+    names, shorter = ("less", "i", "shift", "edits", "own"), None
+    for chars in reversed(rest):
+        table = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, p))) for p in places(chars)))
+        shorter = table if shorter is None else F.when(length >= chars, table).otherwise(shorter)
+    return first, F.array(*(key(*p) for p in places(first))), F.transform(shorter, lambda p: key(*(p[n] for n in names)))
 
 
 def common_prefix(x: Column, y: Column, longest: Column) -> Column:
@@ -140,12 +179,19 @@ def within_edits(x: Column, y: Column, max_edits: int) -> Column:
 
 
 def near_lines(lines: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
-               block_lines: int = BLOCK_LINES) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier line within ``max_edits`` edits."""
-    long = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars) \
-        .select("line", "n", place(F.col("doc_id"), F.col("pos")).alias("at"), hash1(F.col("line")).alias("h1"),
-                F.explode(segment_keys(F.col("line"), F.col("n"), max_edits)).alias("k")) \
-        .select("line", "n", "at", "h1", "k.key", "k.own", "k.seg")
+               block_lines: int = BLOCK_LINES, short: Rule = ()) -> DataFrame:
+    """(h1, h2) of the distinct lines that have an earlier line within the edits allowed."""
+    rule = edit_rule(max_edits, min_chars, short)
+    sized = lines.withColumn("n", F.length("line"))
+    first, keys, shorter = segment_keys(F.col("line"), F.col("n"), rule)
+
+    def keyed(some: DataFrame, keys: Column) -> DataFrame:
+        return some.select("line", "n", place(F.col("doc_id"), F.col("pos")).alias("at"), hash1(F.col("line")).alias("h1"),
+                           F.explode(keys).alias("k")).select("line", "n", "at", "h1", "k.key", "k.own", "k.seg")
+
+    long = keyed(sized.where(F.col("n") >= first), keys)
+    if shorter is not None:     # apart, so that Spark does not compute the long lines' keys once more as a filter
+        long = long.unionByName(keyed(sized.where((F.col("n") >= rule[0][0]) & (F.col("n") < first)), shorter))
     # a key matters if two different lines have it, one of them as a segment of its own
     shared = scratch.table(long.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("own").alias("own"))
                            .where("a <> b and own").select("key"), "shared")
@@ -170,13 +216,15 @@ def near_lines(lines: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS, m
 
     def meets(x: Column, y: Column, seg: Column) -> Column:
         """x is an own-segment line, no longer than y, and the two are within reach."""
-        covered = F.lit(False)     # the pair also meets at an earlier segment: it is verified there
-        for i in range(1, max_edits + 1):
-            start, size = segment_bounds(x["n"], i, max_edits)
-            covered = covered | ((seg > i) & (x["n"] == y["n"])
-                                 & (F.substring(x["line"], start + 1, size) == F.substring(y["line"], start + 1, size)))
-        return x["own"] & (x["n"] <= y["n"]) & (y["n"] - x["n"] <= max_edits) & ~covered \
-            & within_edits(x, y, max_edits)
+        def within(edits: int) -> Column:
+            covered = F.lit(False)     # the pair also meets at an earlier segment: it is verified there
+            for i in range(1, edits + 1):
+                start, size = segment_bounds(x["n"], i, edits)
+                covered = covered | ((seg > i) & (x["n"] == y["n"])
+                                     & (F.substring(x["line"], start + 1, size) == F.substring(y["line"], start + 1, size)))
+            return (y["n"] - x["n"] <= edits) & ~covered & within_edits(x, y, edits)
+
+        return x["own"] & (x["n"] <= y["n"]) & by_length(x["n"], rule, within)
 
     def later_of(left: Column, right: Column, seg: Column) -> Column:
         """Lines of ``right`` that come after a line of ``left`` they meet."""
@@ -191,12 +239,12 @@ def near_lines(lines: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS, m
 
 
 def lines_to_drop(docs: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
-                  id_col: str = "doc_id", text: str = "text", block_lines: int = BLOCK_LINES) -> DataFrame:
+                  id_col: str = "doc_id", text: str = "text", block_lines: int = BLOCK_LINES, short: Rule = ()) -> DataFrame:
     """(doc_id, row, drop): the line numbers that go, per document that loses any."""
     lines = line_rows(docs, id_col, text)
     slim = scratch.table(lines.select("doc_id", "row", "pos", hash1(F.col("line")).alias("h1"),
                                       hash2(F.col("line")).alias("h2")), "lines")
-    near = near_lines(lines, scratch, max_edits, min_chars, block_lines).withColumn("all", F.lit(True))
+    near = near_lines(lines, scratch, max_edits, min_chars, block_lines, short).withColumn("all", F.lit(True))
     at = place(F.col("doc_id"), F.col("pos"))
     first = slim.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("times"))
     # lines that occur once and have no near line cannot go: they take no part in the join
@@ -206,11 +254,11 @@ def lines_to_drop(docs: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS,
 
 
 def drop_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
-               id_col: str = "doc_id", text: str = "text", block_lines: int = BLOCK_LINES) -> DataFrame:
+               id_col: str = "doc_id", text: str = "text", block_lines: int = BLOCK_LINES, short: Rule = ()) -> DataFrame:
     """``docs`` with the lines that go taken out of the text, and ``n_lines`` and ``n_dropped``."""
     need(docs, id_col, text)
     with Scratch(docs.sparkSession, "lines") as scratch:
-        drop = lines_to_drop(docs, scratch, max_edits, min_chars, id_col, text, block_lines)
+        drop = lines_to_drop(docs, scratch, max_edits, min_chars, id_col, text, block_lines, short)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     t, i = F.col(names[text]), F.col(names[id_col])

@@ -72,7 +72,7 @@ def op4(spark, sf_dir):
 @query("op5_line_dedup")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+    return linededup.drop_lines(docs, short=linededup.SHORT_EDITS).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 @query("op7_bm25_top10", search.SEARCH_SQL)

@@ -79,6 +79,46 @@ def test_equals_brute_force(spark, monkeypatch, block_lines, keys):
     assert {r.doc_id: r.n_dropped for r in got if r.doc_id in lost} == lost
 
 
+def brute_by_length(rows):
+    """The shorter line of a pair decides: 1 edit from 12 characters, 2 from 25."""
+    out, seen = {}, []
+    for i, text in sorted(rows):
+        stay = []
+        for line in text.split("\n"):
+            near = False
+            for o in seen:
+                n = min(len(line), len(o))
+                allowed = 2 if n >= 25 else 1 if n >= 12 else 0
+                near = near or line == o or (abs(len(line) - len(o)) <= allowed and edits(line, o) <= allowed)
+            seen.append(line)
+            if not near:
+                stay.append(line)
+        out[i] = "\n".join(stay)
+    return out
+
+
+@pytest.mark.parametrize("block_lines, keys", [(48, 500_000), (2, 0)])
+def test_short_lines_equal_brute_force(spark, monkeypatch, block_lines, keys):
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", keys)
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in [*range(9, 32)] * 2 + [48, 49, 50, 51, 52]]
+    rows = [(i, "\n".join(mutated(rng, rng.choice(base), 3) for _ in range(rng.randint(1, 8)))) for i in range(110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.drop_lines(docs, block_lines=block_lines, short=linededup.SHORT_EDITS).collect()}
+    assert got == brute_by_length(rows)
+
+
+def test_query_and_stage_drop_short_near_lines(spark, tmp_path):
+    import corpus_pipeline
+    from tabularlab.llm import queries
+    pair = ["Thwhesnd, esator whshing and hewh.", "Thwhesnd esator whshing and hewh."]
+    docs = spark.createDataFrame([(i, f"{t}\n{cases.GOOD if i else cases.OTHER}", "en", "a", 9) for i, t in enumerate(pair)], cases.SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = [f"{pair[0]}\n{cases.OTHER}", cases.GOOD]
+    assert [r.text for r in queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+    assert [r.text for r in corpus_pipeline.line_stage(spark, docs, str(tmp_path)).orderBy("doc_id").collect()] == want
+
+
 def test_awkward_rows(spark):
     rows = [r for r in cases.rows() if r[1] is None or len(r[1]) < 4000]
     docs = spark.createDataFrame(rows, cases.SCHEMA)
