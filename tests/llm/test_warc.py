@@ -98,6 +98,10 @@ def test_salvage_covers_every_byte_of_randomly_damaged_files(compressed):
         assert {f"urn:page:{i}" for i in set(range(8)) - hit} <= set(ids(found))     # every sound record is recovered
         # and no damaged payload is passed off as sound (headers without a checksum may still differ)
         assert all(x["payload"] in payloads for k, _, _, x in found if k == "record")
+        if compressed:     # a member's CRC covers its headers, too: each payload belongs to its record id
+            for k, _, _, x in found:
+                if k == "record":
+                    assert x["payload"] == (f"<p>{x['record_id'].rsplit(':', 1)[1]}</p>" * 40).encode()
         spans = [(a, z) for _, a, z, _ in found]
         assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(p[1] == q[0] for p, q in zip(spans, spans[1:]))
 
