@@ -23,6 +23,11 @@ def rows():
             (100, GOOD, "de", "b", len(GOOD)), (50, OTHER, "de", "b", len(OTHER))]
 
 
+def near_equal_text(lines=3000):
+    """Lines with a common ending that differ in two numbers: many distinct lines under one segment key."""
+    return "\n".join(f"line {i} of a very long text says {i * 7919 % 1000} and {OTHER[:40]}" for i in range(lines))
+
+
 def documents(spark):
     return spark.createDataFrame(rows(), SCHEMA)
 

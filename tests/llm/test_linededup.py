@@ -134,6 +134,23 @@ def test_long_text_clashing_columns_and_empty_table(spark):
     assert linededup.drop_lines(cases.empty(spark)).count() == 0
 
 
+def test_near_equal_long_text(spark):
+    text = cases.near_equal_text(400)     # several blocks under one key
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    want, seen = [], []
+    for line in text.split("\n"):
+        def near(o):
+            at = next((k for k, (p, q) in enumerate(zip(line, o)) if p != q), min(len(line), len(o)))
+            x, y = line[at:][::-1], o[at:][::-1]
+            at = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+            return abs(len(x) - len(y)) <= 2 and edits(x[at:], y[at:]) <= 2
+        if not any(near(o) for o in seen):
+            want.append(line)
+        seen.append(line)
+    for short in ((), linededup.SHORT_EDITS):
+        assert linededup.drop_lines(docs, short=short).first().text.split("\n") == want
+
+
 def test_main_path_has_no_python(spark):
     plan = linededup.drop_lines(cases.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
