@@ -113,7 +113,7 @@ class Bpe:
             raise ValueError("the file's pre-tokenizer has no split pattern")
         self.words = regex.compile(self.pattern)
         self.path, self._library = path, None
-        self.cache: dict[str, tuple[bytes, bytes]] = {}     # stretches between blanks
+        self.cache: dict[str, bytes] = {}     # stretches between blanks
         self.finished: dict[str, tuple[int, ...]] = {}      # words
 
     # -- words ------------------------------------------------------------
@@ -216,23 +216,21 @@ class Bpe:
 
     # -- texts ------------------------------------------------------------
 
-    def walk(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        """Per stretch between blanks: its ids as little-endian 32-bit words, and their decoded bytes
-        (each token's string behind a blank).  Pre-tokens never contain a blank or line feed."""
+    def walk(self, text: str) -> Iterator[bytes]:
+        """Per stretch between blanks: its ids as little-endian 32-bit words.  Pre-tokens never contain a blank or line feed."""
         cache = self.cache
         for chunk in chunks(text):
             for key in chunk.replace("\n", " ").split(" "):
                 got = cache.get(key)
                 if got is None:
                     ids = list(self.blank_free(key))
-                    got = (struct.pack(f"<{len(ids)}I", *ids),
-                           "".join(" " + self.token[i] for i in ids).encode("utf-8"))
+                    got = struct.pack(f"<{len(ids)}I", *ids)
                     if len(key) <= 64:
                         keep(cache, key, got)
                 yield got
 
     def encode(self, text: str) -> list[int]:
-        return [i for packed, _ in self.walk(text) for (i,) in struct.iter_unpack("<I", packed)]
+        return [i for packed in self.walk(text) for (i,) in struct.iter_unpack("<I", packed)]
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of the decoded text, each emitted as soon as it is known."""
@@ -262,23 +260,21 @@ class Bpe:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of tokens, sha256 of the ids, sha256 of the decoded text), in one pass."""
-        ids, decoded, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
-        parts: list[tuple[bytes, bytes]] = []
-
-        def flush() -> None:
-            nonlocal n, first
-            packed, said = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-            n += len(packed) // 4
-            ids.update(packed)
-            decoded.update(said[1:] if first else said)
-            first = first and not said
-            parts.clear()
-
-        for got in self.walk(text):
-            parts.append(got)
-            if len(parts) >= 1 << 14:
-                flush()
-        flush()
+        ids, decoded, n, said = hashlib.sha256(), hashlib.sha256(), 0, []
+
+        def emitted() -> Iterator[int]:
+            nonlocal n
+            for packed in self.walk(text):
+                ids.update(packed)
+                n += len(packed) // 4
+                yield from struct.unpack(f"<{len(packed) // 4}I", packed)
+
+        for piece in self.decode(emitted()):
+            said.append(piece)
+            if len(said) >= 1 << 14:
+                decoded.update("".join(said).encode("utf-8"))
+                said.clear()
+        decoded.update("".join(said).encode("utf-8"))
         return n, ids.hexdigest(), decoded.hexdigest()
 
 

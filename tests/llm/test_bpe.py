@@ -4,7 +4,7 @@ import struct
 
 import cases
 import pytest
-from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+from tokenizers import decoders, Regex, Tokenizer, normalizers, pre_tokenizers
 
 from tabularlab.llm import bpe
 from tabularlab.llm.queries import tokenizer
@@ -80,6 +80,17 @@ def test_columns_and_readable_text(spark):
     assert rows[0].decoded.split() == ["hello", "wörld", ",", "4", "2", "!"] and rows[1].ids == [] and rows[1].decoded == ""
 
 
+def test_digest_decodes_the_ids(library, monkeypatch):
+    text = "Hello  wörld 😀, 42! <|endoftext|> 中文"
+    ids = library.encode(text, add_special_tokens=False).ids
+    code = bpe.Bpe(PATH)
+    assert "".join(code.decode(ids)) == library.decode(ids, skip_special_tokens=False)
+    code.decoder = "ByteLevel"
+    said = "".join(code.decode(ids))
+    assert said == decoders.ByteLevel().decode([library.id_to_token(i) for i in ids]) and "😀" in said
+    assert code.digest(text)[2] == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_caches_stay_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
     code = bpe.Bpe(PATH)
