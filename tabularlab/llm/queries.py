@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularlab.llm import bpe, linededup, lm, mixing, quality, search, sharding, simhash, tokenfile, warc
+from tabularlab.llm import (bpe, cluster, conversation, linededup, lm, mixing, quality, search, sharding, simhash, sketch,
+                            tokenfile, warc)
 from tabularlab.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"     # folder of the public tokenizer files, on every executor
@@ -78,3 +79,18 @@ def op5(spark, sf_dir):
 @query("op7_bm25_top10", search.SEARCH_SQL)
 def op7(spark, sf_dir):
     return search.every_fiftieth(table(spark, sf_dir, "documents"))
+
+
+@query("op11_centroid_clusters", cluster.CLUSTER_SQL)
+def op11(spark, sf_dir):
+    return cluster.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    return conversation.damaged_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_document_fingerprints")
+def op13(spark, sf_dir):
+    return sketch.edited_report(table(spark, sf_dir, "documents"))
