@@ -33,7 +33,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -49,6 +49,7 @@ NOT_PLAIN = regex.compile(f"[^{PLAIN}]")
 CHUNK_CHARS = 1 << 20     # texts are walked in pieces of about this many characters
 CACHE_WORDS = 300_000     # finished words kept per Python worker
 BUFFER = 512              # symbols read ahead of the lookahead when a word is long
+RUN_IDS = 1 << 14         # ids decoded at once
 
 
 def byte_alphabet() -> list[str]:
@@ -217,32 +218,41 @@ class Bpe:
     # -- texts ------------------------------------------------------------
 
     def walk(self, text: str) -> Iterator[bytes]:
-        """Per stretch between blanks: its ids as little-endian 32-bit words.  Pre-tokens never contain a blank or line feed."""
+        """Per chunk of text: its ids as little-endian 32-bit words.  Pre-tokens never contain a blank or line feed."""
         cache = self.cache
         for chunk in chunks(text):
-            for key in chunk.replace("\n", " ").split(" "):
-                got = cache.get(key)
-                if got is None:
-                    ids = list(self.blank_free(key))
-                    got = struct.pack(f"<{len(ids)}I", *ids)
-                    if len(key) <= 64:
-                        keep(cache, key, got)
-                yield got
+            keys = chunk.replace("\n", " ").split(" ")
+            packed = [cache.get(k) for k in keys]
+            if None in packed:
+                for at, key in enumerate(keys):
+                    if packed[at] is None:
+                        packed[at] = cache.get(key) or self.stretch(key)
+            yield b"".join(packed)
+
+    def stretch(self, key: str) -> bytes:
+        ids = list(self.blank_free(key))
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(key) <= 64:
+            keep(self.cache, key, got)
+        return got
 
     def encode(self, text: str) -> list[int]:
         return [i for packed in self.walk(text) for (i,) in struct.iter_unpack("<I", packed)]
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Pieces of the decoded text, each emitted as soon as it is known."""
+        """Pieces of the decoded text, one per run of ids, each emitted as soon as it is known."""
+        token = self.token.__getitem__
+        ids = iter(ids)
+        runs = iter(lambda: list(islice(ids, RUN_IDS)), [])
         if self.decoder == "ByteLevel":
-            state = codecs.getincrementaldecoder("utf-8")("replace")
-            for i in ids:
-                yield state.decode(bytes(self.byte_of[c] for c in self.token[i]))
+            state, byte_of = codecs.getincrementaldecoder("utf-8")("replace"), self.byte_of.__getitem__
+            for run in runs:
+                yield state.decode(bytes(map(byte_of, "".join(map(token, run)))))
             yield state.decode(b"", True)
         else:
             between = ""
-            for i in ids:
-                yield between + self.token[i]
+            for run in runs:
+                yield between + " ".join(map(token, run))
                 between = " "
 
     def readable(self, ids: Iterable[int]) -> Iterator[str]:
@@ -260,21 +270,17 @@ class Bpe:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of tokens, sha256 of the ids, sha256 of the decoded text), in one pass."""
-        ids, decoded, n, said = hashlib.sha256(), hashlib.sha256(), 0, []
+        ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
 
-        def emitted() -> Iterator[int]:
+        def emitted() -> Iterator[tuple[int, ...]]:
             nonlocal n
             for packed in self.walk(text):
                 ids.update(packed)
                 n += len(packed) // 4
-                yield from struct.unpack(f"<{len(packed) // 4}I", packed)
-
-        for piece in self.decode(emitted()):
-            said.append(piece)
-            if len(said) >= 1 << 14:
-                decoded.update("".join(said).encode("utf-8"))
-                said.clear()
-        decoded.update("".join(said).encode("utf-8"))
+                yield struct.unpack(f"<{len(packed) // 4}I", packed)
+
+        for piece in self.decode(chain.from_iterable(emitted())):
+            decoded.update(piece.encode("utf-8"))
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
