@@ -6,6 +6,10 @@ rows and invariants: Spark's learners differ from other libraries'.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -166,48 +170,59 @@ GRID = {"maxDepth": [2, 3, 4, 6, 8], "numTrees": [50, 10], "featureSubsetStrateg
 
 
 def grid_search(data, names, grid, folds=5):
-    """ML16: mean accuracy of each setting over stratified folds, with the best and the worst
-    setting fitted again on all of ``data`` (column ``split`` = train) to predict the other rows."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    """ML16: mean accuracy of each setting over stratified folds, with the forests of the best and
+    the worst setting over all of ``data`` (column ``split`` = train) to predict the other rows.
+    All settings and folds grow in the same passes (``operators/forests.py``)."""
+    from tabularlab.operators import forests as FO
     from tabularlab.operators.order import folds_within_groups
     spark = data.sparkSession
-    train = materialize(folds_within_groups(data.where(F.col("split") == "train"), ["quality"], ["doc_id"], folds)
-                        .withColumn("fold", F.col("fold") - 1).hint("rebalance"), "grid")
-    rf = RandomForestClassifier(labelCol="quality", featuresCol="features", seed=1)
-    build = ParamGridBuilder()
-    for name, values in grid.items():
-        build = build.addGrid(rf.getParam(name), values)
-    maps = build.build()
-    # "auto" means "sqrt" for a classifier's forest: such settings are fitted once
-    key = lambda m: tuple(sorted((p.name, "sqrt" if v == "auto" else str(v)) for p, v in m.items()))
-    distinct = {key(m): m for m in maps}
-    ev = MulticlassClassificationEvaluator(labelCol="quality", metricName="accuracy")
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=list(distinct.values()), evaluator=ev, foldCol="fold",
-                        numFolds=folds, parallelism=16).fit(train)
-    score_of = dict(zip(distinct, map(float, cv.avgMetrics)))
-    scores = [score_of[key(m)] for m in maps]
-    desc = [",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)) for m in maps]
+    plain = data.drop("features")
+    train = folds_within_groups(plain.where(F.col("split") == "train"), ["quality"], ["doc_id"], folds) \
+        .withColumn("fold", F.col("fold") - 1)
+    other = plain.where(F.col("split") != "train").withColumn("fold", F.lit(FO.OTHER_ROWS))
+    rows = FO.bin_features(train.unionByName(other, allowMissingColumns=True), names, "quality", "fold", "doc_id", ["doc_id", "quality"])
+
+    def drawn(strategy):       # "auto" means "sqrt" for a classifier's forest: such settings are grown once
+        return max(1, math.ceil(math.log2(len(names)) if strategy == "log2" else math.sqrt(len(names))))
+
+    settings = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    asked = [(FO.Variant(drawn(s.get("featureSubsetStrategy", "auto")), s.get("minInstancesPerNode", 1), s.get("bootstrap", True)),
+              s.get("maxDepth", 5), s.get("numTrees", 20)) for s in settings]
+    grown = FO.grow_forests(rows, list(dict.fromkeys(v for v, _, _ in asked)), [*range(folds), FO.ALL_ROWS],
+                            max(n for _, _, n in asked), max(d for _, d, _ in asked), len(names))
+    score_of = FO.fold_scores(rows, grown, sorted({d for _, d, _ in asked}), sorted({n for _, _, n in asked}), len(names))
+    scores = [score_of[a] for a in asked]
+    desc = [",".join(f"{k}={v}" for k, v in sorted(s.items())) for s in settings]
     best, worst = scores.index(max(scores)), scores.index(min(scores))    # the first of equals
-    rows = [(d, s, i == best, i == worst) for i, (d, s) in enumerate(zip(desc, scores))]
-    table = spark.createDataFrame(rows, "params string, mean_accuracy double, is_best boolean, is_worst boolean")
-    predicted = data.where(F.col("split") != "train")
-    for name, i in (("best", best), ("worst", worst)):
-        m = rf.copy(maps[i]).fit(train)
-        m = m.setPredictionCol(name).setRawPredictionCol(f"raw_{name}").setProbabilityCol(f"prob_{name}")
-        predicted = m.transform(predicted)
-    return table, predicted.select("doc_id", "quality", "best", "worst")
+    table = spark.createDataFrame([(d, s, i == best, i == worst) for i, (d, s) in enumerate(zip(desc, scores))],
+                                  "params string, mean_accuracy double, is_best boolean, is_worst boolean")
+    predicted = FO.predict_rows(rows.where(F.col("fold") == FO.OTHER_ROWS), grown, {"best": asked[best], "worst": asked[worst]},
+                                len(names), ["doc_id", "quality"])
+    return table, predicted
+
+
+def _searched(spark, sf, part):
+    """The grid's scores or predictions; both are written once per application, input and grid."""
+    from tabularlab.session import scratch_path, track
+    from tabularlab.sources.files import path_exists
+    name = hashlib.md5(repr((spark.sparkContext.applicationId, sf, GRID)).encode()).hexdigest()[:12]
+    base = scratch_path(spark, f"grid-{name}")
+    if not path_exists(spark, f"{base}/scores/_SUCCESS"):       # written last
+        scores, predicted = grid_search(*_doc_data(spark, sf), GRID)
+        predicted.write.mode("overwrite").parquet(f"{base}/predictions")
+        scores.coalesce(1).write.mode("overwrite").parquet(f"{base}/scores")
+        track(base)
+    return spark.read.parquet(f"{base}/{part}")
 
 
 @register("ml16_grid_search")
 def ml16(spark, sf):
-    return grid_search(*_doc_data(spark, sf), GRID)[0]
+    return _searched(spark, sf, "scores")
 
 
 @register("ml16_refit_predictions")
 def ml16p(spark, sf):
-    return grid_search(*_doc_data(spark, sf), GRID)[1]
+    return _searched(spark, sf, "predictions")
 
 
 @register("ml17_embedded_selection")
