@@ -60,6 +60,20 @@ def test_boosting_curve(spark, doc_data):
     assert at[0.5, 12] < at[0.1, 12]      # a faster rate fits the training rows sooner
 
 
+def test_staged_losses_equal_sparks_own_and_take_one_scan(spark, doc_data):
+    data, _ = doc_data
+    models = MD.boosted(data, "quality", [0.5, 0.1], 8)
+    rows = data.withColumn("part", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b"))
+    staged = MD.staged_losses(rows, models, "quality", "part")
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    got = {(r.model, r.part, r.iteration): r.log_loss for r in staged.collect()}
+    for rate, m in models.items():
+        for part in "ab":
+            want = m.evaluateEachIteration(rows.where(F.col("part") == part))
+            assert [got[rate, part, i + 1] for i in range(8)] == pytest.approx([w / 2 for w in want], rel=1e-9)
+
+
 def test_forest_beats_the_base_rate_and_losses_follow_from_probabilities(spark):
     got = rows(spark, "ml12_random_forest")
     assert all(0 <= r.p1 <= 1 for r in got)
@@ -225,12 +239,14 @@ def test_encoding_never_broadcasts_the_tokens(spark, monkeypatch):
 
 
 def test_pruned_knn_rounds(spark):
-    """Many small buckets along one direction: most blocks are never compared."""
+    """Many small cells along one direction: most blocks are never compared."""
     rng = np.random.default_rng(4)
     x = np.column_stack([np.arange(300) * 1.0, rng.normal(size=300) * 0.1])
     y = rng.integers(0, 3, size=300)
     df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(300)], "id long, v array<double>, label int")
-    got = {r.id: r.pred for r in MD.knn_classify(df, "id", "v", "label", 5, bucket_size=10).collect()}
+    shares = []
+    got = {r.id: r.pred for r in MD.knn_classify(df, "id", "v", "label", 5, block_rows=10, compared=shares).collect()}
+    assert shares[0] < 0.5
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     for i in range(300):
         nn = sorted(range(300), key=lambda j: (d[i, j], j))[:5]

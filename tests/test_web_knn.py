@@ -28,9 +28,32 @@ def test_knn_matches_brute_force_with_duplicates(spark):
     y = rng.integers(0, 3, size=len(X))
     rows = [(i, [float(v) for v in X[i]], int(y[i])) for i in range(len(X))]
     df = spark.createDataFrame(rows, "id long, v array<double>, label int")
-    got = {r["id"]: r["pred"] for r in knn_classify(df, "id", "v", "label", 5, bucket_size=16).collect()}
+    got = {r["id"]: r["pred"] for r in knn_classify(df, "id", "v", "label", 5, block_rows=16).collect()}
     D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
     for i in range(len(X)):
         nn = sorted(range(len(X)), key=lambda j: (D[i, j], j))[:5]
         counts = np.bincount(y[nn], minlength=3)
         assert got[i] == int(np.argmax(counts)), i
+
+
+def test_knn_prunes_clusters_in_many_dimensions(spark):
+    """Clusters apart in every direction: one projection would not part them, their cells do."""
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(12, 16)) * 4
+    x = np.repeat(middle, 60, axis=0) + rng.normal(size=(720, 16)) * 0.2
+    x[:90] = x[0]                                    # a value that an eighth of the rows share
+    y = rng.integers(0, 3, size=len(x))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(len(x))], "id long, v array<double>, label int")
+    shares = []
+    got = {r.id: r.pred for r in knn_classify(df, "id", "v", "label", 5, compared=shares).collect()}
+    assert shares[0] < 0.5
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    for i in range(len(x)):
+        nn = sorted(range(len(x)), key=lambda j: (d[i, j], j))[:5]
+        assert got[i] == int(np.argmax(np.bincount(y[nn], minlength=3))), i
+
+
+def test_knn_with_fewer_rows_than_neighbours_and_none(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0], 2), (2, [0.0, 2.0], 1)], "id long, v array<double>, label int")
+    assert {r.id: r.pred for r in knn_classify(df, "id", "v", "label", 5).collect()} == {1: 1, 2: 1}
+    assert knn_classify(df.where("id > 5"), "id", "v", "label", 5).count() == 0
