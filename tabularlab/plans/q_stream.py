@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabularlab.operators import elements as EL
 from tabularlab.operators import web as W
 from tabularlab.plans.catalog import register
 from tabularlab.sources.files import run_folder
@@ -59,6 +60,52 @@ def tx14w(spark, sf):
     return pivot_wide(long, ["page_id"], "field", "value", FIELDS, check_unique=False)
 
 
+def _elements(spark, sf):
+    from tabularlab.session import materialize
+    return materialize(EL.page_elements(Tables(spark, sf).pages), "elements")      # read by each side of the joins
+
+
+@register("tx12_links_in_lists", f"""
+select distinct page_id, link[1] as href from (select page_id, unnest(list_transform(
+    regexp_extract_all({NAV_SQL}, '<a href="[^"]*">[^<]*</a>'), lambda a: [regexp_extract(a, 'href="([^"]*)"', 1), regexp_extract(a, '>([^<]*)<', 1)])) as link
+  from pages) where starts_with(link[2], 't')""")
+def tx12l(spark, sf):
+    return EL.links_inside(_elements(spark, sf), F.col("tag") == "li", "t")
+
+
+@register("tx14_class_counts", """
+select t[1] as tag, t[2] as "class", count(*) as n from (select unnest(list_transform(
+    regexp_extract_all(html, '<[a-z][a-z0-9]* class="[^"]+"'), lambda x: [regexp_extract(x, '<([a-z0-9]+)', 1), regexp_extract(x, '"([^"]*)"', 1)])) as t from pages)
+group by all""")
+def tx14c(spark, sf):
+    return EL.tag_statistics(EL.page_elements(Tables(spark, sf).pages)).where(F.col("class").isNotNull())
+
+
+@register("tx14_last_of_class", r"""
+select page_id, 'div' as tag, trim(regexp_replace(replace(replace(replace(x[-1], '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) as content
+from (select page_id, regexp_extract_all(html, '(?s)<div class="ad">(.*?)</div>', 1) as x from pages) where len(x) > 0""")
+def tx14l(spark, sf):
+    return EL.last_of_class(_elements(spark, sf), "ad")
+
+
+@register("tx14_table_fields", """
+select p_partkey // 50 as page_id, p_name as entity, f.field, f.value from part,
+  lateral (select unnest([{'field': 'brand', 'value': p_brand}, {'field': 'size', 'value': cast(p_size as varchar)},
+                          {'field': 'type', 'value': p_type}]) as f)""")
+def tx14f(spark, sf):
+    """Field tables of 50 parts a page, written with nested boxes and with cells left open, parsed back."""
+    from tabularlab.session import materialize
+    p = Tables(spark, sf).part
+    row = F.concat(F.lit('<tr id="p'), F.col("p_partkey").cast("string"), F.lit('"><td><div>'), F.col("p_name"),
+                   F.lit("</div><td><div><div>"), F.col("p_brand"), F.lit("</div></div></td><td>"), F.col("p_size").cast("string"),
+                   F.lit("<td>"), F.col("p_type"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n")
+    head = "<html><body><table class='other'><tr><td>x</td></tr></table><table id=fields><tr><th>part<th>brand<th>size<th>type"
+    pages = p.groupBy(F.floor(F.col("p_partkey") / 50).alias("page_id")).agg(F.concat(F.lit(head), rows, F.lit("</table><p>end")).alias("html"))
+    cells = EL.table_cells(materialize(EL.page_elements(pages), "elements"), F.col("id") == "fields")
+    return EL.table_fields(materialize(cells, "cells"))
+
+
 @register("tx15_messy_numbers", """
 select event_type, round(avg(try_cast(nullif(regexp_extract(nullif(trim(props), 'NA'), '(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') as double)), 6) as mean_k,
        count(try_cast(nullif(regexp_extract(nullif(trim(props), 'NA'), '(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') as double)) as n_numbers
