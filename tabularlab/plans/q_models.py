@@ -18,6 +18,7 @@ from tabularlab.operators.features import hash_split
 from tabularlab.operators.order import contiguous_folds
 from tabularlab.operators.reshape import distinct_values
 from tabularlab.plans.catalog import register
+from tabularlab.plans.facts import MONTHLY_SALES_SQL, TRAIN_END_SQL
 from tabularlab.session import materialize
 from tabularlab.sources.tables import Tables
 
@@ -288,23 +289,66 @@ def ml20(spark, sf):
     return out
 
 
-@register("ml21_sales_regressor")
-def ml21(spark, sf):
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.regression import GBTRegressor
-    from tabularlab.plans.facts import HORIZON, monthly_sales
-    f = monthly_sales(Tables(spark, sf)).withColumn("dollars", F.col("dollars").cast("double")) \
+SALES_IDS = {"by_series": ["item_id", "store_id"], "by_item": ["item_id"], "by_store": ["store_id"], "by_state": ["state_id"],
+             "by_dept": ["dept_id"], "by_cat": ["cat_id"]}
+PROMO = 0.9            # a price below this share of the item's usual price counts as a promotion
+
+
+def sales_features(t, train_end=None):
+    """(features, train_end): the monthly sales with ordered target means of the ids, and price and
+    promotion from the weekly price table; months behind ``train_end`` (default: the last six) are held out."""
+    from tabularlab.operators.features import ordered_target_means
+    from tabularlab.plans.facts import HORIZON, item_dim, monthly_sales
+    from tabularlab.plans.q_aggs import weekly_price
+    facts = monthly_sales(t).withColumn("dollars", F.col("dollars").cast("double"))
+    if train_end is None:
+        train_end = facts.agg(F.max("m")).first()[0] - HORIZON
+    month = ((F.year("wp_week") - 1995) * 12 + F.month("wp_week")).cast("bigint")
+    weekly = weekly_price(t).join(item_dim(t.part), F.col("wp_partkey") == F.col("p_partkey"))
+    monthly = weekly.groupBy("item_id", month.alias("m")).agg(F.avg("sell_price").alias("price"), F.count("*").alias("_n"))
+    # the item's usual price: its mean over the months before, one row per item and month
+    before = Window.partitionBy("item_id").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    usual = F.sum(F.col("price") * F.col("_n")).over(before) / F.sum("_n").over(before)
+    prices = monthly.select("item_id", "m", "price", F.coalesce(F.col("price") / usual, F.lit(1.0)).alias("price_ratio"))
+    rows = ordered_target_means(facts, SALES_IDS, "m", "dollars", train_end).join(prices, ["item_id", "m"], "left")
+    rows = rows.withColumn("promo", (F.col("price_ratio") < PROMO).cast("double")) \
         .withColumn("month_of_year", (F.pmod(F.col("m") - 1, F.lit(12)) + 1).cast("double"))
-    train_end = f.agg(F.max("m")).first()[0] - HORIZON
-    train = f.where(F.col("m") <= train_end)
-    ids = ["item_id", "store_id", "state_id", "cat_id"]
-    idx = StringIndexer(inputCols=ids, outputCols=["item_ix", "store_ix", "state_ix", "cat_ix"], handleInvalid="keep",
-                        stringOrderType="alphabetAsc").fit(train)
-    data = MD.assemble(idx.transform(f), ["item_ix", "store_ix", "state_ix", "cat_ix", "month_of_year"])
+    # a month without a price of its own (its week began in the month before): no ratio, no promotion
+    return rows.fillna({"price_ratio": 1.0, "promo": 0.0}).withColumn("price", F.coalesce("price", F.lit(-1.0))), train_end
+
+
+SALES_INPUTS = [*SALES_IDS, "price", "price_ratio", "promo", "month_of_year"]
+
+
+def sales_regressor(rows, train_end, inputs, max_iter=20):
+    """Boosted trees on ``inputs``; predictions of the held-out months, kept within the observed range."""
+    from pyspark.ml.regression import GBTRegressor
+    data = materialize(MD.assemble(rows, inputs).hint("rebalance"), "sales-features")
+    train = data.where(F.col("m") <= train_end)
     lo, hi = train.agg(F.min("dollars"), F.max("dollars")).first()
-    bins = max(32, *(len(x) + 1 for x in idx.labelsArray))     # a bin for each id
-    m = GBTRegressor(labelCol="dollars", featuresCol="features", maxIter=20, maxDepth=5, maxBins=bins, seed=1) \
-        .fit(data.where(F.col("m") <= train_end))
-    pred = m.transform(data.where(F.col("m") > train_end)) \
+    m = GBTRegressor(labelCol="dollars", featuresCol="features", maxIter=max_iter, maxDepth=5, seed=1).fit(train)
+    return m.transform(data.where(F.col("m") > train_end)) \
         .withColumn("prediction", F.least(F.greatest("prediction", F.lit(lo)), F.lit(hi)))
-    return pred.select(*ids, "m", "dollars", "prediction")
+
+
+@register("ml21_sales_regressor")
+def ml21(spark, sf):
+    rows, train_end = sales_features(Tables(spark, sf))
+    pred = sales_regressor(rows, train_end, SALES_INPUTS)
+    return pred.select("item_id", "store_id", "state_id", "cat_id", "m", "dollars", "prediction")
+
+
+@register("ml21_target_means", f"""
+with f as (select *, cast(dollars as double) as d from ({MONTHLY_SALES_SQL})),
+e as (select {TRAIN_END_SQL} as train_end),
+o as (select m.m, coalesce((select avg(d) from f, e where f.m < m.m and f.m <= train_end), 0) as mean from (select distinct m from f) m),
+i as (select k.item_id, k.m, coalesce(sum(h.d), 0) as s, count(h.d) as n from (select distinct item_id, m from f) k
+      left join (select f.* from f, e where f.m <= train_end) h on h.item_id = k.item_id and h.m < k.m group by all),
+s as (select k.item_id, k.store_id, k.m, coalesce(sum(h.d), 0) as s, count(h.d) as n from f k
+      left join (select f.* from f, e where f.m <= train_end) h on h.item_id = k.item_id and h.store_id = k.store_id and h.m < k.m
+      group by k.item_id, k.store_id, k.m)
+select f.item_id, f.store_id, f.m, round((i.s + 10 * o.mean) / (i.n + 10), 4) as by_item, round((s.s + 10 * o.mean) / (s.n + 10), 4) as by_series
+from f join o using (m) join i using (item_id, m) join s using (item_id, store_id, m)""")
+def ml21m(spark, sf):
+    rows, _ = sales_features(Tables(spark, sf))
+    return rows.select("item_id", "store_id", "m", F.round("by_item", 4).alias("by_item"), F.round("by_series", 4).alias("by_series"))

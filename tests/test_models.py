@@ -158,6 +158,29 @@ def test_sales_predictions_stay_in_the_observed_range(spark):
     assert len(got) == f.where(F.col("m") > end).count() and all(float(lo) <= r.prediction <= float(hi) for r in got)
 
 
+def test_price_and_promotions_beat_the_ids_alone(spark):
+    from tabularlab.sources.tables import Tables
+    data, train_end = Q.sales_features(Tables(spark, SF_SMALL))
+    data = data.cache()
+
+    def error(inputs):
+        p = Q.sales_regressor(data, train_end, inputs)
+        return p.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("dollars"), 2)))).first()[0]
+
+    assert error(Q.SALES_INPUTS) < error([*Q.SALES_IDS, "month_of_year"])
+
+
+def test_target_means_see_earlier_training_periods_only(spark):
+    from tabularlab.operators.features import ordered_target_means
+    facts = spark.createDataFrame([("a", 1, 10.0), ("a", 1, 20.0), ("a", 2, 50.0), ("b", 2, 8.0), ("a", 3, 1e6), ("b", 4, 1e6), ("c", 4, 1e6)],
+                                  "id string, m long, y double")
+    got = {(r.id, r.m, r.y): r.t for r in ordered_target_means(facts, {"t": ["id"]}, "m", "y", 2, weight=2.0).collect()}
+    first, second, later = 0.0, 15.0, 22.0          # overall means of the earlier training months
+    assert got["a", 1, 10.0] == got["a", 1, 20.0] == first
+    assert got["a", 2, 50.0] == pytest.approx((30 + 2 * second) / 4) and got["b", 2, 8.0] == second
+    assert got["a", 3, 1e6] == pytest.approx((80 + 2 * later) / 5) and got["c", 4, 1e6] == later
+
+
 def test_word_vectors(spark):
     got = rows(spark, "tx11_word2vec")
     words = [w for r in Tables(spark, SF_SMALL).documents.select(TX.words(F.col("text")).alias("w")).collect() for w in r.w]
