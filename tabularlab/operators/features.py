@@ -90,30 +90,33 @@ def target_mean_encode(df: DataFrame, train_mask: Column, cat: str, target: str,
     return j
 
 
+def earlier_totals(facts: DataFrame, keys: Sequence[str], period: str, target: str, train_end: int) -> DataFrame:
+    """(keys, period, total, n): sum and count of the target over the keys' earlier periods up to ``train_end``.
+
+    Sums are taken per (keys, period) first; the running sums then have one row per key and
+    period, however many rows a hot key has."""
+    known = F.when(F.col(period) <= train_end, F.col(target))
+    sums = facts.groupBy(*keys, period).agg(F.coalesce(F.sum(known), F.lit(0)).alias("_s"), F.count(known).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*keys, period, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("total"),
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("n"))
+
+
 def ordered_target_means(facts: DataFrame, ids: dict[str, Sequence[str]], period: str, target: str, train_end: int,
                          weight: float = 10.0) -> DataFrame:
     """ML21: ``facts`` with one column per entry of ``ids`` (name -> id columns): the mean of the target over
     the id's earlier training periods, drawn to the overall earlier mean by ``weight`` rows.
 
     A row never sees its own period or a later one, nor any period behind ``train_end``, so the
-    statistic is the same for training and for held-out rows and leaks no target.  Sums are taken per
-    (id, period) first; the running sums then have one row per id and period, however many
-    rows a hot id has.  No list of ids is held anywhere: unseen ids get the overall mean."""
-    known = F.when(F.col(period) <= train_end, F.col(target).cast("double"))
-
-    def running(rows: DataFrame, keys: list[str]) -> DataFrame:
-        sums = rows.groupBy(*keys, period).agg(F.coalesce(F.sum(known), F.lit(0.0)).alias("_s"), F.count(known).alias("_n"))
-        before = Window.partitionBy(*keys).orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
-        return sums.select(*keys, period, F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
-
-    overall = running(facts.withColumn("_all", F.lit(1)), ["_all"])          # one row per period
-    overall = overall.select(period, F.coalesce(F.col("_s") / F.nullif(F.col("_n"), F.lit(0)), F.lit(0.0)).alias("_mean"))
-    out = facts.join(overall, period)
+    statistic is the same for training and for held-out rows and leaks no target.
+    No list of ids is held anywhere: unseen ids get the overall mean."""
+    overall = earlier_totals(facts.withColumn("_all", F.lit(1)), ["_all"], period, target, train_end)      # one row per period
+    mean = F.coalesce(F.col("total").cast("double") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
+    out = facts.join(overall.select(period, mean.alias("_mean")), period)
     for name, keys in ids.items():
-        stats = running(facts, list(keys))
+        stats = earlier_totals(facts, keys, period, target, train_end).withColumnsRenamed({"total": "_total", "n": "_n"})
         out = out.join(stats, [*keys, period]) \
-            .withColumn(name, (F.col("_s") + weight * F.col("_mean")) / (F.col("_n") + weight)).drop("_s", "_n")
+            .withColumn(name, (F.col("_total").cast("double") + weight * F.col("_mean")) / (F.col("_n") + weight)).drop("_total", "_n")
     return out.drop("_mean")
 
 

@@ -338,17 +338,21 @@ def ml21(spark, sf):
     return pred.select("item_id", "store_id", "state_id", "cat_id", "m", "dollars", "prediction")
 
 
-@register("ml21_target_means", f"""
-with f as (select *, cast(dollars as double) as d from ({MONTHLY_SALES_SQL})),
-e as (select {TRAIN_END_SQL} as train_end),
-o as (select m.m, coalesce((select avg(d) from f, e where f.m < m.m and f.m <= train_end), 0) as mean from (select distinct m from f) m),
-i as (select k.item_id, k.m, coalesce(sum(h.d), 0) as s, count(h.d) as n from (select distinct item_id, m from f) k
-      left join (select f.* from f, e where f.m <= train_end) h on h.item_id = k.item_id and h.m < k.m group by all),
-s as (select k.item_id, k.store_id, k.m, coalesce(sum(h.d), 0) as s, count(h.d) as n from f k
-      left join (select f.* from f, e where f.m <= train_end) h on h.item_id = k.item_id and h.store_id = k.store_id and h.m < k.m
-      group by k.item_id, k.store_id, k.m)
-select f.item_id, f.store_id, f.m, round((i.s + 10 * o.mean) / (i.n + 10), 4) as by_item, round((s.s + 10 * o.mean) / (s.n + 10), 4) as by_series
-from f join o using (m) join i using (item_id, m) join s using (item_id, store_id, m)""")
+@register("ml21_earlier_totals", f"""
+with f as ({MONTHLY_SALES_SQL}), h as (select * from f where m <= {TRAIN_END_SQL}),
+i as (select k.item_id, k.m, coalesce(sum(h.dollars), 0) as total, count(h.dollars) as n from (select distinct item_id, m from f) k
+      left join h on h.item_id = k.item_id and h.m < k.m group by all),
+s as (select k.item_id, k.store_id, k.m, coalesce(sum(h.dollars), 0) as total, count(h.dollars) as n from f k
+      left join h on h.item_id = k.item_id and h.store_id = k.store_id and h.m < k.m group by all)
+select f.item_id, f.store_id, f.m, cast(i.total as double) as item_total, i.n as item_n, cast(s.total as double) as series_total, s.n as series_n
+from f join i using (item_id, m) join s using (item_id, store_id, m)""")
 def ml21m(spark, sf):
-    rows, _ = sales_features(Tables(spark, sf))
-    return rows.select("item_id", "store_id", "m", F.round("by_item", 4).alias("by_item"), F.round("by_series", 4).alias("by_series"))
+    from tabularlab.operators.features import earlier_totals
+    from tabularlab.plans.facts import HORIZON, monthly_sales
+    facts = monthly_sales(Tables(spark, sf))
+    train_end = facts.agg(F.max("m")).first()[0] - HORIZON
+    out = facts.select("item_id", "store_id", "m")
+    for name, keys in (("item", ["item_id"]), ("series", ["item_id", "store_id"])):
+        totals = earlier_totals(facts, keys, "m", "dollars", train_end)
+        out = out.join(totals.select(*keys, "m", F.col("total").cast("double").alias(f"{name}_total"), F.col("n").alias(f"{name}_n")), [*keys, "m"])
+    return out
