@@ -9,7 +9,7 @@ from tabularlab.operators import web as W
 from tabularlab.plans.catalog import register
 from tabularlab.sources.files import run_folder
 from tabularlab.sources.tables import Tables
-from tabularlab.streaming.incremental import incremental_copy, windowed_counts
+from tabularlab.streaming.incremental import incremental_copy, upserted_counts, windowed_counts
 
 NAV_SQL = "regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"
 
@@ -137,3 +137,25 @@ def ss2(spark, sf):
         F.lit(None).cast(ev.schema["event_id"].dataType).alias("event_id"), "ts").write.mode("append").parquet(base + "/in")
     out = windowed_counts(spark, base + "/in", ev.schema, "ts", "event_id", base + "/out", base + "/ckpt", max_files_per_trigger=None)
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
+
+
+def _upserts(spark, sf, mode):
+    ev = Tables(spark, sf).events.select("event_id", "ts")
+    base = run_folder(spark, f"stream-{mode}")
+    # in order of time, so that no file lies behind the watermark of one before it
+    ev.repartitionByRange(4, "ts").write.mode("overwrite").parquet(base + "/in")
+    files = None if mode == "update" else 2        # update: one batch, whatever the order the files are listed in
+    out = upserted_counts(spark, base + "/in", ev.schema, "ts", "event_id", base + "/out", base + "/ckpt", mode, max_files_per_trigger=files)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
+
+
+@register("ss2_daily_counts_update", """
+select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n from events group by 1""")
+def ss2u(spark, sf):
+    return _upserts(spark, sf, "update")
+
+
+@register("ss2_daily_counts_complete", """
+select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n from events group by 1""")
+def ss2c(spark, sf):
+    return _upserts(spark, sf, "complete")

@@ -75,3 +75,50 @@ def windowed_counts(spark: SparkSession, src: str, schema: StructType, ts: str,
     if q.exception():
         raise q.exception()
     return spark.read.schema("window_start timestamp_ntz, window_end timestamp_ntz, n long").parquet(sink)
+
+
+WINDOWS = "window_start timestamp_ntz, window_end timestamp_ntz, n long"
+
+
+def latest_counts(spark: SparkSession, sink: str, mode: str) -> DataFrame:
+    """The windows as of the last finished batch.  Update mode: each window's count in the latest batch that
+    changed it; complete mode: the rows of the latest batch."""
+    rows = spark.read.schema(WINDOWS + ", batch long").parquet(sink)
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("last"))          # one row
+        return rows.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("batch", "last")
+    return rows.groupBy("window_start", "window_end").agg(F.max_by("n", "batch").alias("n"))
+
+
+def upserted_counts(spark: SparkSession, src: str, schema: StructType, ts: str, counted: str, sink: str, checkpoint: str,
+                    mode: str = "update", window: str = "1 day", watermark: str = "1 day", max_files_per_trigger: int | None = 2,
+                    timeout_s: int = 600) -> DataFrame:
+    """SS2: tumbling-window counts that are there as soon as a batch ends, without an end marker.
+
+    Each micro-batch writes the windows it changed (``update``) or all windows (``complete``) to
+    a folder of the sink that its batch id names, in place of what that folder held.  A batch that is run
+    again after a failure or a restart has the same id and rows and so leaves the same folder: the
+    sink never counts a row twice.  Update mode drops the state of windows the watermark has passed, and rows
+    that come later for them; complete mode keeps every window and counts late rows."""
+    if mode not in ("update", "complete"):
+        raise ValueError("mode must be update or complete")
+    stream = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", max_files_per_trigger)
+    events = stream.parquet(src).withColumn(ts, ntz_as_utc_instant(F.col(ts)))
+    counts = events.withWatermark(ts, watermark).groupBy(F.window(ts, window).alias("w")).agg(F.count(counted).alias("n"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(F.col("n") > 0).select(
+            utc_instant_as_ntz(F.col("w.start")).alias("window_start"), utc_instant_as_ntz(F.col("w.end")).alias("window_end"), "n")
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    q = (counts.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("windowed count did not drain")
+    if q.exception():
+        raise q.exception()
+    return latest_counts(spark, sink, mode)
