@@ -88,7 +88,30 @@ def one_hot(df: DataFrame, col: str, values: Sequence, prefix: str | None = None
                            for v in values})
 
 
-def distinct_values(df: DataFrame, col: str) -> list:
-    """Sorted distinct values of a column whose values become columns (one-hot, pivot),
-    so their number is bounded by the width of a table."""
-    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+MAX_COLUMNS = 1000           # values that may become columns
+
+
+def distinct_values(df: DataFrame, col: str, limit: int = MAX_COLUMNS) -> list:
+    """Sorted distinct values of a column whose values become columns (one-hot, pivot).  More than
+    ``limit`` of them raise: such a column takes ``one_hot_vector``."""
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()      # bounded by the limit
+    if len(rows) > limit:
+        raise ValueError(f"{col} has more than {limit} values; use one_hot_vector")
+    return sorted(r[0] for r in rows)
+
+
+def one_hot_vector(df: DataFrame, col: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """RS7 for columns of many values: ``df`` with a sparse indicator vector, and its table (value, code).
+    Positions follow the values' order.  The table is numbered by Spark and joined by value;
+    the driver learns its size only.  A null gives a vector without entries."""
+    from pyspark.ml.feature import OneHotEncoder
+    from tabularlab.operators.features import fit_label_encoder
+    from tabularlab.session import materialize
+    codes = materialize(fit_label_encoder(df, col), "one-hot")
+    n = codes.count()
+    coded = df.join(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), F.col(f"`{col}`") == F.col("_value"), "left") \
+        .withColumn("_code", F.coalesce("_code", F.lit(n)).cast("double"))
+    # the last category stands for null and is dropped
+    sized = codes.select(F.col("code").cast("double").alias("_code")).unionByName(df.sparkSession.range(1).select(F.lit(float(n)).alias("_code")))
+    model = OneHotEncoder(inputCols=["_code"], outputCols=[out], dropLast=True).fit(sized)
+    return model.transform(coded).drop("_value", "_code"), codes

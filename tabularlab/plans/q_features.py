@@ -104,6 +104,26 @@ def fe5(spark, sf):
                       F.round("l_discount", 6).alias("l_discount"), F.round("l_tax", 6).alias("l_tax"), "l_quantity_na")
 
 
+@register("fe5_category_codes", """
+with tr as (select * from orders where o_orderdate < timestamp '1995-06-01'),
+c as (select v, row_number() over (order by v) as code from (select distinct o_custkey as v from tr)),
+p as (select v, row_number() over (order by v) as code from (select distinct o_orderpriority as v from tr where o_orderpriority is not null)),
+s as (select avg(o_totalprice) as m, stddev_samp(o_totalprice) as sd, median(o_totalprice) as med from tr)
+select o_orderkey, round((coalesce(o_totalprice, med) - m) / sd, 6) as o_totalprice, cast(o_totalprice is null as int) as o_totalprice_na,
+       cast(coalesce(c.code, 0) as int) as o_custkey_code, cast(coalesce(p.code, 0) as int) as o_orderpriority_code
+from orders left join c on o_custkey = c.v left join p on o_orderpriority = p.v, s where o_orderdate >= timestamp '1995-06-01'""")
+def fe5c(spark, sf):
+    """Fitted on the earlier orders, saved, loaded and applied to the later ones."""
+    from tabularlab.operators.preprocess import TabularModel, TabularPreprocessor
+    from tabularlab.sources.files import run_folder
+    o = Tables(spark, sf).orders
+    cut = F.lit("1995-06-01").cast("timestamp_ntz")
+    path = run_folder(spark, "preprocessor")
+    TabularPreprocessor(["o_totalprice"], ["o_custkey", "o_orderpriority"]).fit(o.where(F.col("o_orderdate") < cut)).save(path)
+    out = TabularModel.load(spark, path).transform(o.where(F.col("o_orderdate") >= cut))
+    return out.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"), "o_totalprice_na", "o_custkey_code", "o_orderpriority_code")
+
+
 @register("fe6_minmax_scale", """
 select c_custkey, round((c_acctbal - (select min(c_acctbal) from customer)) /
        ((select max(c_acctbal) from customer) - (select min(c_acctbal) from customer)), 6) as c_acctbal_scaled from customer""")

@@ -71,6 +71,30 @@ def src7(spark, sf):
     return spark.read.parquet(path).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
 
 
+@register("src7_bucketed_join", """
+select o_orderkey, o_totalprice, cast(sum(l_quantity) as bigint) as quantity, count(*) as n_lines
+from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey, o_totalprice""")
+def src7b(spark, sf):
+    """Orders and lines written in equal buckets of the order key, then joined and grouped in place."""
+    t = Tables(spark, sf)
+    orders = IO.write_bucketed(t.orders.select("o_orderkey", "o_totalprice"), IO.run_folder(spark, "orders-buckets"), ["o_orderkey"], 16)
+    lines = IO.write_bucketed(t.lineitem.select("l_orderkey", "l_quantity"), IO.run_folder(spark, "lines-buckets"), ["l_orderkey"], 16)
+    joined = spark.table(orders).hint("merge").join(spark.table(lines), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey", "o_totalprice").agg(F.sum("l_quantity").cast("bigint").alias("quantity"), F.count("*").alias("n_lines"))
+
+
+@register("prj19_sorted_lookup", """
+select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_orderkey = (select max(l_orderkey) // 2 from lineitem)
+union all select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_partkey = 42 and l_orderkey <> (select max(l_orderkey) // 2 from lineitem)""")
+def prj19s(spark, sf):
+    """Lines of one order by the sort key and of one part by the Bloom filters."""
+    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    path = IO.write_sorted(li, IO.run_folder(spark, "lines-sorted"), ["l_orderkey"], 1 << 20, ["l_partkey"])
+    rows = spark.read.parquet(path)
+    order = rows.agg(F.max("l_orderkey")).first()[0] // 2
+    return rows.where(F.col("l_orderkey") == order).unionByName(rows.where((F.col("l_partkey") == 42) & (F.col("l_orderkey") != order)))
+
+
 @register("src8_partition_scan", """
 select l_orderkey, l_linenumber, l_quantity from lineitem where year(l_shipdate) between 1996 and 1998""")
 def src8(spark, sf):

@@ -399,7 +399,19 @@ select o_orderkey, coalesce(cast(o_orderstatus = 'F' as int), 0) as o_orderstatu
        coalesce(cast(o_orderstatus = 'P' as int), 0) as o_orderstatus_P from orders""")
 def rs7(spark, sf):
     o = Tables(spark, sf).orders.select("o_orderkey", "o_orderstatus")
-    return R.one_hot(o, "o_orderstatus", ["F", "O", "P"]).drop("o_orderstatus")
+    return R.one_hot(o, "o_orderstatus", R.distinct_values(o, "o_orderstatus")).drop("o_orderstatus")
+
+
+@register("rs7_one_hot_vector", """
+select o_custkey, cast(dense_rank() over (order by o_custkey) - 1 as int) as position, cast(count(*) as double) as n
+from orders group by o_custkey""")
+def rs7v(spark, sf):
+    """Customers as sparse indicator vectors, summed over all orders."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+    rows, codes = R.one_hot_vector(Tables(spark, sf).orders.select("o_orderkey", "o_custkey"), "o_custkey", "v")
+    total = rows.agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("s")).select(F.posexplode("s").alias("position", "n"))
+    return total.join(codes, F.col("position") == F.col("code")).select(F.col("value").alias("o_custkey"), "position", "n")
 
 
 @register("fe9_series_features", f"""

@@ -84,6 +84,31 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str], m
     return path
 
 
+def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int, table: str | None = None) -> str:
+    """SRC7: a table bucketed and sorted by ``keys``; returns its name.  Two tables bucketed alike are joined,
+    and one is grouped by the keys, without an exchange.  Rows are dealt by the same hash first, so there is
+    one file per bucket.  The number of buckets sets a join task's size: choose it by bytes."""
+    name = table or f"bucketed_{uuid.uuid4().hex[:12]}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path) \
+        .format("parquet").saveAsTable(name)
+    return name
+
+
+def write_sorted(df: DataFrame, path: str, keys: Sequence[str], row_group_bytes: int = 8 << 20, bloom: Sequence[str] = (),
+                 distinct: int | None = None) -> str:
+    """SRC7, PRJ19: a table in the order of ``keys`` over all its files, with row groups of the given size and
+    Bloom filters on ``bloom`` columns (for about ``distinct`` values a row group).  Row-group statistics
+    then let a point or range read on the keys, and the filters one on other columns, pass over most row groups."""
+    w = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("parquet.block.size", row_group_bytes) \
+        .option("parquet.block.size.row.check.min", 100).option("parquet.block.size.row.check.max", 1000)
+    for c in bloom:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        if distinct:
+            w = w.option(f"parquet.bloom.filter.expected.ndv#{c}", distinct)
+    w.parquet(path)
+    return path
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
