@@ -200,6 +200,35 @@ def tx11(spark, sf):
     return model.getVectors()
 
 
+PAIRS_SQL = f"""
+t as (select doc_id, unnest({WORDS_SQL}) as w, unnest(generate_series(1, len({WORDS_SQL}))) as i from documents),
+v as (select w from t group by w having count(*) >= 5),
+d as (select a.w as word, b.w as context from t a join t b on a.doc_id = b.doc_id and b.i - a.i between -5 and 5 and a.i <> b.i),
+p as (select word, context, count(*) as n from d where word in (select w from v) and context in (select w from v) group by all)"""
+
+
+@register("tx11_cooccurrence", f"""
+with {PAIRS_SQL},
+s as (select word, sum(n) as nw from p group by word)
+select p.word, p.context, p.n, round(ln(cast(p.n as double) * (select sum(n) from p) / (cast(a.nw as double) * b.nw)), 6) as ppmi
+from p join s a on p.word = a.word join s b on p.context = b.word
+where ln(cast(p.n as double) * (select sum(n) from p) / (cast(a.nw as double) * b.nw)) > 0""")
+def tx11c(spark, sf):
+    from tabularlab.operators import word_vectors as WV
+    tokens = _tokens(Tables(spark, sf).documents)
+    return WV.shifted_pmi(WV.cooccurrences(tokens)).withColumn("ppmi", F.round("ppmi", 6))
+
+
+@register("tx11_factor_vectors")
+def tx11f(spark, sf):
+    """Vectors of the frequent words, and of all others by their n-grams."""
+    from tabularlab.operators import word_vectors as WV
+    tokens = _tokens(Tables(spark, sf).documents)
+    vectors = materialize(WV.factor_vectors(WV.shifted_pmi(WV.cooccurrences(tokens))), "vectors")
+    grams = materialize(WV.gram_vectors(vectors), "grams")
+    return WV.vectors_for(tokens.select(F.explode("tokens").alias("word")), vectors, grams)
+
+
 @register("ag31_token_coverage", f"""
 with t as (select unnest({WORDS_SQL}) as token from documents),
 c as (select token, count(*) as c from t group by token),
