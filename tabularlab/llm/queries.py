@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabularlab.llm import (bpe, cluster, conversation, linededup, lm, mixing, quality, search, sharding, simhash, sketch,
                             tokenfile, warc)
 from tabularlab.sources.tables import table
 
-TOKENIZERS = "/opt/tokenizers"     # folder of the public tokenizer files, on every executor
-
 
 def tokenizer(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where the installed package of public tokenizers keeps a file; executors have the same packages."""
+    return public_tokenizers.path(name)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -17,8 +17,13 @@ def edits(a, b):
     return row[-1]
 
 
-def brute(rows, max_edits=2, min_chars=50):
-    """Rows equal in id and text are one document."""
+def by_length(n):
+    """Edits that lines of n characters or more may differ in, with ``SHORT_EDITS``."""
+    return 2 if n >= 25 else 1 if n >= 12 else 0
+
+
+def brute(rows, allowed=lambda n: 2 if n >= 50 else 0):
+    """Rows equal in id and text are one document; the shorter line of a pair sets the edits allowed."""
     out, seen = {}, []
     for i, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         if text is None:
@@ -27,8 +32,8 @@ def brute(rows, max_edits=2, min_chars=50):
         stay = []
         for line in text.split("\n"):
             if line.strip(" \t\n\x0b\x0c\r"):
-                near = any(line == o or (min(len(line), len(o)) >= min_chars and abs(len(line) - len(o)) <= max_edits
-                                         and edits(line, o) <= max_edits) for o in seen)
+                near = any(line == o or (abs(len(line) - len(o)) <= (most := allowed(min(len(line), len(o)))) and edits(line, o) <= most)
+                           for o in seen)
                 seen.append(line)
                 if near:
                     continue
@@ -88,7 +93,7 @@ def brute_by_length(rows):
             near = False
             for o in seen:
                 n = min(len(line), len(o))
-                allowed = 2 if n >= 25 else 1 if n >= 12 else 0
+                allowed = by_length(n)
                 near = near or line == o or (abs(len(line) - len(o)) <= allowed and edits(line, o) <= allowed)
             seen.append(line)
             if not near:
