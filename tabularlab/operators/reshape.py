@@ -56,6 +56,22 @@ def _literal_names(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+def name_rows(spark):
+    """Section 2.14: a table function for list-returning parsers, registered as ``name_rows``: takes a table
+    (key, text), in partitions of the caller's choice, and gives (key, name) rows, an Arrow batch at a time."""
+    import pyarrow as pa
+
+    @F.arrow_udtf(returnType="key bigint, name string")
+    class NameRows:
+        def eval(self, batch):
+            key, text = batch.column(0).to_pylist(), pd.Series(batch.column(1).to_pylist(), dtype=object)
+            found = [(k, n) for k, names in zip(key, _literal_names(text)) for n in names]
+            yield pa.table({"key": pa.array([k for k, _ in found], pa.int64()), "name": pa.array([n for _, n in found], pa.string())})
+
+    spark.udtf.register("name_rows", NameRows)
+    return NameRows
+
+
 def parse_name_list(text: Column) -> Column:
     """RS5: names from a list-of-dicts held as text, e.g. "[{'id': 1, 'name': 'X'}]".
     Valid JSON is parsed in the JVM; other rows go to a batched Python-literal

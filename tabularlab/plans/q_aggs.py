@@ -339,3 +339,12 @@ def ag30(spark, sf):
 def ag4a(spark, sf):
     """HyperLogLog++ estimates (rows / invariants only: estimates are not exact)."""
     return A.distinct_counts(Tables(spark, sf).lineitem, ["l_partkey", "l_suppkey", "l_orderkey"], approx=True)
+
+
+@register("ag4_stored_sketches")
+def ag4s(spark, sf):
+    """Sketches per ship year, written once; distinct orders and parts per half decade from the sketches alone."""
+    from tabularlab.session import materialize
+    li = Tables(spark, sf).lineitem.withColumn("ship_year", F.year("l_shipdate"))
+    stored = materialize(A.distinct_sketches(li, ["ship_year"], ["l_orderkey", "l_partkey"]), "sketches")
+    return A.merged_distinct(stored.withColumn("since", (F.col("ship_year") - F.col("ship_year") % 5)), ["l_orderkey", "l_partkey"], ["since"])

@@ -72,3 +72,12 @@ def test_both_indicator_forms_agree(spark):
     assert [r.value for r in codes.orderBy("code").collect()] == values == ["a", "b", "c"]
     with pytest.raises(ValueError):
         R.distinct_values(df, "v", limit=2)
+
+
+def test_table_function_over_partitions_in_sql(spark):
+    R.name_rows(spark)
+    spark.createDataFrame([(i, f"[{{'name': 'n{i % 3}'}}, {{'id': None}}, {{'name': \"It's\"}}]") for i in range(30)]
+                          + [(100, None), (101, "False")], "id long, t string").createOrReplaceTempView("literal_lists")
+    got = spark.sql("""select name, count(*) as n from name_rows(table(select id, t, id % 4 as part from literal_lists) partition by part)
+                       group by name""").collect()
+    assert {r.name: r.n for r in got} == {"n0": 10, "n1": 10, "n2": 10, "It's": 30}

@@ -207,6 +207,18 @@ def test_approximate_distinct_counts_are_near(spark):
             assert abs(v - exact[k]) <= max(2, 0.05 * exact[k])
 
 
+def test_stored_sketches_merge_to_the_direct_estimate(spark):
+    from tabularlab.operators import aggs as A
+    df = spark.range(60_000).select((F.col("id") % 20_000).alias("v"), (F.col("id") % 7).alias("g"))
+    stored = A.distinct_sketches(df, ["g"], ["v"])
+    merged, direct = A.merged_distinct(stored, ["v"]).first().v, A.merged_distinct(A.distinct_sketches(df, [], ["v"]), ["v"]).first().v
+    assert abs(merged - 20_000) < 3 * 0.0081 * 20_000 and abs(merged - direct) < 0.02 * 20_000
+    got = {r.since: r for r in rows(spark, "ag4_stored_sketches")}
+    li = Tables(spark, SF_SMALL).lineitem.withColumn("since", F.year("l_shipdate") - F.year("l_shipdate") % 5)
+    for r in li.groupBy("since").agg(F.countDistinct("l_orderkey").alias("o"), F.countDistinct("l_partkey").alias("p")).collect():
+        assert got[r.since].l_orderkey == pytest.approx(r.o, rel=0.03) and got[r.since].l_partkey == pytest.approx(r.p, rel=0.03)
+
+
 def test_joint_fit_and_dfbetas_equal_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 2))

@@ -49,8 +49,8 @@ def test_entry_smoke(spark):
 def test_queries_without_sql_are_known():
     """Learners and sketches; each has a test of its own in test_models.py or beside its operator."""
     assert sorted(set(QUERIES) - set(ORACLE)) == sorted([
-        "ag4_approx_distinct", "ml1_ols_inference", "ml3_interactions", "ml4_scan_vs_joint", "ml5_f_test_p_values",
+        "ag4_approx_distinct", "ag4_stored_sketches", "ml1_ols_inference", "ml3_interactions", "ml4_scan_vs_joint", "ml5_f_test_p_values",
         "ml6_anova_type2", "ml7_influence", "ml9_pca", "ml9_pca_scores", "ml10_gbt_importances", "ml11_gbt_loss_curve",
         "ml12_random_forest", "ml13_logistic_l2", "ml14_multilabel_text", "ml15_cross_validation", "ml16_grid_search",
         "ml16_refit_predictions", "ml17_embedded_selection", "ml18_recursive_elimination", "ml19_importance_sanity", "ml20_mlp",
-        "ml21_sales_regressor", "tx10_vector_lookup", "tx11_word2vec", "tx13_main_text"])
+        "ml21_sales_regressor", "tx10_vector_lookup", "tx11_factor_vectors", "tx11_word2vec", "tx13_main_text"])
