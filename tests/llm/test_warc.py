@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import pytest
@@ -72,8 +74,12 @@ def test_salvage_skips_what_is_damaged_and_logs_the_gap():
     assert gap == (start, start + len(members[3]))
 
 
+@pytest.mark.parametrize("window", [None, 64])       # 64: every record is read through many windows
 @pytest.mark.parametrize("compressed", [True, False])
-def test_salvage_covers_every_byte_of_randomly_damaged_files(compressed):
+def test_salvage_covers_every_byte_of_randomly_damaged_files(compressed, window, monkeypatch):
+    if window:
+        monkeypatch.setattr(warc, "WINDOW", window)
+        monkeypatch.setattr(warc, "PIECE", 24)
     rng = random.Random(compressed)
     plain = [zlib.decompress(m, 31) for m in parts()]
     members = parts() if compressed else plain
@@ -118,3 +124,50 @@ def test_one_member_with_many_records():
     whole = warc.member(b"".join(zlib.decompress(m, 31) for m in parts()[:3]) + b"junk")
     found = list(warc.salvage(whole))
     assert len(ids(found)) == 3 and found[-1][0] == "gap" and "content" in found[-1][3]
+
+
+READ = """
+import resource, sys
+from tabularlab.llm import warc
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+with warc.open_archive("file:" + sys.argv[1]) as file:
+    batches = list((b.num_rows, b.nbytes) for b in warc.batches_of("a", warc.Source(file, int(sys.argv[2])), True))
+print(sum(n for n, _ in batches), max(m for _, m in batches), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_memory_does_not_follow_the_archive(tmp_path, compressed):
+    html = random.Random(1).randbytes(200_000)
+    one = warc.page_record(1, "http://a/1", html, None)
+    one = one if compressed else zlib.decompress(one, 31)
+    damaged = one[:len(one) // 2] + b"\0" + one[len(one) // 2:]
+    n = 300 * (1 << 20) // len(one)
+    path = tmp_path / "one archive.warc"              # a blank in the name
+    with open(path, "wb") as f:
+        for i in range(n):
+            f.write(damaged if i == n // 2 else one)
+        size = f.tell()
+    said = subprocess.run([sys.executable, "-c", READ, str(path), str(size)], capture_output=True, text=True, check=True).stdout.split()
+    rows, largest, grown_kb = map(int, said)
+    assert rows == n and largest < 2 * warc.BATCH_BYTES          # n - 1 records and the gap
+    assert grown_kb < 200_000                                     # 300 MB were read
+
+
+def test_archives_of_many_runs(spark, monkeypatch):
+    """Runs of a task follow each other in one file; an archive begins with its info record."""
+    monkeypatch.setattr(warc, "RUN_BYTES", 2000)
+    rows = [(i, f"http://a/{i}", f"<p>{random.Random(i).randbytes(300).hex()}</p>") for i in range(60)]
+    with Scratch(spark, "test") as scratch:
+        out = scratch.path("archives")
+        scratch.paths.append(out)
+        warc.write_archives(pages(spark, rows).coalesce(1), out, archive_bytes=8000)
+        found = warc.read_archives(spark, out).collect()
+        whole = warc.read_archives(spark, out, opener=lambda path: open(path.removeprefix("file:"), "rb")).collect()
+    assert sorted(map(repr, whole)) == sorted(map(repr, found))
+    assert sorted(r.record_id for r in found if r.record_type == "response") == sorted(f"urn:page:{i}" for i in range(60))
+    files = {r.path for r in found}
+    assert not [r for r in found if r.kind == "gap"] and len({r.path for r in found}) > 1
+    assert sorted(r.path for r in found if r.record_type == "warcinfo") == sorted(files)
+    assert all(r.start == 0 for r in found if r.record_type == "warcinfo")
+    assert max(sum(r.path == f for r in found) for f in files) > 10          # several runs in one file
