@@ -3,10 +3,11 @@
 The lattice of a word holds every way to write it in pieces of an existing
 vocabulary, and marginals come from a forward recursion in log space.  Pieces
 never cross a blank, so a text's probability is the product of its words'
-marginals and of the end's probability.  The vocabulary file is used as it is;
-its scores are merge ranks, so they rank segmentations but are no
-log-probabilities: piece weights are counted on the file's own segmentation of
-the distinct training words (every piece gets ``PIECE_PRIOR``).
+marginals and of the end's probability.  The vocabulary file is used as it is.
+Its scores are every piece's prior: log-probabilities as they stand, merge ranks
+by Zipf's law, 1 / (1 + rank).  The prior weighs ``PIECE_PRIOR`` counts a piece
+against those of the file's own segmentation of the distinct training words; without
+training words the prior alone weights the lattice.
 
 A word seen in training has one more path, the whole word, weighted by its
 discounted count; what the discount frees weights the paths through pieces:
@@ -42,7 +43,8 @@ from tabularlab.llm.common import Scratch, need
 
 HOT_WORDS = 1 << 17        # bound of the word table that every task holds
 FLUSH_WORDS = 400_000      # distinct words counted in a task before they are passed on
-PIECE_PRIOR = 0.5          # added to the count of every piece
+PIECE_PRIOR = 0.5          # counts that the prior weighs, a piece on average
+UNSCORED = -1e8            # a file's score of this or less says that the piece has none
 SMOOTH = 0.1               # of the word-level base model
 LOG10 = math.log(10.0)
 
@@ -74,6 +76,19 @@ class Pieces:
     def segment(self, words: list[str]) -> list[list[int]]:
         return self.processor.encode(words, num_threads=1)
 
+    def prior(self) -> dict[int, float]:
+        """Probability of every piece by the file's scores.  Bytes, and the blank alone, which files of merge
+        ranks put below all others, have no score of their own: they get the least of the others."""
+        score = {i: s for i in self.ids.values() if (s := self.processor.get_score(i)) > UNSCORED}
+        if all(s <= 0 and s == int(s) for s in score.values()):
+            mass = {i: 1.0 / (1.0 - s) for i, s in score.items()}
+        else:
+            mass = {i: math.exp(s) for i, s in score.items()}
+        least = min(mass.values(), default=1.0)
+        mass |= {i: least for i in [*self.byte_ids.values(), *self.ids.values()] if i not in mass}
+        total = sum(mass.values())
+        return {i: m / total for i, m in mass.items()}
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
@@ -163,10 +178,10 @@ def piece_weights(counts: DataFrame, path: str) -> dict[int, float]:
 
     rows = counts.where("word is not null and train > 0").select("word").mapInArrow(run, "piece long, n long")
     n = {r.piece: r.n for r in rows.groupBy("piece").agg(F.sum("n").alias("n")).collect()}   # at most one row per piece
-    pieces = load(path)
-    ids = [*pieces.ids.values(), *pieces.byte_ids.values()]
-    total = sum(n.get(i, 0) + PIECE_PRIOR for i in ids)
-    return {i: math.log((n.get(i, 0) + PIECE_PRIOR) / total) for i in ids}
+    prior = load(path).prior()
+    weight = PIECE_PRIOR * len(prior)
+    total = sum(n.get(i, 0) for i in prior) + weight
+    return {i: math.log((n.get(i, 0) + weight * p) / total) for i, p in prior.items()}
 
 
 @dataclass(frozen=True)

@@ -66,6 +66,68 @@ def test_scores_equal_direct_sums(spark, hot):
     assert all(r.score == pytest.approx(whole[repr(r.doc_id), r.n_tokens], rel=1e-9) and r.score < 0 for r in got)
 
 
+def brute_prior(pieces):
+    """Zipf's law on the merge ranks, for this file."""
+    ranks = {i: -pieces.processor.get_score(i) for i in pieces.ids.values()}
+    mass = {i: 1 / (1 + r) for i, r in ranks.items() if r < 1e8}
+    mass |= {i: min(mass.values()) for i in [*pieces.byte_ids.values(), *ranks] if i not in mass}
+    total = math.fsum(mass.values())
+    return {i: m / total for i, m in mass.items()}
+
+
+@pytest.mark.parametrize("hot", [lm.HOT_WORDS, 5])
+def test_score_equals_the_sum_over_all_segmentations_of_whole_documents(spark, hot):
+    rows = [(r[0], r[1]) for r in cases.rows() if max(map(len, (r[1] or "").split()), default=0) <= 13]
+    assert len(rows) > 12 and any("中文字" in (t or "") for _, t in rows)
+    docs = spark.createDataFrame([*rows, (31, "naïve ⵣ x1!y")], "doc_id long, text string")
+    rows.append((31, "naïve ⵣ x1!y"))
+    pieces, count = lm.load(PATH), Counter()
+    for i, text in rows:
+        if not lm.held_out(i):
+            count.update(w.decode() for w in lm.words_of(text))
+            count[None] += 1
+    words = [w for w in count if w is not None]
+    found = Counter(i for ids in pieces.processor.encode(words) for i in ids)
+    prior, n = brute_prior(pieces), sum(count.values())
+    strength = 0.5 * len(prior)
+    total = sum(found[k] for k in prior) + strength
+    p = {i: (found[i] + strength * q) / total for i, q in prior.items()}
+    weight = {s: math.log(p[i]) for s, i in pieces.ids.items()}
+
+    def every_way(word):
+        spelt = {c: math.fsum(math.log(p[pieces.byte_ids[b]]) for b in c.encode()) for c in word if c not in weight}
+        return all_segmentations(word, weight | spelt)
+
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+
+    def probability(word):
+        if word is None:                       # the end is no word: it has its own path only
+            return max(count[None] - d, 0) / n
+        return max(count[word] - d, 0) / n + d * len(count) / n * every_way(word)
+
+    known = {w: math.log10(probability(w)) for w in {w.decode() for _, t in rows for w in lm.words_of(t)} | {None}}
+    want = sorted((repr(i), round(sum(known[w] for w in [*(x.decode() for x in lm.words_of(t)), None]), 6)) for i, t in rows)
+    got = sorted((repr(r.doc_id), round(r.score, 6)) for r in lm.score_documents(docs, PATH, hot_words=hot).collect())
+    assert got == [(i, pytest.approx(s, abs=2e-6)) for i, s in want]
+
+
+def test_prior_follows_the_scores():
+    pieces = lm.load(PATH)
+    prior = pieces.prior()
+    assert math.fsum(prior.values()) == pytest.approx(1) and prior == pytest.approx(brute_prior(pieces))
+    by_score = sorted((i for i in pieces.ids.values() if pieces.processor.get_score(i) > -1e8), key=pieces.processor.get_score)
+    assert all(prior[a] < prior[b] for a, b in zip(by_score, by_score[1:]))
+
+    class LogProbabilities:
+        """Scores as a unigram file has them."""
+        ids, byte_ids = {"▁a": 0, "b": 1, "c": 2}, {65: 3}
+        processor = type("P", (), {"get_score": staticmethod([-0.5, -1.5, -2.25, 0.0].__getitem__)})
+
+    got = lm.Pieces.prior(LogProbabilities)
+    assert got[0] / got[1] == pytest.approx(math.e) and got[3] == got[2]
+
+
 def test_word_probabilities_sum_to_at_most_one(spark):
     with_words = lm.Mixture(total=100, distinct=30, discount=0.6)
     counts = [10] * 7 + [1] * 20 + [5] * 2     # 29 words and the end, 100 tokens
