@@ -56,9 +56,12 @@ def pivot_summary(df: DataFrame, index: str, value: str, digits: int = 6) -> Dat
     return g.unpivot([index], ["mean", "count", "sum"], "stat", "value")
 
 
-def crosstab(df: DataFrame, row: str, col: str, values: Mapping[str, str]) -> DataFrame:
-    """AG11: row x column counts; ``values`` maps pivot values to output names
-    (explicit values, so no extra distinct job; width is bounded by the caller)."""
+def crosstab(df: DataFrame, row: str, col: str, values: Mapping[str, str] | None = None) -> DataFrame:
+    """AG11: row x column counts; ``values`` maps pivot values to output names.  Without it the
+    values are those that occur, named ``col_value``; more than ``distinct_values`` allows raise."""
+    if values is None:
+        from tabularlab.operators.reshape import distinct_values
+        values = {v: f"{col}_{v}" for v in distinct_values(df, col)}
     p = df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1)))
     return p.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(name) for v, name in values.items()])
 

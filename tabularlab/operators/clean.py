@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Mapping, Sequence
 
@@ -91,11 +92,21 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
 
 def flatten_agg_names(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Sequence[str]],
                       sep: str = "_") -> DataFrame:
-    """PRJ14: multi-function aggregation whose output names are ``column_function``."""
+    """PRJ14: multi-function aggregation whose output names are ``column_function``.
+
+    Medians come from counted values (``exact_quantiles``), so that no task holds a group's values."""
+    from tabularlab.operators.quantiles import exact_median
     fns = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count,
-           "std": F.stddev_samp, "nunique": F.countDistinct, "median": F.median}
-    exprs = [fns[f](c).alias(f"{c}{sep}{f}") for c, fs in spec.items() for f in fs]
-    return df.groupBy(*keys).agg(*exprs)
+           "std": F.stddev_samp, "nunique": F.countDistinct}
+    wanted = [(c, f, f"{c}{sep}{f}") for c, fs in spec.items() for f in fs]
+    exprs = [fns[f](c).alias(name) for c, f, name in wanted if f != "median"]
+    out = df.groupBy(*keys).agg(*exprs) if exprs else df.select(*keys).distinct()
+    for c, f, name in wanted:
+        if f == "median":
+            m = exact_median(df, keys, c, name).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], name)
+            same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+            out = out.join(m, functools.reduce(lambda x, y: x & y, same, F.lit(True)), "left")
+    return out.select(*keys, *[name for _, _, name in wanted])
 
 
 def record_transpose(df: DataFrame, fields: Sequence[str] | None = None,

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FIXED_ROWS = 10_000          # rows of a lookup that may be broadcast
+
+
 class JoinValidationError(ValueError):
     pass
 
@@ -102,8 +105,10 @@ def unmatched_ratio(left: DataFrame, right: DataFrame, left_on: Sequence[str], r
 
 def enrich(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, fixed_size: bool = False) -> DataFrame:
     """JN10: attach lookup columns by key (left join).  ``fixed_size`` marks a
-    lookup whose size does not grow with the data and may be broadcast."""
-    lk = F.broadcast(lookup) if fixed_size else lookup
+    lookup whose size does not grow with the data: it is broadcast if it has no more than
+    ``FIXED_ROWS`` rows (counting stops there), and left to AQE otherwise."""
+    small = fixed_size and lookup.limit(FIXED_ROWS + 1).count() <= FIXED_ROWS
+    lk = F.broadcast(lookup) if small else lookup
     return df.join(lk, df[key] == lookup[lookup_key], "left")
 
 

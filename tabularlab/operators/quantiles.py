@@ -41,7 +41,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                                           & (x["rank"] <= F.col("_off") + F.col("_w")))) \
         .where(F.size("_ps") > 0).select(*keys, "_pid", "_off", "_ps")
     running = F.col("_off") + F.sum("_c").over(Window.partitionBy(*keys, "_pid").orderBy("_v"))
-    found = ranged.join(held, [*keys, "_pid"]).withColumn("_run", running).select(
+    # null-safe: rows without a key are a group like any other
+    held = held.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_hp"), "_off", "_ps")
+    same = F.col("_pid") == F.col("_hp")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    found = ranged.join(held, same).withColumn("_run", running).select(
         *keys, "_v", F.explode(F.filter("_ps", lambda x: (x["rank"] <= F.col("_run"))
                                         & (x["rank"] > F.col("_run") - F.col("_c")))).alias("_p"))
     picks = [F.max(F.when(F.col("_p.i") == k, F.col("_v"))).alias(f"_v{k}") for k in range(2 * len(probs))]

@@ -36,11 +36,8 @@ def densify(facts: DataFrame, series: DataFrame, keys: Sequence[str], time_col:
     # The series list is small but fans out (x periods, then x levels downstream):
     # spread it over an explicit number of partitions, which AQE keeps, instead of
     # letting a tiny shuffle be coalesced into one task that then does all the work.
-    try:
-        n = series.sparkSession.sparkContext.defaultParallelism   # all cores of the cluster
-    except Exception:
-        n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    series = series.repartition(n, *keys)
+    # The number is the shuffle-partition setting, which is chosen by the data's size.
+    series = series.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     spine = series.select(*keys, F.explode(F.sequence(_as_col(start).cast(tt), _as_col(stop).cast(tt))).alias(time_col))
     out = spine.join(facts, on=[*keys, time_col], how="left")
     if fill:

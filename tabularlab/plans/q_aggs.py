@@ -142,7 +142,9 @@ select o_orderstatus, """ + ", ".join(f"count(*) filter (where o_orderpriority =
 from orders group by o_orderstatus
 having count(*) filter (where o_orderpriority = '1-URGENT') > 0 and count(*) filter (where o_orderpriority = '5-LOW') > 0""")
 def ag11(spark, sf):
-    ct = A.crosstab(Tables(spark, sf).orders, "o_orderstatus", "o_orderpriority", PRIORITIES)
+    orders = Tables(spark, sf).orders
+    named = orders.withColumn("p", F.replace(F.lower(F.substring_index("o_orderpriority", "-", -1)), F.lit(" "), F.lit("_")))
+    ct = A.crosstab(named, "o_orderstatus", "p")          # the priorities that occur
     return ct.where((F.col("p_urgent") > 0) & (F.col("p_low") > 0))
 
 

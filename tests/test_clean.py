@@ -46,3 +46,34 @@ def test_record_transpose(df):
 def test_value_counts_keep_nulls(df):
     got = {r.cat: r["count"] for r in A.value_counts(df, "cat", dropna=False).collect()}
     assert got == {"a": 1, "b": 1, None: 1}
+
+
+def test_medians_beside_other_functions_and_null_groups(spark):
+    rows = [("a", 1.0), ("a", 4.0), ("a", None), (None, 2.0), (None, 3.0), (None, 9.0), ("b", None)] + [("hot", 5.0)] * 500 + [("hot", 7.0)]
+    t = spark.createDataFrame(rows, "k string, v double")
+    got = C.flatten_agg_names(t, ["k"], {"v": ["max", "median", "count"]})
+    assert got.columns == ["k", "v_max", "v_median", "v_count"]
+    assert {tuple(r) for r in got.collect()} == {("a", 4.0, 2.5, 2), (None, 9.0, 3.0, 3), ("b", None, None, 0), ("hot", 7.0, 5.0, 501)}
+    assert "Percentile" not in got._jdf.queryExecution().toString() and "Median" not in got._jdf.queryExecution().toString()
+    assert C.flatten_agg_names(t, [], {"v": ["median", "min"]}).collect() == [(5.0, 1.0)]
+    assert {tuple(r) for r in C.flatten_agg_names(t, ["k"], {"v": ["median"]}).collect()} == {("a", 2.5), (None, 3.0), ("b", None), ("hot", 5.0)}
+
+
+def test_crosstab_of_the_values_that_occur(spark):
+    t = spark.createDataFrame([("x", "p"), ("x", "q"), ("x", "q"), ("y", "p"), ("y", None)], "r string, c string")
+    assert {tuple(r) for r in A.crosstab(t, "r", "c").collect()} == {("x", 1, 2), ("y", 1, 0)}
+    assert A.crosstab(t, "r", "c").columns == ["r", "c_p", "c_q"]
+
+
+def test_lookups_are_broadcast_by_their_counted_size(spark, monkeypatch):
+    from tabularlab.operators import joins as J
+    left = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "id long, k long")
+    lookup = spark.createDataFrame([(10, "ten"), (20, "twenty")], "n long, name string")
+    got = {r.id: r.name for r in J.enrich(left, lookup, "k", "n", fixed_size=True).collect()}
+    assert got == {1: "ten", 2: None, 3: None}
+    plan = J.enrich(left, lookup, "k", "n", fixed_size=True)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan
+    monkeypatch.setattr(J, "FIXED_ROWS", 1)
+    wide = J.enrich(left, lookup, "k", "n", fixed_size=True)
+    assert "broadcast" not in wide._jdf.queryExecution().analyzed().toString()
+    assert {r.id: r.name for r in wide.collect()} == got
