@@ -111,21 +111,31 @@ def extreme_rows(df: DataFrame, value: str, tiebreak: str, cols: Sequence[str])
                     .alias("x")).select("x.kind", "x.row.*")
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of the rows that have both values: null without such rows, NaN if either value
+    never varies (``corr`` divides by zero there, which ends the query under ANSI rules)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y)))
+    cov = F.covar_pop(x, y)
+    return F.when(cov.isNotNull(), F.coalesce(F.try_divide(cov, spread), F.lit(float("nan"))))
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """AG17: pairwise-complete Pearson correlation for every pair a <= b, long form,
     all pairs computed in one aggregation pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    one = df.agg(*[correlation(a, b).alias(f"{a}__{b}") for a, b in pairs])
     rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                      F.round(F.col(f"{a}__{b}"), digits).alias("corr")) for a, b in pairs]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def strongest_pairs(corr_long: DataFrame) -> DataFrame:
-    """AG19: strongest positive and strongest negative off-diagonal pair, in one aggregation."""
+    """AG19: strongest positive and strongest negative off-diagonal pair, in one aggregation.
+    NaN is above every number, as in the order of both engines."""
     off = corr_long.where((F.col("col_a") < F.col("col_b")) & F.col("corr").isNotNull())
     row = F.struct("col_a", "col_b", "corr")
-    one = off.agg(F.min_by(row, F.struct(-F.col("corr"), F.col("col_a"), F.col("col_b"))).alias("positive"),
+    one = off.agg(F.min_by(row, F.struct(~F.isnan("corr"), -F.col("corr"), F.col("col_a"), F.col("col_b"))).alias("positive"),
                   F.min_by(row, F.struct("corr", "col_a", "col_b")).alias("negative"))
     return one.select(F.explode(F.array(*[F.struct(F.col(k).alias("row"), F.lit(k).alias("kind"))
                                           for k in ("positive", "negative")])).alias("r")) \

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabularlab.operators.aggs import correlation
 from tabularlab.operators.hierarchy import level_sums
 from tabularlab.operators.series import first_difference
 from tabularlab.session import materialize
@@ -154,7 +155,7 @@ def screen_models(pred: DataFrame, key: str, model: str, prob: str, train_rate,
     rates = pred.groupBy(model).agg(F.avg((F.col(prob) > threshold).cast("double")).alias("_pos"))
     a = pred.select(key, F.col(model).alias("m1"), F.col(prob).alias("p1"))
     b = pred.select(key, F.col(model).alias("m2"), F.col(prob).alias("p2"))
-    pairs = a.join(b, key).where(F.col("m1") != F.col("m2")).groupBy("m1", "m2").agg(F.corr("p1", "p2").alias("_c"))
+    pairs = a.join(b, key).where(F.col("m1") != F.col("m2")).groupBy("m1", "m2").agg(correlation("p1", "p2").alias("_c"))
     mc = pairs.groupBy(F.col("m1").alias(model)).agg(F.avg("_c").alias("_mc"))
     dist = F.abs(F.col("_pos") - train_rate)
     return rates.join(mc, model).select(model, F.round(dist, digits).alias("rate_distance"),

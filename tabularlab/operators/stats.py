@@ -8,6 +8,7 @@ column expressions with the small inverse matrix inlined as literals.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularlab.functions.distributions import f_sf, t_quantile, t_two_sided_p
+from tabularlab.operators.aggs import correlation
 
 
 def term_column(term: Sequence[str] | str) -> Column:
@@ -203,12 +205,15 @@ def univariate_f_test(df: DataFrame, y: str, xs: Sequence[str], digits: int = 6)
     aggs = []
     for x in xs:
         ok = F.col(x).isNotNull() & F.col(y).isNotNull()
-        aggs += [F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"{x}__r"),
+        aggs += [correlation(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"{x}__r"),
                  F.count_if(ok).alias(f"{x}__n")]
     r = df.agg(*aggs).first()
     rows = []
     for x in xs:
         rr, n = r[f"{x}__r"], r[f"{x}__n"]
+        if rr is not None and math.isnan(rr):            # a value that never varies
+            rows.append((x, rr, rr))
+            continue
         f = rr * rr / (1 - rr * rr) * (n - 2) if rr is not None and abs(rr) < 1 else float("inf")
         rows.append((x, round(f, digits), f_sf(f, 1, n - 2)))
     return df.sparkSession.createDataFrame(rows, "feature string, f_stat double, p_value double")

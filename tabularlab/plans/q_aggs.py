@@ -210,7 +210,7 @@ union all select 'top_minus_bottom', round(
   - (select corr(p_size, p_retailprice) from (select * from part order by p_retailprice, p_partkey limit 100)), 6)""")
 def ag18(spark, sf):
     p = Tables(spark, sf).part
-    corr = lambda df: df.agg(F.corr("p_size", "p_retailprice").alias("c"))
+    corr = lambda df: df.agg(A.correlation("p_size", "p_retailprice").alias("c"))
     top = corr(O.top_k(p, [F.col("p_retailprice").desc(), "p_partkey"], 100)).scalar()
     bottom = corr(O.top_k(p, ["p_retailprice", "p_partkey"], 100)).scalar()
     one = corr(p).select(F.col("c").alias("all"), top.alias("top100"), bottom.alias("bottom100"), (top - bottom).alias("top_minus_bottom"))

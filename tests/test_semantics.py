@@ -171,3 +171,26 @@ def test_one_partition_equals_many(spark):
     assert one == many
     one, many = both(lambda d: top_words(d, "lang", "text", 5), t.documents)
     assert one == many
+
+
+def test_correlation_with_a_value_that_never_varies(spark):
+    import math
+
+    from tabularlab.operators.aggs import correlation, correlation_matrix
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, 5.0, 1.0), (4.0, 5.0, None), (None, 7.0, 3.0)], "x double, c double, y double")
+    got = {(r.col_a, r.col_b): r.corr for r in correlation_matrix(df, ["x", "c", "y"]).collect()}
+    assert math.isnan(got["x", "c"]) and got["x", "x"] == 1 and got["x", "y"] == -1         # c is 5 wherever x is known
+    assert got["c", "y"] == round(float(np.corrcoef([5, 5, 7], [2, 1, 3])[0, 1]), 6)
+    assert df.where("x is null").agg(correlation("x", "y").alias("r")).first().r is None
+
+
+def test_target_correlation_of_parts_with_one_price(spark, tmp_path):
+    """More equal prices than the hundred rows taken from either end."""
+    import math
+
+    from tabularlab.plans.q_aggs import ag18
+    rows = [(i, i % 50 + 1, 900.0 if i < 150 else 999.9) for i in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.subset: r["corr"] for r in ag18(spark, str(tmp_path)).collect()}
+    assert math.isnan(got["top100"]) and math.isnan(got["bottom100"]) and math.isnan(got["top_minus_bottom"])
+    assert not math.isnan(got["all"])
