@@ -13,12 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularlab.session import materialize, scratch_path, track
+from tabularlab.session import materialize, one_row_batches, scratch_path, track
 
 # ---------------------------------------------------------------- ML8 exact k-NN
 
 
 MAX_CELLS = 1024             # bounds the table of centres that every task holds
+QUERY_BYTES = 1 << 20        # of packed vectors that travel as one group of queries
+CANDIDATE_BYTES = 16 << 20   # and as one group of candidates
 
 
 def _distances(a, c):
@@ -54,6 +56,52 @@ def _vectors(column, rows: int):
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
+def _nearest(q, kth, x, cc, pid, k: int):
+    """(query row, candidate row, squared distance) of each query's k nearest candidates within ``kth``, ties to the
+    smaller id.  The candidates pass in chunks that grow, so later chunks meet limits that the earlier ones have set."""
+    import numpy as np
+    q = q.astype(np.float64)
+    qq, limit = np.einsum("ij,ij->i", q, q), kth.copy()
+    # single precision finds what to measure, unless its range could overflow; the measures are doubles
+    kind = np.float32 if qq.max() + cc.max() < 1e30 else np.float64
+    slack = max((q.shape[1] + 8) * float(np.finfo(kind).eps), 1e-9) * (qq + cc.max() + 1.0)
+    left, norm = (-2.0 * q).astype(kind), cc.astype(kind)
+    row, col, d2 = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    at, size = 0, 1024
+    while at < len(x):
+        near = left @ x[at:at + size].astype(kind, copy=False).T
+        near += norm[at:at + size]
+        r, c = np.nonzero(near <= (limit - qq + slack).astype(kind)[:, None])
+        c += at
+        diff = q[r] - x[c]
+        row, col, d2 = np.concatenate([row, r]), np.concatenate([col, c]), np.concatenate([d2, np.einsum("ij,ij->i", diff, diff)])
+        order = np.lexsort((pid[col], d2, row))
+        row, col, d2 = row[order], col[order], d2[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        last = rank == k - 1
+        limit[row[last]] = np.minimum(limit[row[last]], d2[last])
+        row, col, d2 = row[rank < k], col[rank < k], d2[rank < k]
+        at, size = at + size, min(4 * size, 16_384)
+    return row, col, d2
+
+
+def _groups(rows, parts, most: int):
+    """(first group, blocks a group) of each cell: consecutive cells share a group of at most ``most`` rows; a cell of more is split."""
+    import numpy as np
+    first, per, group, held = [], [], 0, 0
+    for n, p in zip(rows, parts):
+        if held and held + n > most:
+            group, held = group + 1, 0
+        each = max(1, most * p // n)
+        first.append(group)
+        per.append(each)
+        if p > each:
+            group, held = group + -(-p // each), 0
+        else:
+            held += n
+    return np.array(first), np.array(per)
+
+
 def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5, block_rows: int = 256,
                  compared: list | None = None) -> DataFrame:
     """Exact k-nearest-neighbour majority vote (every row is also a query and
@@ -65,15 +113,17 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
     row number, so equal vectors do not fill one block.  A block is one row of packed vectors.
     Each block first finds every query's k-th distance t among its own rows.  By the triangle
     inequality a cell whose centre is further than t + radius holds no better neighbour, so a block meets only
-    the blocks of cells that one of its queries can reach: an equi-join of packed blocks on
-    the block number, one numpy product per pair.  Only candidates within t travel on.  ``compared``
-    takes the share of block pairs compared: small on clustered data, near 1 on isotropic data.
+    the cells that one of its queries can reach.  Blocks travel in groups of neighbouring cells (``QUERY_BYTES``,
+    ``CANDIDATE_BYTES``): an equi-join on the group number, so what is exchanged grows with the groups met, not with
+    the pairs of blocks; within a pair of groups only the cells met are compared.  Only candidates within t travel on.
+    ``compared`` takes the share of block pairs compared: small on clustered data, near 1 on isotropic data.
     """
     import numpy as np
     import pyarrow as pa
     data = df.select(F.col(id_col).cast("long").alias("_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("_v"),
                      F.col(label_col).cast("long").alias("_label"))
     kind = df.schema[label_col].dataType
+    single = df.schema[vec_col].dataType.elementType.typeName() == "float"       # kept as narrow as it comes
     n = data.count()
     if not n:
         return df.select(id_col, label_col, F.lit(None).cast(kind).alias("pred"))
@@ -92,23 +142,32 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
                          .withColumn("_row", F.monotonically_increasing_id()), "knn-rows")
     known = {r._cell: r for r in placed.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("far")).collect()}   # a row per cell
     used = sorted(known)
-    parts = [-(-known[c].n // block_rows) for c in used]
+    parts = np.array([-(-known[c].n // block_rows) for c in used])
     first = np.concatenate([[0], np.cumsum(parts)])          # a cell's blocks are first[i] ... first[i + 1] - 1
+    width = centres.shape[1] * (4 if single else 8)
+    rows = [known[c].n for c in used]
+    asks, ask_per = _groups(rows, parts, max(block_rows, QUERY_BYTES // max(width, 1)))
+    group, per = _groups(rows, parts, max(block_rows, CANDIDATE_BYTES // max(width, 1)))
     spark = df.sparkSession
-    table = spark.createDataFrame([(c, int(f), p) for c, f, p in zip(used, first, parts)], "_cell int, _first int, _parts int")
-    block = F.col("_first") + F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int")
-    blocks = materialize(placed.join(F.broadcast(table), "_cell").groupBy(block.alias("_b")).agg(
-        F.collect_list(F.struct("_id", "_label", "_v")).alias("r")).select(
-        "_b", F.col("r._id").alias("_id"), F.col("r._label").alias("_label"), F.flatten("r._v").alias("_x")), "knn-blocks")
+    table = spark.createDataFrame([(c, i, *(int(a[i]) for a in (first, parts, asks, ask_per, group, per))) for i, c in enumerate(used)],
+                                  "_cell int, _at int, _first int, _parts int, _asks int, _askper int, _group int, _per int")
+    part = F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int")
+    dealt = placed.join(F.broadcast(table), "_cell").withColumn("_p", part).select(
+        (F.col("_first") + F.col("_p")).alias("_b"), "_at", (F.col("_asks") + F.expr("_p div _askper")).cast("int").alias("_ask"),
+        (F.col("_group") + F.expr("_p div _per")).cast("int").alias("_group"), F.struct("_id", "_label", "_v").alias("r"))
+    packed = F.flatten(F.col("r._v")).cast(f"array<{'float' if single else 'double'}>")
+    blocks = materialize(dealt.groupBy("_b", "_at", "_ask", "_group").agg(F.collect_list("r").alias("r")).select(
+        "_b", "_at", "_ask", "_group", F.col("r._id").alias("_id"), F.col("r._label").alias("_label"), packed.alias("_x")), "knn-blocks")
     centre, radius = centres[used], np.array([known[c].far for c in used])
+    ends = group + (parts - 1) // per                        # a cell's last group
 
     def reach(batches):
-        """The query side: each block's vectors, k-th squared distances and the blocks it has to meet."""
+        """The query side: each block's vectors, k-th squared distances, the cells it has to meet and their groups."""
         for b in batches:
-            out = []
             for i in range(b.num_rows):
                 ids = b.column(1)[i].values.to_numpy(zero_copy_only=False)
-                x = b.column(3)[i].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                packed = b.column(2)[i].values
+                x = packed.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
                 row, _, d2 = _top_of_block(x, x, ids, k)
                 kth = np.full(len(x), np.inf)
                 full = np.bincount(row, minlength=len(x)) >= k
@@ -117,28 +176,53 @@ def knn_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: in
                 away = _distances(x, centre)
                 slack = 1e-6 * (1.0 + away.max() + radius)
                 met = np.flatnonzero((away - radius - slack <= np.sqrt(kth)[:, None]).any(axis=0))
-                out.append((ids, x.ravel(), kth, np.concatenate([np.arange(first[c], first[c + 1]) for c in met])))
-            for at, (ids, x, kth, met) in enumerate(out):
+                to = np.unique(np.concatenate([np.empty(0, np.int64), *(np.arange(group[c], ends[c] + 1) for c in met)]))
+                one = lambda v, t: pa.array([v], pa.list_(t))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([b.column(0)[at].as_py()], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([x], pa.list_(pa.float64())),
-                    pa.array([kth], pa.list_(pa.float64())), pa.array([met.astype(np.int32)], pa.list_(pa.int32()))],
-                    names=["_q", "_qid", "_qx", "_kth", "_met"])
-
-    asked = materialize(blocks.mapInArrow(reach, "_q int, _qid array<long>, _qx array<double>, _kth array<double>, _met array<int>"), "knn-asked")
+                    b.column(0).slice(i, 1), one(ids, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), packed),
+                    one(kth, pa.float64()), one(met.astype(np.int32), pa.int32()), one(to.astype(np.int32), pa.int32()),
+                    pa.array([int(parts[met].sum())], pa.int64())],
+                    names=["_ask", "_qid", "_qx", "_kth", "_met", "_to", "_n"])
+
+    kept = "float" if single else "double"
+    with one_row_batches(spark):
+        asked = materialize(blocks.select("_ask", "_id", "_x").mapInArrow(
+            reach, f"_ask int, _qid array<long>, _qx array<{kept}>, _kth array<double>, _met array<int>, _to array<int>, _n long"), "knn-asked")
     if compared is not None:
-        compared.append(asked.agg(F.sum(F.size("_met"))).first()[0] / int(first[-1]) ** 2)
-    pairs = asked.withColumn("_b", F.explode("_met")).drop("_met").join(blocks, "_b") \
-        .select("_qid", "_qx", "_kth", "_id", "_label", "_x")
+        compared.append(asked.agg(F.sum("_n")).first()[0] / int(first[-1]) ** 2)
+    # a group of candidates comes in as many copies as let all cores share its work
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    copies = max(1, -(-tasks // int(ends.max() + 1)))
+    queries = asked.groupBy("_ask").agg(F.collect_list(F.struct("_qid", "_qx", "_kth", "_met")).alias("_q"),
+                                        F.array_distinct(F.flatten(F.collect_list("_to"))).alias("_to")) \
+        .select("_q", F.explode("_to").alias("_group"), F.pmod("_ask", F.lit(copies)).alias("_copy")).repartition(tasks, "_group", "_copy")
+    candidates = blocks.groupBy("_group").agg(F.collect_list(F.struct("_at", "_id", "_label", "_x")).alias("_c")) \
+        .select("_group", "_c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy")).repartition(tasks, "_group", "_copy")
+    pairs = queries.join(candidates, ["_group", "_copy"]).select("_q", "_c")
 
     def compare(batches):
         for b in batches:
             for i in range(b.num_rows):
-                qid, qx, kth, pid, plabel, x = (c[i].values.to_numpy(zero_copy_only=False) for c in b.columns)
-                row, col, d2 = _top_of_block(qx.reshape(len(qid), -1), x.reshape(len(pid), -1), pid, k, kth)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(pid[col]), pa.array(plabel[col]), pa.array(d2)],
-                                                 names=["_id", "_pid", "_plabel", "_d2"])
-
-    found = pairs.mapInArrow(compare, "_id long, _pid long, _plabel long, _d2 double")
+                asks, c = b.column(0)[i].values, b.column(1)[i].values
+                flat = lambda a: a.flatten().to_numpy(zero_copy_only=False)
+                pid, label = flat(c.field("_id")), flat(c.field("_label"))
+                cell = np.repeat(c.field("_at").to_numpy(zero_copy_only=False), c.field("_id").value_lengths().to_numpy(zero_copy_only=False))
+                x = flat(c.field("_x")).reshape(len(pid), -1)
+                cc = np.einsum("ij,ij->i", x, x, dtype=np.float64)
+                for j in range(len(asks)):
+                    qid, qx, kth, met = (asks.field(f)[j].values.to_numpy(zero_copy_only=False) for f in ("_qid", "_qx", "_kth", "_met"))
+                    use = np.zeros(len(used), bool)
+                    use[met] = True
+                    at = np.flatnonzero(use[cell])
+                    if not len(at):
+                        continue
+                    mine = (x, cc, pid) if len(at) == len(x) else (x[at], cc[at], pid[at])
+                    row, col, d2 = _nearest(qx.reshape(len(qid), -1), kth, *mine, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(pid[at[col]]), pa.array(label[at[col]]), pa.array(d2)],
+                                                     names=["_id", "_pid", "_plabel", "_d2"])
+
+    with one_row_batches(spark):         # a row is a pair of groups
+        found = materialize(pairs.mapInArrow(compare, "_id long, _pid long, _plabel long, _d2 double"), "knn-found")
     w = Window.partitionBy("_id").orderBy("_d2", "_pid")
     near = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     votes = near.groupBy("_id", "_plabel").agg(F.count(F.lit(1)).alias("_votes"))

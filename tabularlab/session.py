@@ -11,6 +11,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -83,6 +84,18 @@ def materialize(df, name: str = "stage"):
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def one_row_batches(spark: SparkSession):
+    """Rows go to Python one by one in what runs while this holds: for rows that are whole blocks of work."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _written: list[str] = []     # tables that materialize() has written in this process
 
 
