@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tabularlab.session import materialize
 
 BINS = 32
-COUNT_BYTES = 256 << 20
-BLOCK_ROWS = 1 << 15         # rows that a task works on at once
+COUNT_BYTES = 128 << 20
+BLOCK_ROWS = 1 << 12         # rows that a task works on at once, in every tree of a forest
 ALL_ROWS = -1                # the fold that leaves nothing out
 OTHER_ROWS = -2              # fold of rows that no forest learns from
 
@@ -106,7 +106,7 @@ def bin_features(data: DataFrame, names: Sequence[str], label: str, fold: str, k
 
 
 def blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
-    """(x, y, fold, key, batch rows) in blocks of at least ``BLOCK_ROWS`` rows, but for the last."""
+    """(x, y, fold, key, batch rows) in blocks of at least ``BLOCK_ROWS`` rows, but for the last, and of less than twice as many."""
     held: list[pa.RecordBatch] = []
 
     def block():
@@ -114,12 +114,12 @@ def blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
         x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.uint8).reshape(-1, width)
         return x, t.column("y").to_numpy(), t.column("fold").to_numpy(), t.column("key").to_numpy(), t
 
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-        if sum(h.num_rows for h in held) >= BLOCK_ROWS:
-            yield block()
-            held = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            held.append(batch.slice(at, BLOCK_ROWS))
+            if sum(h.num_rows for h in held) >= BLOCK_ROWS:
+                yield block()
+                held = []
     if held:
         yield block()
 

@@ -103,3 +103,18 @@ def test_growth_does_not_depend_on_partitions(spark, binned):
     a = FO.grow_forests(binned.coalesce(1), v, [1], 4, 3, 4, bins=8)
     b = FO.grow_forests(binned.repartition(7), v, [1], 4, 3, 4, bins=8)
     assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.counts == b.counts).all()
+
+
+def test_blocks_are_bounded_for_batches_of_any_size(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(FO, "BLOCK_ROWS", 100)
+
+    def batch(start, n):
+        ids = np.arange(start, start + n)
+        return pa.RecordBatch.from_arrays([pa.array([bytes([i % 7, 1]) for i in ids], pa.binary()), pa.array(ids % 2), pa.array(ids % 5), pa.array(ids)],
+                                          names=["x", "y", "fold", "key"])
+
+    got = list(FO.blocks(iter([batch(0, 30), batch(30, 0), batch(30, 1050), batch(1080, 5)]), 2))
+    assert max(len(b[0]) for b in got) < 200 and min(len(b[0]) for b in got[:-1]) >= 100
+    assert np.concatenate([b[3] for b in got]).tolist() == list(range(1085))
+    assert np.concatenate([b[0][:, 0] for b in got]).tolist() == [i % 7 for i in range(1085)]
