@@ -115,22 +115,63 @@ def bag_of_words(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 INDEX_BROADCAST_ROWS = 200_000    # vocabularies up to this size travel to the tokens
 
 
+LOOKUP_ROWS = 4_000_000           # and, as hash and number (12 bytes each), larger ones that hold every token
+
+
 def encode_sequences(tokens: DataFrame, doc: str, index: DataFrame, drop_unknown: bool = True,
-                     unknown_id: int = 0) -> DataFrame:
+                     unknown_id: int = 0, complete: bool = False) -> DataFrame:
     """TX6/TX9: each document's tokens replaced by their index, in text order:
     (doc, seq array<int>).  The per-document array holds one document.
 
     The index is broadcast when its counted size allows; beyond that both sides
-    are shuffled and merged.  The exploded tokens are never broadcast."""
+    are shuffled and merged.  The exploded tokens are never broadcast.  An index that holds every
+    token (``complete``) is looked up by hashes, counted to be distinct, and tokens are not exploded."""
+    small = index.select("token", F.col("idx").cast("int").alias("idx"))
+    rows = index.count()
+    if complete and rows > INDEX_BROADCAST_ROWS:
+        hashed = small.where(F.col("token").isNotNull()).select(F.xxhash64("token").alias("h"), "idx")
+        told = hashed if drop_unknown else hashed.where(F.col("idx") != unknown_id)
+        if told.count() <= LOOKUP_ROWS and hashed.count() == hashed.select("h").distinct().count():
+            return _looked_up(tokens, doc, told, drop_unknown, unknown_id)
     toks = tokens.select(doc, F.posexplode("tokens").alias("pos", "token"))
     how = "inner" if drop_unknown else "left"
-    small = index.select("token", F.col("idx").cast("int").alias("idx"))
-    small = F.broadcast(small) if index.count() <= INDEX_BROADCAST_ROWS else small.hint("merge")
+    small = F.broadcast(small) if rows <= INDEX_BROADCAST_ROWS else small.hint("merge")
     j = toks.join(small, "token", how).withColumn("idx", F.coalesce("idx", F.lit(unknown_id)))
     seq = j.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_s"))
     return seq.select(doc, F.transform("_s", lambda s: s["idx"]).alias("seq"))
 
 
+def _looked_up(tokens: DataFrame, doc: str, told: DataFrame, drop_unknown: bool, unknown_id: int) -> DataFrame:
+    """The same sequences by a table (h, idx) of hashes that travels to the tasks; only numbers are shuffled."""
+    import numpy as np
+    import pyarrow as pa
+    held = told.toArrow()
+    h, idx = held.column(0).to_numpy(), held.column(1).to_numpy()
+    order = np.argsort(h)
+    known = tokens.sparkSession.sparkContext.broadcast((h[order], idx[order]))
+
+    def run(batches):
+        h, idx = known.value
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(h, flat), max(len(h) - 1, 0))
+            hit = h[at] == flat if len(h) else np.zeros(len(flat), bool)
+            found = np.where(hit, idx[at], unknown_id).astype("i4") if len(h) else np.full(len(flat), unknown_id, "i4")
+            offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype("i4")
+            seq = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found, mask=~hit if drop_unknown else None))
+            yield pa.RecordBatch.from_arrays([b.column(0), seq], names=["doc", "seq"])
+
+    kind = tokens.schema[doc].dataType.simpleString()
+    rows = tokens.select(F.col(doc).alias("doc"), F.transform("tokens", lambda w: F.xxhash64(w)).alias("t")) \
+        .mapInArrow(run, f"doc {kind}, seq array<int>")
+    # rows of one document are merged by position
+    placed = F.flatten(F.transform("s", lambda one: F.transform(one, lambda x, i: F.struct(i.alias("pos"), x.alias("idx")))))
+    merged = F.when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise(F.transform(F.array_sort(placed), lambda x: x["idx"]))
+    seq = F.filter(merged, lambda x: x.isNotNull()) if drop_unknown else merged
+    return rows.groupBy("doc").agg(F.collect_list("seq").alias("s")).select(F.col("doc").alias(doc), seq.alias("seq")).where(F.size("seq") > 0)
+
+
 def pad_sequences(seq: Column, length: int) -> Column:
     """TX7: keep the tail, left-pad with zeros to ``length``."""
     return pad_left(seq, length, 0)
@@ -139,11 +180,14 @@ def pad_sequences(seq: Column, length: int) -> Column:
 def training_windows(df: DataFrame, doc: str, seq: str, length: int) -> DataFrame:
     """TX8: (doc, start, window, target) with target = the window one step later
     (null when it would cross the end of the document)."""
-    w = df.select(doc, seq, F.posexplode(sliding_windows(F.col(seq), length)).alias("start", "window"))
+    # the sequence itself is not repeated beside each of its windows; a target is the next window
+    pairs = F.transform(sliding_windows(F.col(seq), length + 1), lambda w: F.struct(
+        F.slice(w, 1, length).alias("window"), F.slice(w, 2, length).alias("target")))
     n = F.size(F.col(seq))
-    return w.select(doc, (F.col("start") + 1).alias("start"), "window",
-                    F.when(F.col("start") + 1 + length <= n, F.slice(F.col(seq), F.col("start") + 2, length))
-                    .alias("target"))
+    last = F.when(n >= length, F.array(F.struct(F.slice(F.col(seq), n - length + 1, length).alias("window"),
+                                                F.lit(None).cast(df.schema[seq].dataType).alias("target"))))
+    w = df.select(doc, F.posexplode(F.concat(pairs, last)).alias("start", "w"))
+    return w.select(doc, (F.col("start") + 1).alias("start"), "w.window", "w.target")
 
 
 def fold_rare_tokens(counts: DataFrame, max_count: int, token: str = "token") -> DataFrame:

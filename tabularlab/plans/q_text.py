@@ -89,7 +89,7 @@ def _index(d):
 
 def _sequences(d):
     tokens = _tokens(d)
-    return TX.encode_sequences(tokens, "doc_id", TX.fit_vocabulary(TX.counts_of(tokens)))
+    return TX.encode_sequences(tokens, "doc_id", TX.fit_vocabulary(TX.counts_of(tokens)), complete=True)
 
 
 @register("tx6_token_index", INDEX_SQL)
@@ -142,7 +142,7 @@ from w""")
 def tx8(spark, sf):
     tokens = _tokens(Tables(spark, sf).documents)
     idx = materialize(TX.fold_rare_tokens(TX.counts_of(tokens), 2), "folded")
-    seqs = TX.encode_sequences(tokens, "doc_id", idx, drop_unknown=False)
+    seqs = TX.encode_sequences(tokens, "doc_id", idx, drop_unknown=False, complete=True)
     w = TX.training_windows(seqs, "doc_id", "seq", WINDOW)
     return w.select("doc_id", "start", F.array_join("window", ",").alias("window"), F.array_join("target", ",").alias("target"))
 
