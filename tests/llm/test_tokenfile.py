@@ -75,3 +75,33 @@ def test_caches_stay_bounded(monkeypatch):
     for i in range(20):
         code.encode([" ".join(f"w{i}x{j}" for j in range(40))])
     assert len(code.known) <= 90
+
+
+def test_new_stretches_go_to_the_library_joined_and_words_once(library):
+    """Thousands of new stretches are a few texts for the library, whose results are large; a mark makes no new stretch."""
+    code, rng, asked = tokenfile.Stretches(PATH), random.Random(4), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    code.library = Counting()
+    words = ["".join(rng.choice("abcdeé9") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts = [rng.choice([" ", "\n", ". "]).join(rng.sample(words, 200)) + rng.choice(["", ".", "\n", "?!", "\0"]) for _ in range(60)]
+    for text, got in zip(texts, code.encode(texts)):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert got == struct.pack(f"<{len(ids)}I", *ids), text
+    assert len(asked) < 200
+    before = len(code.known)
+    code.encode([f"{words[0]} {w}{m}" for w in words[:500] if w[-1] != "é" for m in tokenfile.MARKS])
+    assert len(code.known) - before <= 600
+
+
+def test_rows_go_to_python_by_bytes(spark):
+    """Batches are bounded by bytes, not by ten thousand rows, and the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with tokenfile.small_batches(spark):
+        assert int(spark.conf.get(name)) == tokenfile.BATCH_BYTES < 8 << 20
+    assert spark.conf.get(name) == before
