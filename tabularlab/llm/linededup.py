@@ -185,13 +185,16 @@ def near_lines(lines: DataFrame, scratch: Scratch, max_edits: int = MAX_EDITS, m
     sized = lines.withColumn("n", F.length("line"))
     first, keys, shorter = segment_keys(F.col("line"), F.col("n"), rule)
 
-    def keyed(some: DataFrame, keys: Column) -> DataFrame:
+    def keyed(some: DataFrame, k: Column) -> DataFrame:
         return some.select("line", "n", place(F.col("doc_id"), F.col("pos")).alias("at"), hash1(F.col("line")).alias("h1"),
-                           F.explode(keys).alias("k")).select("line", "n", "at", "h1", "k.key", "k.own", "k.seg")
-
-    long = keyed(sized.where(F.col("n") >= first), keys)
-    if shorter is not None:     # apart, so that Spark does not compute the long lines' keys once more as a filter
-        long = long.unionByName(keyed(sized.where((F.col("n") >= rule[0][0]) & (F.col("n") < first)), shorter))
+                           k.alias("k")).select("line", "n", "at", "h1", "k.key", "k.own", "k.seg")
+
+    # lines of single bytes are cut as bytes, which gives the same keys: a substring of characters walks the line from its start
+    plain = (F.col("n") >= first) & (F.octet_length("line") == F.col("n"))
+    long = keyed(sized.where(plain), F.explode(segment_keys(F.col("line").cast("binary"), F.col("n"), rule)[1]))
+    # none of these arrays is empty; were empty ones to be left out, Spark would compute the keys once more as a filter
+    others = keys if shorter is None else F.when(F.col("n") >= first, keys).otherwise(shorter)
+    long = long.unionByName(keyed(sized.where((F.col("n") >= rule[0][0]) & ~plain), F.explode_outer(others)))
     # a key matters if two different lines have it, one of them as a segment of its own
     shared = scratch.table(long.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("own").alias("own"))
                            .where("a <> b and own").select("key"), "shared")

@@ -159,3 +159,23 @@ def test_near_equal_long_text(spark):
 def test_main_path_has_no_python(spark):
     plan = linededup.drop_lines(cases.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_lines_of_single_bytes_are_cut_as_bytes(spark, monkeypatch):
+    """Their keys are those of the characters, so they meet lines with longer characters, which are cut as before."""
+    cut, segment_keys = [], linededup.segment_keys
+    monkeypatch.setattr(linededup, "segment_keys", lambda line, *a: cut.append("binary" in str(line).lower()) or segment_keys(line, *a))
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefgh", k=n)) for n in (11, 12, 13, 24, 25, 26, 27, 28, 29, 49, 50, 51, 52, 80, 300)]
+    rows = [(i, line) for i, line in enumerate(base)]
+    rows += [(100 + i, line[:at] + "é" + line[at + 1:]) for i, line in enumerate(base) for at in (i % len(line),)]
+    rows += [(200 + i, line[:3] + "z" + line[3:]) for i, line in enumerate(base)]
+    rows += [(300 + i, "日" + line[1:-1] + "€") for i, line in enumerate(base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.drop_lines(docs, short=linededup.SHORT_EDITS)
+    assert {(r.doc_id, t): r.text for r in got.collect() for t in [dict(rows)[r.doc_id]]} == brute(rows, by_length)
+    assert True in cut and False in cut
+    line = spark.createDataFrame([(x,) for x in base[8:]], "line string").withColumn("n", F.length("line"))
+    keys = [segment_keys(c, F.col("n"), linededup.edit_rule(2, 50, linededup.SHORT_EDITS))[1] for c in (F.col("line"), F.col("line").cast("binary"))]
+    for a, b in line.select(*keys).collect():
+        assert a == b and len(a) == 12
